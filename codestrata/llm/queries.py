@@ -7,11 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import shared_dir, table
 from .piece_codec import piece_digests
+from .sharding import shard_by_bytes
 from .token_counts import count_tokens
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
+    return shard_by_bytes(table(spark, sf_dir, "documents"), 8)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -21,6 +27,7 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op4_token_counts": op4_token_counts,
     "op6_piece_codec": op6_piece_codec,
 }
