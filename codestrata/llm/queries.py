@@ -11,6 +11,7 @@ from ..session import shared_dir, table
 from .piece_codec import piece_digests
 from .sharding import shard_by_bytes
 from .token_counts import count_tokens
+from .warc import round_trip
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +27,15 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"), shared_dir(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_token_counts": op4_token_counts,
     "op6_piece_codec": op6_piece_codec,
+    "op7_warc": op7_warc,
 }
 
 ORACLES: dict[str, str] = {}
