@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir, table
+from .ngram_join import similar_classes
 from .piece_codec import piece_digests
 from .sharding import shard_by_bytes
 from .token_counts import count_tokens
@@ -31,8 +32,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"), shared_dir(spark))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
+    return similar_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op6_piece_codec": op6_piece_codec,
     "op7_warc": op7_warc,
