@@ -94,7 +94,8 @@ def write_warc(
     rows = rows.withColumn("per", F.expr(f"greatest({segment_chars}, ceil(char_length(block) / 256))"))
     rows = rows.withColumn("segments", F.expr(_pieces("block", "per")))
     rows = rows.withColumn("total", F.octet_length("block")).withColumn("n", F.size("segments"))
-    cut = rows.select("id", "key", "record", "rep_record", "rep_id", "uri", "digest", "is_revisit", "total", "n", F.posexplode("segments").alias("at", "segment"))
+    # Outer, for Spark puts a filter that works out all of the above again under any other explosion.
+    cut = rows.select("id", "key", "record", "rep_record", "rep_id", "uri", "digest", "is_revisit", "total", "n", F.posexplode_outer("segments").alias("at", "segment"))
 
     def line(name: str, value: str, when: str = "true") -> str:
         return f"if({when}, concat('{name}: ', {value}), null)"
