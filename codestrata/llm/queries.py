@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir, table
 from .decontaminate import find_leaks
+from .language_id import identify
 from .ngram_join import similar_classes
 from .piece_codec import piece_digests
 from .sharding import shard_by_bytes
@@ -42,10 +43,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op6_piece_codec": op6_piece_codec,
     "op7_warc": op7_warc,
     "op9_decontamination": op9_decontamination,
