@@ -14,6 +14,7 @@ from .ngram_join import similar_classes
 from .piece_codec import piece_digests
 from .sharding import shard_by_bytes
 from .token_counts import count_tokens
+from .toxicity import score_toxicity
 from .warc import round_trip
 
 
@@ -47,9 +48,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_piece_codec": op6_piece_codec,
