@@ -207,10 +207,11 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
     sample = rows.join(F.broadcast(shares), "lang")  # a row for each language learnt.filter(sampled("id", F.col("share"), settings.seed)).select("lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # By name: the optimizer may drop the projection above the join, and with it the order of the columns.
         for batch in batches:
-            found = [gram_counts(t.as_py()) for t in batch.column(1)]
+            found = [gram_counts(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([g for g, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.float64()))],
+                [batch.column("lang"), pa.array([g for g, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.float64()))],
                 names=["lang", "grams", "counts"],
             )
 
