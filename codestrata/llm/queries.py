@@ -12,6 +12,7 @@ from .decontaminate import find_leaks
 from .language_id import identify
 from .ngram_join import similar_classes
 from .piece_codec import piece_digests
+from .quality import quality_report
 from .sharding import shard_by_bytes
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
@@ -52,6 +53,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_piece_codec": op6_piece_codec,
     "op7_warc": op7_warc,
     "op9_decontamination": op9_decontamination,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
