@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import shared_dir, table
 from .decontaminate import find_leaks
 from .language_id import identify
+from .lm_scoring import score_documents
 from .ngram_join import similar_classes
 from .piece_codec import piece_digests
 from .quality import quality_report
@@ -58,6 +59,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_piece_codec": op6_piece_codec,
     "op7_warc": op7_warc,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
