@@ -1,8 +1,7 @@
 """Quality rules from the divergence of histograms, beside plain counts (operator 10; SQL functions only).
 
 For each language, references are drawn from all its documents: the shares of character classes, and the shares of its
-common words (those with at least ``common_share`` of its words; a bounded sketch proposes them, then all documents
-count them exactly).  A document's own histograms are compared to those of its language by the Jensen-Shannon distance
+common words (those with at least ``common_share`` of its words).  A document's own histograms are compared to those of its language by the Jensen-Shannon distance
 (base 2, 0 to 1); the histogram of classes only from ``min_chars`` characters on and that of words only from
 ``min_words`` words on, for short texts diverge by chance.  A document fails where a distance is over its limit.
 
@@ -10,8 +9,8 @@ The plain counts: words are runs of characters other than space and 0x09-0x0D.
 windows of five words carry their positions and are sorted inside the row; equal neighbours are checked word by word.
 
 Defined cases: a null or empty text has no words and fails (fewer than ``least_words`` words); a document without a
-language, or of one with less than ``least_share`` of all documents, is compared to the reference over all languages;
-repeated rows pass through, null ids too; an empty table gives an empty result; texts of any length are read whole;
+language, or of one with less than ``least_share`` of all documents, is compared to the classes of all languages together and not
+by its words; repeated rows pass through, null ids too; an empty table gives an empty result; texts of any length are read whole;
 helper columns are named ``_q_...`` and the input's own columns of that name are not allowed.
 """
 
@@ -34,12 +33,12 @@ class Rules:
     least_words: int = 10
     max_repeat_percent: int = 20
     window: int = 5
-    common_share: float = 0.005
+    common_share: float = 0.008
     least_share: float = 1e-3
     min_chars: int = 300
     min_words: int = 100
     max_class_distance: float = 0.3
-    max_word_distance: float = 0.32
+    max_word_distance: float = 0.28
 
 
 def _sum(array: str) -> str:
@@ -66,25 +65,26 @@ def with_counts(docs: DataFrame, text_col: str = "text", window: int = 5) -> Dat
     d = d.withColumn("_q_n_symbols", F.expr(f"regexp_count(_q_text, '{SYMBOLS}')").cast("long"))
     d = d.withColumn("_q_lines", F.expr(r"filter(split(_q_text, '\\n', -1), x -> x rlike '[^ \\t-\\r]')"))
     d = d.withColumn("_q_n_dup_lines", (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"))
-    # Hashes of the windows, with the position in as many low bits as the text needs.
-    d = d.withColumn("_q_bits", F.expr("cast(ceil(log2(greatest(_q_n_words, 2))) AS int) + 1"))
+    # Hashes of the windows: of pairs, of fours, and so on up to the width.
     d = d.withColumn("_q_hashes", F.expr("transform(_q_words, w -> xxhash64(w))"))
-    rolled = " + ".join(f"{2 * k * k + 3 * k + 1}L * shiftrightunsigned(_q_hashes[i + {k}], {7 + k})" for k in range(window))
-    d = d.withColumn(
-        "_q_keys",
-        F.expr(
-            f"sort_array(transform(if(_q_n_words < {window}, cast(array() AS array<int>), sequence(0, cast(_q_n_words AS int) - {window})), "
-            f"i -> shiftleft(shiftrightunsigned(xxhash64({rolled}), _q_bits + 1), _q_bits) + i))"
-        ),
-    )
+    names, width = ["_q_hashes"], 1
+    while width < window:
+        step = min(width, window - width)
+        names.append(f"_q_hashes{width + step}")
+        other = names[-2] if step == width else names[step.bit_length() - 1]
+        d = d.withColumn(names[-1], F.expr(f"transform({names[-2]}, (h, i) -> xxhash64(h, get({other}, i + {width})))"))
+        width += step
+    d = d.withColumn("_q_windows", F.expr(f"if(_q_n_words < {window}, cast(array() AS array<bigint>), slice({names[-1]}, 1, greatest(1, cast(_q_n_words AS int) - {window - 1})))"))
+    # Where hashes repeat: sorted, with the position in as many low bits as the text needs.
+    d = d.withColumn("_q_bits", F.expr("cast(ceil(log2(greatest(_q_n_words, 2))) AS int) + 1"))
+    keys = "sort_array(transform(_q_windows, (h, i) -> shiftleft(shiftrightunsigned(h, _q_bits + 1), _q_bits) + i))"
+    d = d.withColumn("_q_keys", F.expr(f"if(size(array_distinct(_q_windows)) = size(_q_windows), cast(array() AS array<bigint>), {keys})"))
     # Positions of windows next to an equal one.
-    here, other = ("cast(k & (shiftleft(1L, _q_bits) - 1) AS int)".replace("k &", f"{x} &") for x in ("k", "_q_keys[{}]"))
-    same = (
-        lambda at: f"(shiftrightunsigned(_q_keys[{at}], _q_bits) = shiftrightunsigned(k, _q_bits) AND "
-        f"slice(_q_words, {other.format(at)} + 1, {window}) = slice(_q_words, {here} + 1, {window}))"
-    )
-    d = d.withColumn("_q_hits", F.expr(f"filter(_q_keys, (k, j) -> (j > 0 AND {same('j - 1')}) OR (j < size(_q_keys) - 1 AND {same('j + 1')}))"))
-    d = d.withColumn("_q_places", F.expr("sort_array(transform(_q_hits, k -> cast(k & (shiftleft(1L, _q_bits) - 1) AS int)))"))
+    place = "cast({} & (shiftleft(1L, _q_bits) - 1) AS int)".format
+    same = "(shiftrightunsigned({other}, _q_bits) = shiftrightunsigned(k, _q_bits) AND slice(_q_words, {there} + 1, {n}) = slice(_q_words, {here} + 1, {n}))"
+    before, after = (same.format(other=x, there=place(x), here=place("k"), n=window) for x in ("_q_keys[j - 1]", "_q_keys[j + 1]"))
+    d = d.withColumn("_q_hits", F.expr(f"filter(_q_keys, (k, j) -> (j > 0 AND {before}) OR (j < size(_q_keys) - 1 AND {after}))"))
+    d = d.withColumn("_q_places", F.expr(f"sort_array(transform(_q_hits, k -> {place('k')}))"))
     # Each window covers the words up to the next one, the last all of its own.
     covered = f"aggregate(_q_places, named_struct('n', 0L, 'upto', 0), (a, p) -> named_struct('n', a.n + p + {window} - greatest(p, a.upto), 'upto', p + {window}), a -> a.n)"
     return d.withColumn("_q_n_repeat_words", F.expr(covered))
@@ -97,64 +97,51 @@ def _letters(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return d.withColumn("_q_lang", F.coalesce(F.col(lang_col), F.lit(ANY)))
 
 
-def _with_histograms(d: DataFrame) -> DataFrame:
-    """From ``_q_text``, ``_q_plain`` and the reference's ``_q_common``: ``_q_classes`` and ``_q_uses`` (counts)."""
+def _with_classes(d: DataFrame, spaces: str, symbols: str) -> DataFrame:
+    """From ``_q_text`` and ``_q_plain``: ``_q_classes``, the counts of the character classes as doubles."""
     d = d.withColumn("_q_n_chars", F.char_length("_q_text"))
     d = d.withColumn("_q_n_letters", F.expr("char_length(replace(_q_plain, ' ', ''))"))
-    d = d.withColumn("_q_n_plain", F.expr("if(_q_n_letters = 0, 0, octet_length(_q_plain) - octet_length(replace(_q_plain, '  ', ' ')) + 1)"))
     d = d.withColumn("_q_upper", F.expr(r"regexp_count(_q_text, '\\p{Lu}')"))
     d = d.withColumn("_q_digits", F.expr(r"regexp_count(_q_text, '\\p{Nd}')"))
-    d = d.withColumn("_q_spaces", F.expr(f"regexp_count(_q_text, '{SPACE}')"))
-    d = d.withColumn("_q_marks", F.expr(f"regexp_count(_q_text, '{SYMBOLS}')"))
+    d = d.withColumn("_q_spaces", F.expr(spaces)).withColumn("_q_marks", F.expr(symbols))
     rest = "greatest(0, _q_n_chars - greatest(_q_n_letters, _q_upper) - _q_digits - _q_spaces - _q_marks)"
-    d = d.withColumn("_q_classes", F.expr(f"transform(array(greatest(0, _q_n_letters - _q_upper), _q_upper, _q_digits, _q_spaces, _q_marks, {rest}), x -> cast(x AS double))"))
+    return d.withColumn("_q_classes", F.expr(f"transform(array(greatest(0, _q_n_letters - _q_upper), _q_upper, _q_digits, _q_spaces, _q_marks, {rest}), x -> cast(x AS double))"))
+
+
+def _with_uses(d: DataFrame) -> DataFrame:
+    """From ``_q_plain`` and the reference's ``_q_common``: ``_q_uses``, the uses of each common word and of all others."""
+    d = d.withColumn("_q_n_plain", F.expr("if(_q_n_letters = 0, 0, octet_length(_q_plain) - octet_length(replace(_q_plain, '  ', ' ')) + 1)"))
     count = "cast((octet_length(_q_plain) - octet_length(replace(_q_plain, concat(' ', w, ' '), ''))) / (octet_length(w) + 2) AS double)"
     d = d.withColumn("_q_found", F.expr(f"transform(_q_common, w -> {count})"))
     return d.withColumn("_q_uses", F.expr(f"concat(_q_found, array(greatest(0D, _q_n_plain - {_sum('_q_found')})))"))
 
 
 def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """``_q_lang, _q_common, _q_word_shares, _q_class_shares`` for each language and for all together (``*``): at most
-    1 / ``least_share`` rows of at most about 2 / ``common_share`` words, which is what may be broadcast."""
+    """``_q_lang, _q_common, _q_word_shares, _q_class_shares`` for each language, and the class shares of all together
+    (``*``): at most 1 / ``least_share`` + 1 rows of at most 1 / ``common_share`` words, which is what may be broadcast.
+
+    Words are counted exactly, by language and word, with partial sums before the shuffle.
+    """
     d = _letters(docs.select(text_col, lang_col), text_col, lang_col)
-    sizes = d.groupBy("_q_lang").agg(F.count(F.lit(1)).alias("n"))
-    kept = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("all")))).filter(f"n >= {rules.least_share} * all AND _q_lang <> '{ANY}'").select("_q_lang")
-    groups = F.expr(f"if(known, array(_q_lang, '{ANY}'), array('{ANY}'))")
-    known = d.join(F.broadcast(kept.withColumn("known", F.lit(True))), "_q_lang", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-
-    words = known.select("_q_lang", "known", F.explode_outer(F.expr("filter(split(trim(_q_plain), '  '), w -> w <> '')")).alias("word")).filter("word IS NOT NULL")
-    # Sketches by language are merged into one more for all; what they propose is counted below.
-    by_lang = words.groupBy(F.expr(f"if(known, _q_lang, '{ANY}')").alias("_q_lang")).agg(F.expr("approx_top_k_accumulate(word, 10000)").alias("sketch"), F.count(F.lit(1)).alias("n"))
-    by_lang = by_lang.checkpoint()  # a row for each language
-    every = by_lang.groupBy(F.lit(ANY).alias("_q_lang")).agg(F.expr("approx_top_k_combine(sketch, 10000)").alias("sketch"), F.sum("n").alias("n"))
-    most = int(2 / rules.common_share)
-    proposed = by_lang.filter(f"_q_lang <> '{ANY}'").unionByName(every).select(
-        "_q_lang",
-        F.expr(f"array_sort(transform(filter(approx_top_k_estimate(sketch, {most}), x -> x.count >= {rules.common_share / 2} * n), x -> x.item))").alias("_q_common"),
-    )
-    rows = known.select("_q_text", "_q_plain", F.explode_outer(groups).alias("_q_lang")).join(F.broadcast(proposed), "_q_lang")
-    counted = _with_histograms(rows).select("_q_lang", "_q_common", "_q_classes", "_q_uses")
-    width = len(CLASSES)
-    sums = (
-        counted.select("_q_lang", "_q_common", F.posexplode_outer(F.concat("_q_classes", "_q_uses")).alias("at", "n"))
-        .groupBy("_q_lang", "_q_common", "at")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("_q_lang", "_q_common")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("all"))
-        .withColumn("all", F.expr("all.n"))
-    )
-    sums = sums.select("_q_lang", "_q_common", F.expr(f"slice(all, 1, {width})").alias("classes"), F.expr(f"slice(all, {width + 1}, size(all))").alias("uses"))
-    # Words under the limit after exact counting go into the rest.
-    sums = sums.withColumn("total", F.expr(_sum("uses")))
-    named = "zip_with(_q_common, slice(uses, 1, size(_q_common)), (w, n) -> named_struct('w', w, 'n', n))"
-    sums = sums.withColumn("chosen", F.expr(f"filter({named}, x -> x.n >= {rules.common_share} * total)"))
-    uses = f"concat(transform(chosen, x -> x.n), array(total - {_sum('transform(chosen, x -> x.n)')}))"
-    return sums.select(
-        "_q_lang",
-        F.expr("transform(chosen, x -> x.w)").alias("_q_common"),
-        F.expr(_shares(uses)).alias("_q_word_shares"),
-        F.expr(_shares("classes")).alias("_q_class_shares"),
+    classes = _with_classes(d, f"regexp_count(_q_text, '{SPACE}')", f"regexp_count(_q_text, '{SYMBOLS}')").select("_q_lang", *[F.col("_q_classes")[i].alias(c) for i, c in enumerate(CLASSES)])
+    # A row for each language value, written down: known languages, all together, and the rows of each come from it.
+    sums = classes.groupBy("_q_lang").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in CLASSES]).checkpoint()
+    rows = sums.agg(F.sum("rows")).first()[0] or 0
+    shares = F.expr(_shares(f"array({', '.join(CLASSES)})"))
+    known = sums.filter((F.col("_q_lang") != ANY) & (F.col("rows") >= rules.least_share * rows)).select("_q_lang", shares.alias("_q_class_shares"))
+    every = sums.agg(*[F.sum(c).alias(c) for c in CLASSES]).select(F.lit(ANY).alias("_q_lang"), shares.alias("_q_class_shares"))
+
+    words = d.select("_q_lang", F.explode_outer(F.expr("split(trim(_q_plain), '  ')")).alias("word"))
+    counts = words.groupBy("_q_lang", "word").agg(F.count(F.lit(1)).alias("n")).filter("word <> ''")
+    totals = counts.groupBy("_q_lang").agg(F.sum("n").alias("total"))
+    frequent = counts.join(F.broadcast(totals.join(F.broadcast(known.select("_q_lang")), "_q_lang")), "_q_lang").filter(f"n >= {rules.common_share} * total")
+    common = (
+        frequent.groupBy("_q_lang")
+        .agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("own"), F.first("total").alias("total"))
+        .withColumn("used", F.expr("transform(own, x -> cast(x.n AS double))"))
+        .select("_q_lang", F.expr("own.word").alias("_q_common"), F.expr(_shares(f"concat(used, array(total - {_sum('used')}))")).alias("_q_word_shares"))
     )
+    return known.join(F.broadcast(common), "_q_lang", "left").unionByName(every, allowMissingColumns=True)
 
 
 def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
@@ -163,14 +150,14 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ru
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
     if clash := [c for c in docs.columns if c in new or c.startswith("_q_")]:
         raise ValueError(f"columns {clash} are there already")
-    # The references are used twice (known languages, and the words and shares), so they are written down: a few rows.
+    # The references are used twice (known languages, and their shares), so they are written down: a few rows.
     references = F.broadcast(language_references(docs, text_col=text_col, lang_col=lang_col, rules=rules).checkpoint())
     d = _letters(docs, text_col, lang_col)
     d = d.join(references.select("_q_lang", F.lit(True).alias("_q_known")), "_q_lang", "left").withColumn("_q_lang", F.expr(f"if(_q_known, _q_lang, '{ANY}')")).drop("_q_known")
-    d = d.join(references, "_q_lang", "left")
-    d = with_counts(_with_histograms(d), text_col, rules.window)
+    d = with_counts(d.join(references, "_q_lang", "left"), text_col, rules.window)
+    d = _with_uses(_with_classes(d, "_q_n_chars - _q_word_chars", "_q_n_symbols"))
     d = d.withColumn("class_distance", F.expr(f"if(_q_n_chars >= {rules.min_chars}, {_distance(_shares('_q_classes'), '_q_class_shares')}, null)"))
-    d = d.withColumn("word_distance", F.expr(f"if(_q_n_plain >= {rules.min_words}, {_distance(_shares('_q_uses'), '_q_word_shares')}, null)"))
+    d = d.withColumn("word_distance", F.expr(f"if(_q_n_plain >= {rules.min_words} AND _q_common IS NOT NULL, {_distance(_shares('_q_uses'), '_q_word_shares')}, null)"))
     d = d.withColumn("base_failed", F.expr(f"_q_n_words < {rules.least_words} OR 100 * _q_n_repeat_words > {rules.max_repeat_percent} * _q_n_words"))
     verdict: Column = F.expr(f"NOT base_failed AND coalesce(class_distance <= {rules.max_class_distance}, true) AND coalesce(word_distance <= {rules.max_word_distance}, true)")
     return d.withColumn("kept", verdict).select(
