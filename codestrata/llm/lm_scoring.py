@@ -39,18 +39,18 @@ from .shingles import _SPACE, word_hashes
 
 #: Stands for the end of a document among word hashes.
 END = np.uint64(0)
-TAILS = 96
+TAILS = 64
 LN10 = float(np.log(10))
 
 
 @dataclass(frozen=True)
 class Settings:
-    vocabulary: int = 2000
+    vocabulary: int = 1500
     head_share: float = 1e-6
     classes: int = 40
     embedding: int = 16
     hidden: int = 24
-    train_share: float = 1 / 16
+    train_share: float = 1 / 32
     rounds: int = 2
     streams: int = 32
     steps: int = 20
@@ -131,9 +131,9 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         return np.where(self.words[at] == words, at, -1)
 
-    def inputs(self, words: np.ndarray, tails: np.ndarray) -> np.ndarray:
-        """Ids of tokens as the network sees them: output words first, then tail classes."""
-        at = self.look_up(words)
+    def inputs(self, words: np.ndarray, tails: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Ids of tokens as the network sees them: output words first, then tail classes.  ``at``: from ``look_up``."""
+        at = self.look_up(words) if at is None else at
         place = np.where(at >= 0, self.place[at], -1) if len(self.place) else at
         return np.where(place >= 0, place, len(self.label) + tails).astype(np.int32)
 
@@ -148,6 +148,14 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row at one column.  Logits of a bounded state are small, so their exponentials rarely overflow."""
+    picked = x[np.arange(len(at)), at]
+    with np.errstate(over="ignore"):
+        out = picked - np.log(np.exp(x) @ np.ones(x.shape[1], x.dtype))
+    return out if np.isfinite(out).all() else _log_softmax(x)[np.arange(len(at)), at]
+
+
 class Network:
     def __init__(self, vocabulary: Vocabulary, settings: Settings):
         self.vocabulary, self.settings = vocabulary, settings
@@ -193,13 +201,13 @@ class Network:
         """Natural log-probability of each token's class, times that of the word in its class for output words."""
         p, v = self.p, self.vocabulary
         labels = v.targets(ids) if len(v.label) else ids
-        out = _log_softmax(states @ p["wc"] + p["bc"])[np.arange(len(ids)), labels]
+        out = _chosen(states @ p["wc"] + p["bc"], labels)
         order = np.argsort(labels, kind="stable")
         cuts = np.searchsorted(labels[order], np.arange(v.n_classes + 1))
         for k in range(v.n_classes):
             at, lo, hi = order[cuts[k] : cuts[k + 1]], v.starts[k], v.starts[k + 1]
             if len(at) and hi - lo > 1:
-                out[at] += _log_softmax(states[at] @ p["ww"][lo:hi].T + p["bw"][lo:hi])[np.arange(len(at)), ids[at] - lo]
+                out[at] += _chosen(states[at] @ p["ww"][lo:hi].T + p["bw"][lo:hi], ids[at] - lo)
         return out
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -383,7 +391,7 @@ def score_documents(docs: DataFrame, *, folds: int = 10, held_fold: int = 0, id_
                     words, tails = tokens(text.as_py())
                     found = v.look_up(words)
                     seen = found >= 0
-                    ids.append(v.inputs(words, tails))
+                    ids.append(v.inputs(words, tails, found))
                     size.append(len(words))
                     known.append(int(seen.sum()))
                     logs = np.log10(v.counts[found[seen]] + 0.1)
