@@ -48,11 +48,14 @@ def words_of(text: str | None) -> list[str]:
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    total: Counter[int] = Counter()
-    for word, n in Counter(words_of(text)).items():
-        for g in word_grams(word):
-            total[g] += n
-    return np.fromiter(total.keys(), np.int64, len(total)), np.fromiter(total.values(), np.float64, len(total))
+    """Distinct hashed n-grams of a text, and how often each occurs."""
+    words = Counter(words_of(text))
+    if not words:
+        return np.empty(0, np.int64), np.empty(0)
+    parts = [word_grams(w) for w in words]
+    weights = np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(p) for p in parts])
+    grams, at = np.unique(np.concatenate(parts), return_inverse=True)
+    return grams, np.bincount(at, weights)
 
 
 @dataclass(frozen=True)
@@ -204,19 +207,20 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
     idf = np.log((1 + n) / (1 + counts)) + 1
     sizes = rows.groupBy("lang").count().filter(F.col("count") >= settings.least_share * n)
     shares = sizes.select("lang", (settings.per_language / F.col("count")).alias("share"))
-    sample = rows.join(F.broadcast(shares), "lang")  # a row for each language learnt.filter(sampled("id", F.col("share"), settings.seed)).select("lang", "text")
+    # Broadcast: a row for each language learnt.
+    sample = rows.join(F.broadcast(shares), "lang").filter(sampled("id", F.col("share"), settings.seed)).select("lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # By name: the optimizer may drop the projection above the join, and with it the order of the columns.
         for batch in batches:
             found = [gram_counts(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array([g for g, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.float64()))],
+                [batch.column("lang"), *(pa.array([f[k].astype(np.int32).tobytes() for f in found], pa.binary()) for k in (0, 1))],
                 names=["lang", "grams", "counts"],
             )
 
-    got = sample.mapInArrow(features, "lang string, grams array<long>, counts array<double>").toPandas()
-    return train([(r.lang, np.asarray(r.grams, np.int64), np.asarray(r.counts)) for r in got.itertuples()], idf, settings)
+    # Packed, so that the sample takes little room on its way and on the driver.
+    got = sample.mapInArrow(features, "lang string, grams binary, counts binary").toLocalIterator()
+    return train([(r.lang, np.frombuffer(r.grams, np.int32).astype(np.int64), np.frombuffer(r.counts, np.int32).astype(np.float64)) for r in got], idf, settings)
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

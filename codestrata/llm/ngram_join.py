@@ -223,7 +223,7 @@ def _gram_sets(n: int):
     return run
 
 
-def similar_classes(
+def _classes(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -235,15 +235,11 @@ def similar_classes(
     slack: float = 0.75,
     block: int = 2048,
     block_grams: int = 4_000_000,
-) -> DataFrame:
-    """One row per row of ``docs``: id, ``class_id`` (least id of its connected component of links) and ``n_links`` (how
-    many other rows have a Jaccard similarity of at least ``threshold`` with it, copies included).
-
-    ``block`` and ``block_grams`` bound what one task compares at a time; larger groups are dealt out in pairs of blocks.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and for each key: ``copies``, ``class_id``, ``keeper`` (id and text hash of the row that
+    stands for its group) and ``n_links``."""
     bands = bands_for(threshold, rows, recall)
     sketch = sketches(docs, id_col=id_col, text_col=text_col, n=n, bands=bands, rows=rows).checkpoint()
-    kind = sketch.schema["id"].dataType.simpleString()
 
     classes = (
         sketch.filter("key IS NOT NULL")
@@ -285,11 +281,36 @@ def similar_classes(
     links = verified.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "key")
     groups = connected_components(verified.filter("b IS NOT NULL").select("a", "b")).withColumnsRenamed({"node": "key", "component": "group"})
 
-    named = classes.select("key", "copies", "least_id").join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
-    least = named.groupBy("group").agg(F.min("least_id").alias("class_id"))
-    per_class = named.join(least, "group").join(links, "key", "left").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = classes.select("key", "copies", "least_id", "sample").join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
+    least = named.groupBy("group").agg(F.min("least_id").alias("class_id"), F.min("sample").alias("keeper"))
+    per_class = named.join(least, "group").join(links, "key", "left").select("key", "class_id", "keeper", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return sketch, per_class
+
+
+def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: id, ``class_id`` (least id of its connected component of links) and ``n_links`` (how
+    many other rows have a Jaccard similarity of at least ``threshold`` with it, copies included).
+
+    Options: ``n, threshold, rows, recall, slack``, and ``block`` and ``block_grams``, which bound what one task compares
+    at a time; larger groups are dealt out in pairs of blocks.
+    """
+    sketch, per_class = _classes(docs, id_col=id_col, text_col=text_col, **options)
     return sketch.select("id", "key").join(per_class, "key", "left").select(
         F.col("id").alias(id_col),
-        F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).cast(kind).alias("class_id"),
+        F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).cast(docs.schema[id_col].dataType).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one of each group of linked texts (the one with the
+    least id).  Texts without a word all stay, but of rows with equal id and text only one does."""
+    if "_text_hash" in docs.columns:
+        raise ValueError("column _text_hash is there already")
+    sketch, per_class = _classes(docs, id_col=id_col, text_col=text_col, **options)
+    keepers = per_class.select("keeper").distinct().select("keeper.*").unionByName(sketch.filter("key IS NULL").select("id", "text_hash"))
+    rows = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    kept = rows.join(keepers.hint("shuffle_merge"), (F.col("_text_hash") == keepers.text_hash) & F.col(id_col).eqNullSafe(keepers.id), "left_semi")
+    if not sketch.groupBy("id", "text_hash").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "_text_hash"])
+    return kept.drop("_text_hash")

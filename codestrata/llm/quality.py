@@ -174,5 +174,5 @@ def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs``, with their columns, that the rules keep."""
     judged = judge(docs, text_col=text_col, lang_col=lang_col, rules=rules)
-    # A running number keeps the filter from being pushed down, where all the counting would be worked out again.
-    return judged.withColumn("_q_row", F.monotonically_increasing_id()).filter("kept").select(*docs.columns)
+    # A running number, used in the filter, keeps it from being pushed down and all the counting from being inlined there.
+    return judged.withColumn("_q_row", F.monotonically_increasing_id()).filter("kept AND _q_row >= 0").select(*docs.columns)

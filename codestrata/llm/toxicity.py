@@ -161,10 +161,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([text_terms(t.as_py()) for t in batch.column("text")], pa.list_(pa.int32()))], names=["label", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([text_terms(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], names=["label", "terms"])
 
-    got = both.mapInArrow(features, "label int, terms array<int>").toPandas()
-    return train([(int(r.label), np.asarray(r.terms, np.int32)) for r in got.itertuples()], ones / max(1, n), settings)
+    # Packed, so that the sample takes little room on its way and on the driver.
+    got = both.mapInArrow(features, "label int, terms binary").collect()
+    return train([(r.label, np.frombuffer(r.terms, np.int32)) for r in got], ones / max(1, n), settings)
 
 
 def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
