@@ -7,7 +7,7 @@ with L1 and L2 penalties (most end at zero) on a bounded sample of labelled rows
 language, picked by a hash of the id.  On a part of that sample set aside, one temperature is fitted by likelihood, so
 that ``score`` is a calibrated probability.
 
-Because a text's logits are sums over its words, a worker keeps the logits of words it has met; whole texts are scored.
+Whole texts are scored; their n-grams are made with array operations, for many words at a time.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; a text whose n-grams are all unknown gets
 the language with the largest bias; rows without a language or with a null id teach nothing; without any labelled row
@@ -18,10 +18,8 @@ while learning only, and further columns never.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,31 +29,45 @@ from pyspark.sql import functions as F
 from .folds import fold_is, sampled
 
 UNKNOWN = "und"
-DIMENSIONS = 1 << 17
+BITS = 17
+DIMENSIONS = 1 << BITS
 _WORD = re.compile(r"[^\W\d_]+")
-#: Words that a worker remembers, and the longest of them; both only save time.
-CACHE, CACHE_CHARS = 400_000, 32
-
-
-def word_grams(word: str, longest: int = 4) -> list[int]:
-    """Hashed n-grams of a word between its end marks."""
-    marked = f"<{word}>"
-    return [zlib.crc32(marked[i : i + n].encode("utf-8")) & (DIMENSIONS - 1) for n in range(1, longest + 1) for i in range(len(marked) - n + 1)]
+#: Words whose n-grams are made at a time.
+WORDS_AT_ONCE = 20_000
+LONGEST = 4
+_STEPS = np.random.Generator(np.random.PCG64(41)).integers(1, 2**62, LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_START = ord("<")
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def grams_of(words: list[str]) -> Iterator[np.ndarray]:
+    """Hashed n-grams of the words, each between its end marks, with repeats; in pieces for long texts."""
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        marked = f"<{'><'.join(words[at : at + WORDS_AT_ONCE])}>"
+        letters = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        word = np.cumsum(letters == _START)
+        total, out = np.zeros(len(letters), np.uint64), []
+        for n in range(1, LONGEST + 1):
+            m = len(letters) - n + 1
+            if m < 1:
+                break
+            with np.errstate(over="ignore"):
+                total = total[:m] + letters[n - 1 :] * _STEPS[n - 1]
+                mixed = (total ^ (total >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
+            # A window over two words has the start mark of the second inside.
+            out.append((mixed[word[n - 1 :] == word[:m]] >> np.uint64(64 - BITS)).astype(np.int64))
+        yield np.concatenate(out)
+
+
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed n-grams of a text, and how often each occurs."""
-    words = Counter(words_of(text))
-    if not words:
-        return np.empty(0, np.int64), np.empty(0)
-    parts = [word_grams(w) for w in words]
-    weights = np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(p) for p in parts])
-    grams, at = np.unique(np.concatenate(parts), return_inverse=True)
-    return grams, np.bincount(at, weights)
+    parts = list(grams_of(words_of(text)))
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.unique(np.concatenate(parts), return_counts=True)
 
 
 @dataclass(frozen=True)
@@ -83,35 +95,19 @@ class LanguageModel:
     idf: np.ndarray
     temperature: float
     scale: float
-    _seen: dict = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"_seen": {}}
 
-    def _word(self, word: str) -> np.ndarray:
-        """Sum of the weighted features of a word, and its number of n-grams."""
-        grams = word_grams(word)
-        return np.append((self.weights[grams] * self.idf[grams, None]).sum(axis=0), len(grams))
+    def __post_init__(self):
+        self.table = (self.weights * self.idf[:, None]).astype(np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not words and not (text and any(c.isalpha() for c in text)) or not self.languages:
             return UNKNOWN, 0.0
-        seen, total = self._seen, np.zeros(len(self.languages) + 1)
-        parts, counts = [], []
-        for word, n in Counter(words).items():
-            part = seen.get(word)
-            if part is None:
-                part = self._word(word)
-                if len(word) <= CACHE_CHARS:
-                    if len(seen) >= CACHE:
-                        seen.clear()
-                    seen[word] = part
-            parts.append(part)
-            counts.append(n)
-        if parts:
-            total = np.array(counts, np.float64) @ np.array(parts)
-        logits = (self.bias + self.scale * total[:-1] / max(1.0, total[-1])) / self.temperature
+        total, n = np.zeros(len(self.languages)), 0
+        for grams in grams_of(words):
+            total += self.table.take(grams, axis=0).sum(axis=0, dtype=np.float64)
+            n += len(grams)
+        logits = (self.bias + self.scale * total / max(1, n)) / self.temperature
         odds = np.exp(logits - logits.max())
         best = int(odds.argmax())
         return self.languages[best], float(odds[best] / odds.sum())
@@ -171,23 +167,12 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(DIMENSIONS, np.int64), 0
-        seen: dict[str, np.ndarray] = {}
         for batch in batches:
             for text in batch.column(0):
-                parts = []
-                for word in {*words_of(text.as_py())}:
-                    part = seen.get(word)
-                    if part is None:
-                        part = np.array(word_grams(word), np.int32)
-                        if len(word) <= CACHE_CHARS:
-                            if len(seen) >= CACHE:
-                                seen.clear()
-                            seen[word] = part
-                    parts.append(part)
-                if parts:
-                    there = np.zeros(DIMENSIONS, bool)
-                    there[np.concatenate(parts)] = True
-                    total += there
+                there = np.zeros(DIMENSIONS, bool)
+                for grams in grams_of(words_of(text.as_py())):
+                    there[grams] = True
+                total += there
                 rows += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int32()), pa.array([rows, *total[some].tolist()], pa.int64())], names=["gram", "n"])
