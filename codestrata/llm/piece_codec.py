@@ -33,7 +33,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 #: What a worker remembers: encodings of units no longer than UNIT_CHARS, and checked pairs.  These only save time.
-UNITS, UNIT_CHARS, PAIRS = 400_000, 48, 600_000
+UNITS, UNIT_CHARS, PAIRS = 250_000, 48, 400_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -313,6 +313,30 @@ def decode_ids(docs: DataFrame, model_path: str, *, ids_col: str = "ids", text_c
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(text_col, StringType())]))
 
 
+def encode_checked(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, ``n_tokens``, ``ids``, and ``round_trip``, whether they decode to the text.  One
+    pass in one worker, which holds one codec."""
+    shipped = _ship(docs, model_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = _codec(shipped.value).digest
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                size, ids, same = [], [], []
+                for text in batch.column(1):
+                    text = text.as_py() or ""
+                    n, joined, decoded = digest(text)
+                    size.append(n)
+                    ids.append(np.fromstring(joined, np.int32, sep=",") if n else np.empty(0, np.int32))
+                    same.append(decoded == text)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=["id", "n_tokens", "ids", "round_trip"])
+
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = slim.schema["id"].dataType.simpleString()
+    return slim.mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
+
+
 def piece_digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``."""
     shipped = _ship(docs, model_path)
