@@ -53,9 +53,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, token ``ids``, and ``round_trip``: whether decoding them gives the text back."""
     ship(spark)
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    both = piece_codec.decode_ids(piece_codec.encode_texts(docs.select("doc_id", "text"), path), path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return piece_codec.encode_checked(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
