@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def content_hash(content: Column) -> Column:
@@ -26,7 +27,7 @@ def canonical_digest(value: object) -> str:
     return hashlib.sha256(canonical_json(value).encode("ascii")).hexdigest()
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def json_digest(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """SHA-256 of the canonical form of JSON texts (what ``to_json`` gives is not canonical)."""
     for series in texts:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def stable_pairs(old: DataFrame, new: DataFrame, keys: list[str], line_map: DataFrame | None = None) -> DataFrame:
     """Pairs of occurrences that only one on each side can form (D13): one old and one new in a key; where there are more,
@@ -63,12 +65,17 @@ def _leftovers(old: DataFrame, new: DataFrame, group: list[str], unusable_old: D
 
 
 def cascade(old: DataFrame, new: DataFrame, passes: list[tuple[list[str], str]], group: list[str], *, line_map: DataFrame | None = None, unusable_old: DataFrame | None = None, unusable_new: DataFrame | None = None) -> DataFrame:
-    """Passes of ``stable_pairs`` with falling keys and the state each gives, then the leftovers by ``group``."""
+    """Passes of ``stable_pairs`` with falling keys and the state each gives, then the leftovers by ``group``.
+
+    Both sides and the pairs of each pass are written down, for every pass uses those before it several times over.
+    """
+    shared_dir(old.sparkSession)
+    old, new = old.checkpoint(), new.checkpoint()
     out = None
     for keys, state in passes:
         has_keys = " AND ".join(f"{k} IS NOT NULL" for k in keys)
-        pairs = stable_pairs(old.filter(has_keys), new.filter(has_keys), keys, line_map).select(F.lit(state).alias("state"), "old_occ", "new_occ")
-        old, new = residue(old, pairs, "old_occ"), residue(new, pairs, "new_occ")
+        pairs = stable_pairs(old.filter(has_keys), new.filter(has_keys), keys, line_map).select(F.lit(state).alias("state"), "old_occ", "new_occ").checkpoint()
+        old, new = residue(old, pairs, "old_occ").checkpoint(), residue(new, pairs, "new_occ").checkpoint()
         out = pairs if out is None else out.unionByName(pairs)
     rest = _leftovers(old, new, group, unusable_old, unusable_new)
     return rest if out is None else out.unionByName(rest)
@@ -133,19 +140,22 @@ def symbol_changes(old: DataFrame, new: DataFrame, *, unavailable_paths: DataFra
         bad = unavailable_paths.select(*population, "path").distinct()
         out += [alone(old.join(bad, [*population, "path"], "left_semi"), "old_occ", "unresolved"), alone(new.join(bad, [*population, "path"], "left_semi"), "new_occ", "unresolved")]
         old, new = old.join(bad, [*population, "path"], "left_anti"), new.join(bad, [*population, "path"], "left_anti")
+    shared_dir(old.sparkSession)
+    old, new = old.checkpoint(), new.checkpoint()
     by_name = [*population, "path", "kind", "name"]
     many = old.groupBy(*by_name).count().filter("count > 1").select(*by_name).unionByName(new.groupBy(*by_name).count().filter("count > 1").select(*by_name)).distinct()
     out += [alone(old.join(many, by_name, "left_semi"), "old_occ", "unresolved"), alone(new.join(many, by_name, "left_semi"), "new_occ", "unresolved")]
-    old, new = old.join(many, by_name, "left_anti"), new.join(many, by_name, "left_anti")
+    old, new = old.join(many, by_name, "left_anti").checkpoint(), new.join(many, by_name, "left_anti").checkpoint()
     a = old.select(*by_name, F.col("occ").alias("old_occ"), F.col("ast").alias("_old"))
     named = a.join(new.select(*by_name, F.col("occ").alias("new_occ"), F.col("ast").alias("_new")), by_name)
     same = named.select(F.when(F.col("_old") == F.col("_new"), "unchanged").otherwise("modified").alias("state"), "old_occ", "new_occ")
+    same = same.checkpoint()
     out.append(same)
-    old, new = residue(old, same, "old_occ"), residue(new, same, "new_occ")
+    old, new = residue(old, same, "old_occ").checkpoint(), residue(new, same, "new_occ").checkpoint()
     for keys, state in (([*population, "kind", "name", "ast"], "moved"), ([*population, "path", "kind", "rename"], "unresolved"), ([*population, "kind", "name"], "unresolved")):
-        pairs = stable_pairs(old, new, keys).select(F.lit(state).alias("state"), "old_occ", "new_occ")
+        pairs = stable_pairs(old, new, keys).select(F.lit(state).alias("state"), "old_occ", "new_occ").checkpoint()
         out.append(pairs)
-        old, new = residue(old, pairs, "old_occ"), residue(new, pairs, "new_occ")
+        old, new = residue(old, pairs, "old_occ").checkpoint(), residue(new, pairs, "new_occ").checkpoint()
     out += [alone(old, "old_occ", "removed"), alone(new, "new_occ", "added")]
     result = out[0]
     for part in out[1:]:

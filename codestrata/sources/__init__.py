@@ -1 +1 @@
-
+"""Sources and sinks: directories, Git commits and histories, reports and ledgers."""
