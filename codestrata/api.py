@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .config import Config
 from .operators.budgets import budget_state
 from .plans.comparison import Comparison
-from .plans.snapshot import Profile, Snapshot
+from .plans.snapshot import Profile, Snapshot, StrictFailure
 from .plans.structure import analyze_history as _history
 from .plans.structure import inspect_architecture as _architecture
 from .sources.files import read_directory, resolve_languages
@@ -51,4 +51,4 @@ def evaluate_budget(change: Comparison, limits: dict[str, int]) -> tuple[DataFra
     return checks, budget_state(checks)
 
 
-__all__ = ["Config", "Profile", "analyze_history", "compare", "evaluate_budget", "inspect_architecture", "review_change", "review_surface", "scan"]
+__all__ = ["Config", "Profile", "StrictFailure", "analyze_history", "compare", "evaluate_budget", "inspect_architecture", "review_change", "review_surface", "scan"]

@@ -1 +1 @@
-
+"""Structured Streaming extension."""
