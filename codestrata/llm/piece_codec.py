@@ -7,8 +7,8 @@ the text, takes at each position the longest piece that an Aho-Corasick automato
 where the neighbours don't fit, and steps back where none is left; a bitfield of failed positions keeps it from entering
 the same dead end twice.
 
-White space never ends inside a piece of such models (checked on loading), so a text falls into units of spaces and
-the characters after them, whose encodings a worker remembers.
+No piece of such models goes on with a space, and none of this one's with another sign after a letter (both are checked on
+loading), so a text falls into units that end before a space and after a run of letters; a worker remembers their encodings.
 
 Defined cases: a null text counts as empty and gives no ids; characters without a piece become byte pieces; strings that
 look like control or byte pieces are ordinary text; repeated rows and null ids pass through; an empty table gives an
@@ -95,6 +95,9 @@ class PieceModel:
             raise ValueError("it lacks byte pieces, or letters that its longer pieces have")
 
 
+_NEVER = float("inf")
+
+
 class _Units(dict):
     def __init__(self, codec: PieceCodec):
         super().__init__()
@@ -113,31 +116,39 @@ class _Units(dict):
 class PieceCodec:
     def __init__(self, data: bytes):
         self.model = model = PieceModel(data)
+        self._rank = {p: -model.scores[i] for p, i in model.ids.items()}.get
         self._automaton = ahocorasick.Automaton()
         for piece, i in model.ids.items():
             self._automaton.add_word(piece, (i, len(piece)))
         self._automaton.make_automaton()
         self._pairs: dict[int, bool] = {}
         self._units = _Units(self)
+        letters = {c for c in model.letters if c.isalpha()}
+        ends = not any(a in letters and b not in letters for p in model.ids for a, b in zip(p, p[1:], strict=False))
         if any(SPACE in p.lstrip(SPACE) for p in model.ids):
             self._cut = None  # a piece may reach over the end of a word: texts stay whole
-        elif "\n" in model.letters:
-            self._cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         else:
-            self._cut = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+            line = "" if "\n" in model.letters else "\n"
+            inside = re.escape("".join(sorted(letters)))
+            word = rf"(?:[^{SPACE}{line}{inside}]*[{inside}]+|[^{SPACE}{line}{inside}]+)" if ends else rf"[^{SPACE}{line}]+"
+            self._cut = re.compile(rf"{SPACE}*{word}|{SPACE}+" + ("|\n" if line else ""))
 
     def merge(self, text: str) -> list[str]:
         """Symbols after all merges, best score first and leftmost among equals."""
-        ids, scores, part = self.model.ids, self.model.scores, list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(part) - 1):
-                k = ids.get(part[i] + part[i + 1])
-                if k is not None and (best is None or scores[k] > best):
-                    best, at = scores[k], i
-            if at < 0:
-                return part
-            part[at : at + 2] = [part[at] + part[at + 1]]
+        rank, part = self._rank, list(text)
+        pairs = [rank(a + b, _NEVER) for a, b in zip(part, part[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best == _NEVER:
+                break
+            i = pairs.index(best)
+            part[i : i + 2] = [part[i] + part[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(part[i - 1] + part[i], _NEVER)
+            if i < len(pairs):
+                pairs[i] = rank(part[i] + part[i + 1], _NEVER)
+        return part
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the text of both tokens, merged anew, gives these two tokens."""
