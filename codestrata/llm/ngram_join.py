@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from ..operators.graph import connected_components
 from .shingles import mix, ngram_set
 
 _NO_EDGE = "a binary, b binary"
