@@ -38,6 +38,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--before", help="commit of the baseline")
     p.add_argument("--before-root", help="directory of the baseline")
     p.add_argument("--config", type=Path)
+    p.add_argument("--tool-name", default="codestrata", help="table and file name of the settings")
     p.add_argument("--lang", action="append", default=None)
     p.add_argument("--strict", action="store_true", default=None)
     p.add_argument("--path")
@@ -60,7 +61,7 @@ def _parser() -> argparse.ArgumentParser:
 def tables(args: argparse.Namespace) -> dict[str, DataFrame]:
     spark = build_session("codestrata")
     ship(spark)
-    config = load_config(Path(args.root), explicit=args.config, strict=args.strict, languages=tuple(args.lang) if args.lang else None)
+    config = load_config(Path(args.root), explicit=args.config, tool=args.tool_name, strict=args.strict, languages=tuple(args.lang) if args.lang else None)
     command = args.command
     if command == "rules":
         return {"rules": spark.createDataFrame(rules.catalog(list(config.enabled_rules) or None, list(config.disabled_rules)))}

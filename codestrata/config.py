@@ -54,16 +54,16 @@ def _checked(values: dict) -> dict:
     return out
 
 
-def load_config(root: Path | None = None, *, explicit: Path | None = None, **overrides: object) -> Config:
-    """Settings of ``pyproject.toml`` ([tool.slop]), then of ``slop.toml``, then ``overrides``; a file given explicitly takes
-    the place of both."""
+def load_config(root: Path | None = None, *, explicit: Path | None = None, tool: str = "codestrata", **overrides: object) -> Config:
+    """Settings of ``pyproject.toml`` (its table ``[tool.TOOL]``), then of ``TOOL.toml``, then ``overrides``; a file given
+    explicitly takes the place of both.  ``tool`` is a parameter, so that settings kept under another name still serve."""
     config = Config()
     if explicit is not None:
         config = replace(config, **_checked(tomllib.loads(explicit.read_text("utf-8"))))
     elif root is not None:
-        project, own = root / "pyproject.toml", root / "slop.toml"
+        project, own = root / "pyproject.toml", root / f"{tool}.toml"
         if project.exists():
-            config = replace(config, **_checked(tomllib.loads(project.read_text("utf-8")).get("tool", {}).get("slop", {})))
+            config = replace(config, **_checked(tomllib.loads(project.read_text("utf-8")).get("tool", {}).get(tool, {})))
         if own.exists():
             config = replace(config, **_checked(tomllib.loads(own.read_text("utf-8"))))
     return replace(config, **_checked({k: v for k, v in overrides.items() if v is not None}))

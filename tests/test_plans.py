@@ -157,7 +157,7 @@ def test_renames_are_hints(spark, repo):
 
 
 def test_config_sources(tmp_path):
-    tree(tmp_path, {"pyproject.toml": "[tool.slop]\nclone_min_sloc = 4\nstrict = true\n", "slop.toml": "clone_min_sloc = 5\n", "own.toml": "complexity_threshold = 3\n"})
+    tree(tmp_path, {"pyproject.toml": "[tool.codestrata]\nclone_min_sloc = 4\nstrict = true\n", "codestrata.toml": "clone_min_sloc = 5\n", "own.toml": "complexity_threshold = 3\n"})
     merged = load_config(tmp_path, strict=False)
     assert (merged.clone_min_sloc, merged.strict, merged.complexity_threshold) == (5, False, 10)
     assert load_config(tmp_path, explicit=tmp_path / "own.toml").clone_min_sloc == 6
