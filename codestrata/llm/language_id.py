@@ -101,7 +101,9 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
-        if not words and not (text and any(c.isalpha() for c in text)) or not self.languages:
+        # A run may be of signs like fractions only, which are no letters.
+        letter = any(map(str.isalpha, words)) or any(c.isalpha() for c in text or "")
+        if not letter or not self.languages:
             return UNKNOWN, 0.0
         total, n = np.zeros(len(self.languages)), 0
         for grams in grams_of(words):

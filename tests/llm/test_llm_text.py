@@ -88,9 +88,9 @@ def test_language_id_on_held_out_rows(spark):
 
 def test_language_id_edges(spark):
     base = [(i, w, lang, None) for i, (w, lang) in enumerate([("der die das und", "de"), ("the and of that", "en")] * 40)]
-    docs = frame(spark, [*base, (900, None, "de", None), (901, "123 !?", "en", None), (902, "", None, None), (None, "the the", "en", None), (903, "字" * 30, None, None)])
+    docs = frame(spark, [*base, (900, None, "de", None), (901, "123 !?", "en", None), (902, "", None, None), (None, "the the", "en", None), (903, "字" * 30, None, None), (904, "½ ²", None, None)])
     got = {r.doc_id: r for r in language_id.identify(docs).collect()}
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902, 904))
     assert got[None].held_out is False and got[None].lang_pred == "en" and got[903].lang_pred in ("de", "en")
     assert {r.lang_pred for r in language_id.identify(frame(spark, [(1, "abc", None, None)])).collect()} == {"und"}
     assert language_id.identify(docs.limit(0)).count() == 0
