@@ -168,3 +168,17 @@ def test_config_sources(tmp_path):
     assert files.resolve_languages(["Python", "py", ".pyi"]) == {"python"}
     with pytest.raises(ValueError, match="unknown"):
         files.resolve_languages(["cobol"])
+
+
+def test_generated_workload_and_table_functions(spark):
+    from codestrata.extract.udtf import register
+    from codestrata.plans.workload import generated_inventory, scan_generated
+
+    got = {(r.cohort, r.metric_id): r for r in scan_generated(spark, 3, 4).collect()}
+    assert got["production", "erosion"].value == 0 and got["production", "verbosity.patterns"].denominator == 3 * 4 * 10
+    register(spark)
+    generated_inventory(spark, 2, 3).createOrReplaceTempView("tree")
+    assert spark.sql("SELECT count(*) FROM tree, LATERAL py_functions(content)").first()[0] == 6
+    assert spark.sql("SELECT count(*) FROM tree, LATERAL sloc_lines(content)").first()[0] == 60
+    assert spark.sql("SELECT rule_id FROM py_findings(encode('v = True if f() else False', 'UTF-8'))").first()[0] == "py.boolean-conditional"
+    assert spark.sql("SELECT * FROM clone_runs(encode('def f(:', 'UTF-8'))").count() == 0
