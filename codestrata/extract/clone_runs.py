@@ -7,6 +7,7 @@ They are comparable within one ``NORMALIZATION_VERSION`` only.
 from __future__ import annotations
 
 import ast
+import hashlib
 
 from .parsed import COMPREHENSIONS, DEFINITIONS, FUNCTIONS, Parsed
 
@@ -69,6 +70,22 @@ def tokens_of(unit: Parsed, node: ast.AST, stand_ins: dict[ast.AST, str], skip:
     return out
 
 
+def _statement(statement: ast.stmt) -> dict:
+    return {"start_line": statement.lineno, "end_line": statement.end_lineno, "digest": hashlib.sha256(ast.dump(statement).encode()).hexdigest()}
+
+
+def suite_path(unit: Parsed, statement: ast.stmt) -> str:
+    """Where a statement's suite hangs in its definition: node kinds and fields from the definition inwards (C14)."""
+    parts, child, up = [], statement, unit.parent.get(statement)
+    while up is not None:
+        field = next((f for f, v in ast.iter_fields(up) if v is child or (isinstance(v, list) and any(x is child for x in v))), "")
+        parts.append(f"{type(up).__name__}.{field}")
+        if isinstance(up, DEFINITIONS):
+            break
+        child, up = up, unit.parent.get(up)
+    return "/".join(reversed(parts))
+
+
 def clone_runs(unit: Parsed, *, min_statements: int = 2, min_sloc: int = 6) -> list[dict]:
     """Maximal runs between imports, definitions and docstrings that reach both minima."""
     docstrings, stand_ins = set(unit.docstrings), None
@@ -85,6 +102,6 @@ def clone_runs(unit: Parsed, *, min_statements: int = 2, min_sloc: int = 6) -> l
                 if sloc >= min_sloc:
                     stand_ins = _stand_ins(unit) if stand_ins is None else stand_ins
                     tokens = [t for s in run for t in tokens_of(unit, s, stand_ins, docstrings)]
-                    out[start, end, tuple(tokens)] = {"start_line": start, "end_line": end, "statement_count": len(run), "sloc": sloc, "normalization_version": NORMALIZATION_VERSION, "tokens": tokens}
+                    out[start, end, tuple(tokens)] = {"start_line": start, "end_line": end, "statement_count": len(run), "sloc": sloc, "normalization_version": NORMALIZATION_VERSION, "tokens": tokens, "owner": ".".join(unit.scope_of(run[0])), "suite": suite_path(unit, run[0]), "statements": [_statement(s) for s in run]}
             run = []
     return [out[k] for k in sorted(out)]

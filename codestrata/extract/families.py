@@ -21,7 +21,7 @@ SPAN = "start_line:int,end_line:int"
 FAMILIES = {
     "functions": f"array<struct<qualified_name:string,complexity:int,assertion_count:int,{SPAN},sloc:int>>",
     "findings": f"array<struct<rule_id:string,category:string,severity:string,message:string,{SPAN},scope:string,statement:string>>",
-    "clones": f"array<struct<{SPAN},statement_count:int,sloc:int,normalization_version:string,tokens:array<string>>>",
+    "clones": f"array<struct<{SPAN},statement_count:int,sloc:int,normalization_version:string,tokens:array<string>,owner:string,suite:string,statements:array<struct<{SPAN},digest:string>>>>",
     "symbols": f"array<struct<kind:string,qualified_name:string,{SPAN},ast_fingerprint:string,rename_fingerprint:string>>",
     "imports": "array<struct<line:int,level:int,target:string,name:string,expression:string,execution:string,guards:array<string>,reason:string>>",
     "dispatch": f"array<struct<symbol:string,subject:string,operator:string,values:array<string>,context:string,{SPAN},start_column:int,end_column:int>>",

@@ -16,7 +16,7 @@ _KINDS = {
     "sloc_lines": ("line int", lambda u: [(n,) for n in u.sloc_lines]),
     "py_functions": ("qualified_name string, complexity int, assertion_count int, start_line int, end_line int, sloc int", lambda u: [tuple(f.values()) for f in callables(u)]),
     "py_findings": ("rule_id string, category string, severity string, message string, start_line int, end_line int", lambda u: [tuple(f.values()) for f in findings(u, select_rules())]),
-    "clone_runs": ("start_line int, end_line int, statement_count int, sloc int, normalization_version string, tokens array<string>", lambda u: [tuple(r.values()) for r in clone_runs(u)]),
+    "clone_runs": ("start_line int, end_line int, statement_count int, sloc int, normalization_version string, tokens array<string>", lambda u: [tuple(r.values())[:6] for r in clone_runs(u)]),
 }
 
 

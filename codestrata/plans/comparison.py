@@ -100,23 +100,70 @@ class Comparison:
         bad = self.line_deltas.filter("reason IS NOT NULL").select(*POPULATION, F.explode(F.array_compact(F.array("baseline_path", "current_path"))).alias("path"))
         return continuity.symbol_changes(old, rows(self.after), unavailable_paths=bad)
 
+    def member_relations(self) -> DataFrame:
+        """Old members of duplicates against new ones in the mapped file, by their aligned statements (D19): ``old_group,
+        old_occ, new_group, new_occ, relation``.  Statements are anchors where both ends are aligned and they are equal, so
+        only members that share an aligned statement are ever compared."""
+
+        def sided(s: Snapshot, side: str) -> tuple[DataFrame, DataFrame]:
+            occ = F.sha2(F.concat_ws("|", "path", *POPULATION, "group_id", F.col("start_line").cast("string"), F.col("end_line").cast("string")).cast("binary"), 256)
+            rows = s.clone_members.withColumn("occ", occ)
+            facts = rows.select(F.col("occ").alias(f"{side}_occ"), F.col("group_id").alias(f"{side}_group"), *[F.col(c).alias(f"{side}_{c}") for c in ("owner", "suite", "statement_count")])
+            parts = rows.select(*POPULATION, F.col("path").alias(f"{side}_path"), F.col("occ").alias(f"{side}_occ"), F.explode("statements").alias("x"))
+            return facts.dropDuplicates([f"{side}_occ"]), parts.select(*POPULATION, f"{side}_path", f"{side}_occ", F.col("x.start_line").alias(f"{side}_start"), F.col("x.end_line").alias(f"{side}_end"), F.col("x.digest").alias("fingerprint"))
+
+        (old, a), (new, b) = sided(self.before, "old"), sided(self.after, "new")
+        first = self.line_map.withColumnsRenamed({"old_line": "old_start", "new_line": "new_start"})
+        last = self.line_map.withColumnsRenamed({"old_line": "old_end", "new_line": "new_end"})
+        moved = a.join(first, ["old_path", "old_start"]).join(last, ["old_path", "new_path", "old_end"])
+        anchors = moved.join(b, [*POPULATION, "new_path", "new_start", "new_end", "fingerprint"]).select("old_occ", "new_occ", "fingerprint", "old_start")
+        pairs = anchors.select("old_occ", "new_occ").distinct().join(old, "old_occ").join(new, "new_occ")
+        same = (F.col("old_owner") == F.col("new_owner")) & (F.col("old_suite") == F.col("new_suite"))
+        pairs = pairs.select("old_occ", "new_occ", "old_group", "new_group", same.alias("same_owner"), F.greatest("old_statement_count", "new_statement_count").alias("statements"))
+        return continuity.anchored_relation(pairs, anchors).join(pairs.select("old_occ", "new_occ", "old_group", "new_group"), ["old_occ", "new_occ"])
+
+    def group_resolution(self) -> DataFrame:
+        """Which old and new groups belong together (D20, J6): equal fingerprints, or members that are not unrelated; a
+        component with several on a side is ambiguous."""
+        keys = [*POPULATION, "normalization_version", "fingerprint"]
+        ids = [s.clone_members.select(*keys, F.col("group_id").alias(f"{side}_group")).distinct() for s, side in ((self.before, "old"), (self.after, "new"))]
+        equal = ids[0].join(ids[1], keys).select("old_group", "new_group")
+        related = self.member_relations().filter("relation <> 'unrelated'").select("old_group", "new_group")
+        return continuity.resolve_groups(equal.union(related).distinct())
+
     def clone_changes(self) -> DataFrame:
-        """State of each group of duplicates on either side, by its fingerprint and mapped members."""
-        keys = [*POPULATION, "fingerprint"]
-        old, new = self.before.clone_members, self.after.clone_members
-        paths = self.pairs.select(*POPULATION, "baseline_path", "current_path", (F.col("kind") == "unresolved").alias("_u"))
-        a = old.groupBy(*keys).agg(F.count(F.lit(1)).alias("before"))
-        b = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("after"))
-        lost = old.join(paths.withColumnRenamed("baseline_path", "path"), ["path", *POPULATION]).filter("_u").groupBy(*keys).agg(F.count(F.lit(1)).alias("unresolved"))
-        moved = old.select(*keys, "path").distinct().join(paths.filter("current_path IS NOT NULL").withColumnRenamed("baseline_path", "path"), ["path", *POPULATION]).select(*keys, F.col("current_path").alias("path")).distinct()
-        kept = new.select(*keys, "path").distinct().join(moved, [*keys, "path"], "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("kept"))
-        paths_new = new.select(*keys, "path").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_new"))
-        paths_old = old.select(*keys, "path").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_old"))
-        rows = a.join(b, keys, "full_outer")
-        for more in (lost, kept, paths_new, paths_old):
-            rows = rows.join(more, keys, "left")
-        rows = rows.na.fill(0, ["before", "after", "unresolved", "kept", "_new", "_old"]).withColumns({"added": F.greatest(F.lit(0), F.col("_new") - F.col("kept")), "removed": F.greatest(F.lit(0), F.col("_old") - F.col("kept")), "modified": F.lit(0)})
-        return rows.select(*keys, "before", "after", clones.group_state().alias("state"))
+        """State of each group of duplicates, old and new ones that belong together taken as one (E18): ``component,
+        old_group, new_group, before, after, modified, added, removed, state``.
+
+        With equal fingerprints a member is kept where its mapped file still has one; else it is modified where a new member is
+        anchored to it.  Ambiguous groups, members in files that could not be paired, and members whose relation stays
+        uncertain make a group unresolved.
+        """
+        counts = lambda df, *by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        old, new = (s.clone_members.select(*POPULATION, "group_id", "fingerprint", "path") for s in (self.before, self.after))
+        paired = self.group_resolution().checkpoint()
+        place = [paired.filter(f"{side}_group IS NOT NULL").select(F.col(f"{side}_group").alias("group_id"), "component", "resolution") for side in ("old", "new")]
+        olds, news = (df.join(p, "group_id", "left").withColumn("component", F.coalesce("component", F.concat(F.lit(f"{side}:"), "group_id"))) for df, p, side in ((old, place[0], "old"), (new, place[1], "new")))
+        first = lambda df, name, n: df.groupBy("component").agg(F.min("group_id").alias(f"{name}_group"), F.count(F.lit(1)).alias(n), F.min("fingerprint").alias(f"_{name}_mark"), F.max(F.col("resolution") == "ambiguous").alias(f"_{name}_bad"))
+        rows = first(olds, "old", "before").join(first(news, "new", "after"), "component", "full_outer").na.fill(0, ["before", "after"])
+
+        files = self.pairs.select(*POPULATION, F.col("baseline_path").alias("path"), F.col("current_path").alias("to"), (F.col("kind") == "unresolved").alias("_u"))
+        mapped = olds.join(files, ["path", *POPULATION])
+        lost = counts(mapped.filter("_u"), "component").withColumnRenamed("n", "_lost")
+        kept = counts(mapped.select("component", F.col("to").alias("path")).distinct().join(news.select("component", "path").distinct(), ["component", "path"], "left_semi"), "component").withColumnRenamed("n", "_kept")
+        relations = self.member_relations().join(place[0].select(F.col("group_id").alias("old_group"), "component"), "old_group")
+        best = relations.groupBy("component", "old_occ").agg(F.max(F.col("relation") == "anchored").alias("sure"), F.max(F.col("relation") == "uncertain").alias("unsure"))
+        edited = best.groupBy("component").agg(F.count(F.when(F.col("sure"), 1)).alias("_edited"), F.count(F.when(F.col("unsure") & ~F.col("sure"), 1)).alias("_unsure"))
+        for more in (lost, kept, edited):
+            rows = rows.join(more, "component", "left")
+        rows = rows.na.fill(0, ["_lost", "_kept", "_edited", "_unsure"]).na.fill(False, ["_old_bad", "_new_bad"])
+        same = F.coalesce(F.col("_old_mark") == F.col("_new_mark"), F.lit(False))
+        matched = F.when(same, F.col("_kept")).otherwise(F.col("_edited"))
+        unresolved = F.col("_lost") + (F.col("_old_bad") | F.col("_new_bad")).cast("int") + F.when(same, 0).otherwise(F.col("_unsure"))
+        rows = rows.withColumns(
+            {"modified": F.when(same, 0).otherwise(F.col("_edited")), "added": F.greatest(F.lit(0), F.col("after") - matched), "removed": F.greatest(F.lit(0), F.col("before") - matched), "unresolved": unresolved}
+        )
+        return rows.select("component", "old_group", "new_group", "before", "after", "modified", "added", "removed", clones.group_state().alias("state"))
 
     def review(self) -> dict[str, DataFrame]:
         """Counts of all change families by state, zeros included."""

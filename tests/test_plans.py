@@ -104,6 +104,20 @@ def test_finding_and_symbol_continuity(spark, tmp_path):
     assert counts == {"introduced": 1, "persisted": 1, "removed": 0, "changed": 0, "unresolved": 0}
 
 
+def test_edited_duplicates_stay_related(spark, tmp_path):
+    old = tree(tmp_path / "old", {f"{n}.py": BLOCK.format(name="f", p="x") for n in "ab"})
+    new = tree(tmp_path / "new", {f"{n}.py": BLOCK.format(name="f", p="x").replace("c = b - 3", "c = b - 4") for n in "ab"})
+    change = api.compare(spark, old, None, None, other_root=new)
+    assert {r.relation for r in change.member_relations().collect()} == {"anchored"}
+    assert {r.resolution for r in change.group_resolution().collect()} == {"paired"}
+    assert rows(change.clone_changes(), "before", "after", "modified", "added", "removed", "state") == [(2, 2, 2, 0, 0, "changed")]
+    more = tree(tmp_path / "more", {f"{n}.py": BLOCK.format(name="f", p="x") for n in "abc"})
+    assert rows(api.compare(spark, old, None, None, other_root=more).clone_changes(), "before", "after", "added", "state") == [(2, 3, 1, "expanded")]
+    assert rows(api.compare(spark, old, None, None, other_root=old).clone_changes(), "state") == [("persisted",)]
+    none = tree(tmp_path / "none", {"a.py": BLOCK.format(name="f", p="x")})
+    assert rows(api.compare(spark, old, None, None, other_root=none).clone_changes(), "state") == [("removed",)]
+
+
 def test_architecture(spark, tmp_path):
     root = tree(tmp_path, {"src/a.py": "import b\nimport b\nimport os\n", "src/b.py": "import a\n", "src/c.py": "from a import x\n", "src/pkg/__init__.py": "", "src/pkg/store.py": "", "src/pkg/ctl.py": "from . import store\nfrom . import nothing\nimport pkg.none\n"})
     got = api.inspect_architecture(spark, root, ["src"], [("pkg.ctl", "pkg.store"), ("a", "zzz")])
