@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .shingles import ngram_hashes, word_hashes
 
 #: ASCII bytes other than letters and digits become spaces.
@@ -204,6 +205,7 @@ def find_leaks(
     """One row per document and item that it leaks: both ids, ``score`` (share of the item's own score, 0 to 1), and the
     ``first_word`` and ``last_word`` of the place with the best alignment."""
     spark = docs.sparkSession
+    shared_dir(spark)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 

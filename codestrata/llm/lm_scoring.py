@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .folds import fold_is, sampled
 from .shingles import _SPACE, word_hashes
 
@@ -319,6 +320,7 @@ class Network:
 def fit(docs: DataFrame, learnable: Column, *, id_col: str, text_col: str, settings: Settings) -> tuple[Network, DataFrame]:
     """The trained network, and the table of all counts (``word, tail, n``)."""
     spark = docs.sparkSession
+    shared_dir(spark)
     rows = docs.filter(learnable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = count_words(rows, "text").checkpoint()
     tails = {r["tail"]: (r["n"], r["kinds"]) for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("n").alias("kinds")).collect()}

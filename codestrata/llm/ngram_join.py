@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from ..session import shared_dir
 from .shingles import mix, ngram_set
 
 _NO_EDGE = "a binary, b binary"
@@ -239,6 +240,7 @@ def _classes(
     """The sketches of all rows, and for each key: ``copies``, ``class_id``, ``keeper`` (id and text hash of the row that
     stands for its group) and ``n_links``."""
     bands = bands_for(threshold, rows, recall)
+    shared_dir(docs.sparkSession)
     sketch = sketches(docs, id_col=id_col, text_col=text_col, n=n, bands=bands, rows=rows).checkpoint()
 
     classes = (

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 SPACE = r"[ \\t-\\r]"
 SYMBOLS = "[#*$%&|<>]"
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "other")
@@ -150,6 +151,7 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ru
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
     if clash := [c for c in docs.columns if c in new or c.startswith("_q_")]:
         raise ValueError(f"columns {clash} are there already")
+    shared_dir(docs.sparkSession)
     # The references are used twice (known languages, and their shares), so they are written down: a few rows.
     references = F.broadcast(language_references(docs, text_col=text_col, lang_col=lang_col, rules=rules).checkpoint())
     d = _letters(docs, text_col, lang_col)

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, ``size`` (UTF-8 bytes plus 1), ``text_crc32``, ``law``, ``shard`` (0 to
@@ -24,6 +26,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id"
     ``ranges`` is the number of ranges of the order, four times the shuffle partitions by default.
     """
     spark = docs.sparkSession
+    shared_dir(spark)
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
         F.col(id_col).alias("id"),
