@@ -19,6 +19,8 @@ from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Queries over whole tables that have no SQL here; the tests compare them to brute force.
+WITHOUT_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(sql: str):
@@ -30,6 +32,11 @@ def query(sql: str):
     return register
 
 
+def query_without_sql(f: Callable[[SparkSession, str], DataFrame]):
+    WITHOUT_SQL[f.__name__] = f
+    return f
+
+
 # --- roles ----------------------------------------------------------------------------------------------------------
 
 
@@ -505,13 +512,10 @@ def import_cycles(spark, sf):
     return graph.cycles(_edges(spark, sf))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem WHERE l_orderkey % 211 = 1), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM s UNION SELECT s.b, r.m FROM r JOIN s ON s.a = r.n)
-    SELECT n AS node, min(m) AS component FROM r GROUP BY n"""
-)
+@query_without_sql
 def components(spark, sf):
-    """Connected components of parts and suppliers."""
-    e = table(spark, sf, "lineitem").filter("l_orderkey % 211 = 1").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b"))
+    """Connected components of parts and suppliers, over all of lineitem."""
+    e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b"))
     return graph.connected_components(e)
 
 

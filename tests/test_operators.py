@@ -221,6 +221,25 @@ def test_cycles(spark):
     assert graph.connected_components(chain).filter("component <> 0").count() == 0
 
 
+def test_components_cover_all_of_lineitem(spark, tmp_path):
+    # Three components; before, only the row with l_orderkey 1 was read.
+    pairs = [(1, 10, 1), (2, 20, 1), (3, 30, 2), (212 * 5, 40, 2), (5, 30, 3), (6, 50, 4)]
+    spark.createDataFrame(pairs, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    s = 1_000_000_000
+    expect = [(10, 10), (20, 10), (s + 1, 10), (30, 30), (40, 30), (s + 2, 30), (s + 3, 30), (50, 50), (s + 4, 50)]
+    assert rows(table_queries.WITHOUT_SQL["components"](spark, str(tmp_path))) == sorted(expect, key=str)
+
+    least = {}  # brute force over the smallest shared table: every edge levels its ends until nothing moves
+    edges = {(r.l_partkey, r.l_suppkey + s) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            m = min(least.setdefault(a, a), least.setdefault(b, b))
+            moved, least[a], least[b] = moved or least[a] != m or least[b] != m, m, m
+    assert rows(table_queries.WITHOUT_SQL["components"](spark, SF)) == sorted(least.items(), key=str)
+
+
 def test_module_names_and_imports(spark):
     files = spark.createDataFrame([("src/a.py",), ("src/p/__init__.py",), ("lib/a.py",), ("src/1x.py",), ("other/z.py",)], "path string")
     assert rows(architecture.module_index(files, ["src", "lib"]), "path", "module", "status") == [("lib/a.py", "a", "ambiguous"), ("other/z.py", None, "outside"), ("src/1x.py", "1x", "invalid"), ("src/a.py", "a", "ambiguous"), ("src/p/__init__.py", "p", "unique")]
