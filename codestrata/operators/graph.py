@@ -60,7 +60,7 @@ def fan_out(modules: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def trim_acyclic(edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
-    """The edges left after taking away, again and again, nodes without an edge in or out: all cycles survive."""
+    """The edges left after taking away, up to ``max_rounds`` times, nodes without an edge in or out: all cycles survive."""
     shared_dir(edges.sparkSession)
     edges = edges.select("importer", "imported").distinct().checkpoint()
     n = edges.count()
@@ -78,9 +78,10 @@ def cycles(edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
     """Strongly connected components of more than one node, or of one with an edge to itself (J2): ``module, cycle`` (the
     least module of the component).
 
-    Least labels are passed forwards and backwards along the edges: the nodes that reach the least node of their region
-    and are reached by it are its component; it is set aside and the rest goes on.  Nodes that lie on no cycle are trimmed
-    first, so the work is that of the cyclic part.
+    Least labels are passed forwards and backwards along the edges until nothing moves: the nodes that reach the least node
+    of their region and are reached by it are its component; it is set aside, edges between nodes of different labels are on
+    no cycle, and the rest goes on.  Each pass settles at least one component of each region, so there is no bound on the
+    passes.  Nodes that lie on no cycle are trimmed first (in ``max_rounds`` rounds at most, which only saves work).
     """
     spark = edges.sparkSession
     shared_dir(spark)
@@ -90,26 +91,30 @@ def cycles(edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
     found = spark.createDataFrame([], f"module {kind}, cycle {kind}")
 
     def spread(edges: DataFrame, source: str, target: str) -> DataFrame:
-        """For each node the least node that reaches it along the edges from ``source`` to ``target``."""
-        label = edges.select(F.col("importer").alias("node")).union(edges.select("imported")).distinct().withColumn("label", F.col("node")).checkpoint()
+        """For each node the least node that reaches it along the edges from ``source`` to ``target``.
+
+        Each node also takes the label of one node that reaches it, ``jump``, which doubles its distance in each round, so
+        that long rings settle in a logarithm of their length."""
+        nodes = edges.select(F.col("importer").alias("node")).union(edges.select("imported")).distinct()
+        jumps = edges.groupBy(F.col(target).alias("node")).agg(F.min(source).alias("jump"))
+        label = nodes.join(jumps, "node", "left").select("node", F.col("node").alias("label"), F.coalesce("jump", "node").alias("jump")).checkpoint()
         state = None
-        for _ in range(max_rounds):
-            moved = edges.join(label.withColumnRenamed("node", source), source).select(F.col(target).alias("node"), "label")
-            label = label.union(moved).groupBy("node").agg(F.min("label").alias("label")).checkpoint()
-            now = _state(label)
-            if now == state:
-                break
+        while (now := _state(label.select("node", "label"))) != state:
             state = now
-        return label
-
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
-        forward, backward = spread(left, "importer", "imported"), spread(left, "imported", "importer")
-        same = forward.join(backward, ["node", "label"]).withColumnsRenamed({"node": "module", "label": "cycle"}).checkpoint()
-        found = found.union(same)
-        # Edges between different components, and edges of what is found, are on no cycle that is still to be found.
-        left = left.join(same.select(F.col("module").alias("importer")), "importer", "left_anti").join(same.select(F.col("module").alias("imported")), "imported", "left_anti")
+            moved = edges.join(label.select(F.col("node").alias(source), "label"), source).select(F.col(target).alias("node"), "label")
+            ahead = label.select(F.col("node").alias("jump"), F.col("label").alias("far_label"), F.col("jump").alias("far_jump"))
+            jumped = label.join(ahead, "jump").select("node", F.least("label", "far_label").alias("label"), F.col("far_jump").alias("jump"))
+            both = jumped.unionByName(moved, allowMissingColumns=True)
+            label = both.groupBy("node").agg(F.min("label").alias("label"), F.min("jump").alias("jump")).checkpoint()
+        return label.select("node", "label")
+
+    while not left.isEmpty():
+        forward = spread(left, "importer", "imported").withColumnRenamed("label", "first")
+        backward = spread(left, "imported", "importer").withColumnRenamed("label", "last")
+        labels = forward.join(backward, "node").checkpoint()
+        found = found.union(labels.filter("first = last").select("node", F.col("first").alias("cycle")))
+        rest = labels.filter("first <> last")
+        left = left.join(rest.select(F.col("node").alias("importer"), "first", "last"), "importer").join(rest.select(F.col("node").alias("imported"), "first", "last"), ["imported", "first", "last"])
         left = trim_acyclic(left, max_rounds=max_rounds)
     several = found.groupBy("cycle").count().filter("count > 1").select("cycle")
     found = found.join(several, "cycle", "left_semi").select("module", "cycle")

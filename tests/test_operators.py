@@ -1,6 +1,7 @@
 """Operators on small tables with values worked out by hand, and the SQL oracles on the smallest shared tables."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -221,6 +222,28 @@ def test_cycles(spark):
     assert graph.connected_components(chain).filter("component <> 0").count() == 0
 
 
+def test_long_and_many_cycles_settle(spark):
+    # A ring of 410 in name order (before: no cycle), and pairs chained in name order, more than the rounds allowed.
+    ring = spark.range(410).select(F.col("id").alias("importer"), ((F.col("id") + 1) % 410).alias("imported"))
+    assert rows(graph.cycles(ring)) == sorted([(k, 0) for k in range(410)], key=str)
+    pairs = [(k, k ^ 1) for k in range(12)] + [(k, k + 2) for k in range(0, 10, 2)]
+    got = graph.cycles(spark.createDataFrame(pairs, "importer long, imported long"), max_rounds=3)
+    assert rows(got) == sorted([(k, k // 2 * 2) for k in range(12)], key=str)
+
+
+def test_cycles_by_brute_force(spark):
+    rng = random.Random(5)
+    n, m = 40, 60
+    edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+    reach = {a: {b for x, b in edges if x == a} for a in range(n)}
+    for k in range(n):
+        for a in range(n):
+            reach[a] |= reach[k] if k in reach[a] else set()
+    expect = [(a, min(b for b in reach[a] if a in reach[b])) for a in range(n) if a in reach[a]]
+    got = graph.cycles(spark.createDataFrame(sorted(edges), "importer long, imported long"), max_rounds=2)
+    assert rows(got) == sorted(expect, key=str)
+
+
 def test_components_cover_all_of_lineitem(spark, tmp_path):
     # Three components; before, only the row with l_orderkey 1 was read.
     pairs = [(1, 10, 1), (2, 20, 1), (3, 30, 2), (212 * 5, 40, 2), (5, 30, 3), (6, 50, 4)]
