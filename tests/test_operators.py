@@ -263,6 +263,18 @@ def test_components_cover_all_of_lineitem(spark, tmp_path):
     assert rows(table_queries.WITHOUT_SQL["components"](spark, SF)) == sorted(least.items(), key=str)
 
 
+def test_import_cycles_cover_all_of_lineitem(spark):
+    edges = {(f"p{r.l_partkey % 60}", f"p{r.l_suppkey % 45}") for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    nodes = {x for e in edges for x in e}
+    reach = {a: {b for x, b in edges if x == a} for a in nodes}
+    for k in nodes:
+        for a in nodes:
+            reach[a] |= reach[k] if k in reach[a] else set()
+    expect = [(a, min(b for b in reach[a] if a in reach[b])) for a in nodes if a in reach[a]]
+    assert rows(table_queries.WITHOUT_SQL["import_cycles"](spark, SF)) == sorted(expect, key=str)
+    assert {tuple(r) for r in table_queries._edges(spark, SF).distinct().collect()} == edges
+
+
 def test_module_names_and_imports(spark):
     files = spark.createDataFrame([("src/a.py",), ("src/p/__init__.py",), ("lib/a.py",), ("src/1x.py",), ("other/z.py",)], "path string")
     assert rows(architecture.module_index(files, ["src", "lib"]), "path", "module", "status") == [("lib/a.py", "a", "ambiguous"), ("other/z.py", None, "outside"), ("src/1x.py", "1x", "invalid"), ("src/a.py", "a", "ambiguous"), ("src/p/__init__.py", "p", "unique")]
