@@ -148,22 +148,19 @@ def span_line_counts(spark, sf):
     return found.groupBy("conv_id", "turn").agg(F.count("line").alias("lines"))
 
 
-_SPANS = "spans AS (SELECT DISTINCT l_suppkey AS path, l_linenumber * 10 AS start_line, l_linenumber * 10 + CAST(l_quantity AS INT) AS end_line FROM lineitem WHERE l_discount < 0.02)"
-
-
 def _supplier_spans(spark, sf):
-    s = table(spark, sf, "lineitem").filter("l_discount < 0.02")
+    s = table(spark, sf, "lineitem")
     return s.select(F.col("l_suppkey").alias("path"), (F.col("l_linenumber") * 10).alias("start_line"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("int")).alias("end_line")).distinct()
 
 
-@query(f"""WITH {_SPANS} SELECT a.path AS path, CAST(count(*) AS BIGINT) AS pairs FROM spans a JOIN spans b ON a.path = b.path AND a.start_line <= b.end_line AND a.end_line >= b.start_line GROUP BY 1""")
+@query_without_sql
 def span_overlaps(spark, sf):
     """Overlapping spans of a key."""
     s = _supplier_spans(spark, sf)
     return overlapping_spans(s, s, ["path"]).groupBy("path").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query(f"""WITH {_SPANS} SELECT a.path AS path, CAST(count(*) AS BIGINT) AS pairs FROM spans a JOIN spans b ON a.path = b.path AND b.start_line <= a.start_line AND b.end_line >= a.end_line GROUP BY 1""")
+@query_without_sql
 def span_enclosures(spark, sf):
     """Spans that enclose another."""
     s = _supplier_spans(spark, sf)
