@@ -72,11 +72,11 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_language`` bounds the sample of labelled rows that the weights are fitted to.  A language is learnt if it
-    has ``least_share`` of the labelled rows, so there are at most 1 / ``least_share`` of them."""
+    """``per_language`` bounds the sample of labelled rows that the weights are fitted to.  Every language with labelled
+    rows is learnt; more than ``max_languages`` of them (the weights take room for each) are an error."""
 
     per_language: int = 500
-    least_share: float = 1e-4
+    max_languages: int = 200
     calibration_share: float = 0.2
     epochs: int = 4
     alpha: float = 0.5
@@ -192,7 +192,9 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learnable.alias("ok")).filter("ok AND text IS NOT NULL AND lang IS NOT NULL")
     counts, n = document_frequencies(rows.select("text"))
     idf = np.log((1 + n) / (1 + counts)) + 1
-    sizes = rows.groupBy("lang").count().filter(F.col("count") >= settings.least_share * n)
+    sizes = rows.groupBy("lang").count()
+    if (k := sizes.count()) > settings.max_languages:
+        raise ValueError(f"{k} languages; at most {settings.max_languages} are learnt")
     shares = sizes.select("lang", (settings.per_language / F.col("count")).alias("share"))
     # Broadcast: a row for each language learnt.
     sample = rows.join(F.broadcast(shares), "lang").filter(sampled("id", F.col("share"), settings.seed)).select("lang", "text")

@@ -96,6 +96,15 @@ def test_language_id_edges(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def test_rare_languages_are_learnt_and_too_many_are_an_error(spark):
+    # One of 20,001 labelled rows: under the share of 1e-4 that was needed before.
+    docs = spark.range(20_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 5, "qqq xxx").otherwise("aa bb").alias("text"), F.when(F.col("id") == 5, "rare").otherwise("usual").alias("lang"))
+    model = language_id.fit(docs, F.lit(True))
+    assert model.languages == ["rare", "usual"]
+    with pytest.raises(ValueError, match="2 languages"):
+        language_id.fit(docs, F.lit(True), settings=language_id.Settings(max_languages=1))
+
+
 def test_language_grams_match_a_plain_count():
     words = language_id.words_of("Der Bär, a bé! zz")
     plain = sum(len(f"<{w}>") - n + 1 for w in words for n in range(1, 5) if len(f"<{w}>") >= n)
