@@ -11,7 +11,7 @@ tail class) for others, 0.1 of each tail's mass being for words never seen.  The
 network over embeddings of words and tail classes.  Output biases start at the counts, so the model starts as good as
 the unigram base and training only adds context.
 
-Training.  A fixed share of the training documents, so it grows with the corpus, is trained on in place: each task runs
+Training.  All training documents (``train_share`` of them, 1 unless told otherwise) are trained on in place: each task runs
 truncated back-propagation through time (numpy, Adam, state carried from window to window, reset at document ends) on
 its own documents, and the parameters are averaged over all tasks by their tokens, in ``slots`` partial averages first;
 ``rounds`` such rounds follow each other.
@@ -40,18 +40,18 @@ from .shingles import _SPACE, word_hashes
 
 #: Stands for the end of a document among word hashes.
 END = np.uint64(0)
-TAILS = 64
+TAILS = 96
 LN10 = float(np.log(10))
 
 
 @dataclass(frozen=True)
 class Settings:
-    vocabulary: int = 1500
+    vocabulary: int = 2000
     head_share: float = 1e-6
     classes: int = 40
     embedding: int = 16
     hidden: int = 24
-    train_share: float = 1 / 32
+    train_share: float = 1.0
     rounds: int = 2
     streams: int = 32
     steps: int = 20

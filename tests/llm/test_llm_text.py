@@ -164,6 +164,14 @@ def test_lm_base_scores_by_brute_force_and_model_is_better(spark):
     assert seen.score.sum() > seen.base_score.sum()
 
 
+def test_lm_trains_on_all_training_documents(spark):
+    # A table of 24 documents, of which a share of 1/32 (the default before) leaves one or none to train on.
+    docs = spark.createDataFrame([(k, "tick tock " * 60) for k in range(24)], "doc_id long, text string")
+    share = lm_scoring.score_documents(docs, settings=lm_scoring.Settings(train_share=1 / 32)).toPandas()
+    whole = lm_scoring.score_documents(docs).toPandas()
+    assert whole.score.sum() > share.score.sum() + 0.1 * abs(share.score.sum()) and whole.score.sum() > whole.base_score.sum()
+
+
 def test_lm_distribution_sums_to_one_and_state_is_carried():
     settings = lm_scoring.Settings(vocabulary=6, window=3, docs_at_once=2)
     words = np.array([lm_scoring.END, *range(11, 19)], np.uint64)
