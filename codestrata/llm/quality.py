@@ -9,8 +9,8 @@ The plain counts: words are runs of characters other than space and 0x09-0x0D.
 windows of five words carry their positions and are sorted inside the row; equal neighbours are checked word by word.
 
 Defined cases: a null or empty text has no words and fails (fewer than ``least_words`` words); a document without a
-language, or of one with less than ``least_share`` of all documents, is compared to the classes of all languages together and not
-by its words; repeated rows pass through, null ids too; an empty table gives an empty result; texts of any length are read whole;
+language, or of one with less than ``least_share`` of all documents, is compared to the reference over all languages,
+classes and words; repeated rows pass through, null ids too; an empty table gives an empty result; texts of any length are read whole;
 helper columns are named ``_q_...`` and the input's own columns of that name are not allowed.
 """
 
@@ -34,12 +34,12 @@ class Rules:
     least_words: int = 10
     max_repeat_percent: int = 20
     window: int = 5
-    common_share: float = 0.008
+    common_share: float = 0.005
     least_share: float = 1e-3
     min_chars: int = 300
     min_words: int = 100
     max_class_distance: float = 0.3
-    max_word_distance: float = 0.28
+    max_word_distance: float = 0.32
 
 
 def _sum(array: str) -> str:
@@ -118,7 +118,7 @@ def _with_uses(d: DataFrame) -> DataFrame:
 
 
 def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """``_q_lang, _q_common, _q_word_shares, _q_class_shares`` for each language, and the class shares of all together
+    """``_q_lang, _q_common, _q_word_shares, _q_class_shares`` for each language, and those of all together
     (``*``): at most 1 / ``least_share`` + 1 rows of at most 1 / ``common_share`` words, which is what may be broadcast.
 
     Words are counted exactly, by language and word, with partial sums before the shuffle.
@@ -136,13 +136,16 @@ def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: st
     counts = words.groupBy("_q_lang", "word").agg(F.count(F.lit(1)).alias("n")).filter("word <> ''")
     totals = counts.groupBy("_q_lang").agg(F.sum("n").alias("total"))
     frequent = counts.join(F.broadcast(totals.join(F.broadcast(known.select("_q_lang")), "_q_lang")), "_q_lang").filter(f"n >= {rules.common_share} * total")
+    # All languages together: the counts of each word are added up over them.
+    together = counts.groupBy("word").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(totals.agg(F.sum("total").alias("total"))))
+    frequent = frequent.unionByName(together.filter(f"n >= {rules.common_share} * total").withColumn("_q_lang", F.lit(ANY)))
     common = (
         frequent.groupBy("_q_lang")
         .agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("own"), F.first("total").alias("total"))
         .withColumn("used", F.expr("transform(own, x -> cast(x.n AS double))"))
         .select("_q_lang", F.expr("own.word").alias("_q_common"), F.expr(_shares(f"concat(used, array(total - {_sum('used')}))")).alias("_q_word_shares"))
     )
-    return known.join(F.broadcast(common), "_q_lang", "left").unionByName(every, allowMissingColumns=True)
+    return known.unionByName(every).join(F.broadcast(common), "_q_lang", "left")
 
 
 def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:

@@ -275,6 +275,19 @@ def test_quality_distances_by_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept} and kept.columns[-1] == "more"
 
 
+def test_quality_words_of_null_and_rare_languages(spark):
+    common = "the of and to a in is it for on".split()
+    rng = random.Random(10)
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    junk = lambda: " ".join(f"w{rng.randrange(10**6):x}".translate(letters) for _ in range(160))
+    prose = lambda: " ".join(rng.choice(common) if rng.random() > 0.5 else f"w{rng.randrange(10**6):x}".translate(letters) for _ in range(160))
+    rows = [(i, prose(), "en") for i in range(60)] + [(60, junk(), None), (61, junk(), "rare"), (62, prose(), None), (63, prose(), "rare"), (64, junk(), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.quality_report(docs, rules=quality.Rules(least_share=0.1, max_class_distance=1.0)).collect()}
+    assert all(r.word_distance is not None for r in got.values())
+    assert not any(got[i].kept for i in (60, 61, 64)) and all(got[i].kept for i in [*range(60), 62, 63])
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------------------
 
 
