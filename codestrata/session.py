@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import io
 import os
 import tempfile
 import zipfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,15 +49,37 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where that is unset, a local one is made if all
+    executors run inside the driver; on a cluster other machines would not see it, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = Path(tempfile.gettempdir(), "codestrata-checkpoints").as_uri()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = Path(tempfile.mkdtemp(prefix="codestrata-checkpoints-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", folder)
+        _drop_at_exit(spark, folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """The path of a new folder below the shared one, for tables that later steps read; removed when the program ends."""
+    folder = f"{shared_dir(spark)}/{kind}-{uuid4().hex}"
+    _drop_at_exit(spark, folder)
+    return folder
+
+
+def _drop_at_exit(spark: SparkSession, folder: str) -> None:
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the program is ending: the JVM or the store may be gone
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+    atexit.register(drop)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
