@@ -4,44 +4,55 @@ Counting.  Words of all training documents are counted exactly (one partial sum
 Words with at least ``head_share`` of all tokens, of which there are at most 1 / ``head_share``, go to every worker with
 their counts; counts of rarer words stay distributed and are joined to the documents that use such words.
 
-Model.  The ``vocabulary`` most frequent words and the end mark are outputs of their own, dealt into classes of about
-equal mass of root frequency.  Every other word falls into a tail class by its last two bytes.  The output is
-P(class | state) P(word | class, state) for words of the vocabulary, and P(tail class | state) (c + 0.1) / (mass of the
-tail class) for others, 0.1 of each tail's mass being for words never seen.  The state is that of a gated recurrent
-network over embeddings of words and tail classes.  Output biases start at the counts, so the model starts as good as
-the unigram base and training only adds context.
-
-Training.  All training documents (``train_share`` of them, 1 unless told otherwise) are trained on in place: each task runs
-truncated back-propagation through time (numpy, Adam, state carried from window to window, reset at document ends) on
-its own documents, and the parameters are averaged over all tasks by their tokens, in ``slots`` partial averages first;
-``rounds`` such rounds follow each other.
-
-Scoring.  Documents of a batch advance together in order of length, in windows whose last state starts the next window,
-so that every document is scored to its end, however long.
+Model.  Outputs are the ``vocabulary`` most frequent words, the end mark, and tails: every other word falls into a tail by
+its last two bytes.  Outputs are dealt into classes, those of words of about equal mass of root frequency, those of tails of
+``tails_in_class``.  A token has P(class | state) P(output | class, state), and in a tail also (c + 0.1) / (mass of the
+tail), 0.1 of each tail's mass being for words never seen.  The state is that of a gated recurrent network over embeddings
+of outputs.  Output biases start at the counts, so the model starts as good as the unigram base and training only adds
+context.
+
+Training.  Every training document is trained on once.  Documents are split into ``rounds`` and each round's into shards of
+about ``shard_tokens`` tokens, both by a hash of id and text and never by where rows happen to lie.  In a round, each shard
+starts from the same network and optimizer state and runs truncated back-propagation through time over its documents, in
+order of their ids (numpy, Adam, state carried from window to window and forgotten where a document ends); then networks
+and optimizer states are averaged by tokens.  So neither partitioning nor the number of tasks changes a result by more than
+the rounding of sums.
+
+Scoring.  Documents are dealt to streams that advance together in windows; the state of a window's end starts the next one,
+and a stream's next document starts afresh, so that every document is scored to its end, however long, and apart from all
+others.
+
+Texts are tokenised twice: to count, and to write output numbers and sums (Parquet in the shared folder, removed at the
+program's end), from which training and scoring read.
 
 Defined cases: a null or empty text is one end mark; without training documents all scores are those of the base (0, for
-a single unseen outcome); repeated rows and null ids pass through (null ids are trained on never: they have no fold); an
-empty table gives an empty result; only the id and text columns are read.
+a single unseen outcome); repeated rows and null ids pass through (null ids are trained on never: they have no fold; rows
+equal in id and text train in one shard); equal texts get equal scores up to rounding; texts of any length are read, trained
+on and scored whole; an empty table gives an empty result; only the id and text columns are read, whatever others are called.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
-from .folds import fold_is, sampled
-from .shingles import _SPACE, word_hashes
+from ..session import own_folder, shared_dir
+from .folds import fold_is
+from .shingles import _SPACE, PIECE, split_words
 
 #: Stands for the end of a document among word hashes.
 END = np.uint64(0)
 TAILS = 96
 LN10 = float(np.log(10))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 @dataclass(frozen=True)
@@ -49,29 +60,77 @@ class Settings:
     vocabulary: int = 2000
     head_share: float = 1e-6
     classes: int = 40
+    tails_in_class: int = 16
     embedding: int = 16
     hidden: int = 24
-    train_share: float = 1.0
-    rounds: int = 2
-    streams: int = 32
-    steps: int = 20
+    rounds: int = 4
+    shard_tokens: int = 1_000_000
+    #: Streams that train together; fewer where a shard would have under ``least_updates`` updates.
+    streams: int = 256
+    least_streams: int = 16
+    least_updates: int = 200
+    steps: int = 16
     rate: float = 0.01
+    damping: float = 1e-5
     slots: int = 32
-    docs_at_once: int = 1024
+    #: What is scored together: streams, and tokens held at a time (or one longer document).
+    score_streams: int = 512
+    score_tokens: int = 4_000_000
     window: int = 32
     seed: int = 3
 
 
-def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words with A-Z in lower case and of the end mark, and the tail class of each."""
-    data = (text or "").encode("utf-8").lower()
-    words = word_hashes(data)
-    raw = np.frombuffer(data, np.uint8)
-    space = _SPACE[raw]
-    ends = np.flatnonzero(~space & np.append(space[1:], True)) if len(raw) else np.empty(0, np.int64)
-    last = raw[ends].astype(np.int64)
-    before = np.where(ends > 0, raw[np.maximum(ends - 1, 0)], 32).astype(np.int64)
-    return np.append(words, END), np.append((last * 31 + before * 7) % TAILS, 0)
+def tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some of the texts at a time: place of the first, hashes of words with A-Z in lower case and of end marks, the tail
+    of each, and the place where each text's tokens begin (and the end of all)."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if not len(texts):
+        return
+    buffers = texts.buffers()
+    cuts = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(cuts, cuts[at] + PIECE, side="right")) - 1)
+        raw, begins = _LOWER[data[cuts[at] : cuts[stop]]], cuts[at : stop + 1] - cuts[at]
+        words, last, before, sizes = [], [], [], np.zeros(stop - at, np.int64)
+        for lo, hi in _pieces(raw):
+            w, first, end = split_words(raw[lo:hi], begins[:-1] - lo)
+            sizes += np.diff(np.searchsorted(first + lo, begins))
+            words.append(w)
+            last.append(raw[end - 1 + lo])
+            before.append(np.where(end - first > 1, raw[end - 2 + lo], 32))
+        w = np.concatenate(words) if words else np.empty(0, np.uint64)
+        tails = (np.concatenate(last).astype(np.int64) * 31 + np.concatenate(before).astype(np.int64) * 7) % TAILS if words else np.empty(0, np.int64)
+        ends = np.cumsum(sizes)
+        yield at, np.insert(w, ends, END), np.insert(tails, ends, 0), np.concatenate([[0], ends + np.arange(1, len(sizes) + 1)])
+        at = stop
+
+
+def _pieces(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``PIECE`` bytes that end at white space."""
+    at = 0
+    while at < len(raw):
+        stop = at + PIECE
+        while stop < len(raw) and not len(space := np.flatnonzero(_SPACE[raw[stop : stop + PIECE]])):
+            stop += PIECE
+        stop = min(stop + int(space[0]) if stop < len(raw) else stop, len(raw))
+        yield at, stop
+        at = stop
+
+
+def one_thread() -> None:
+    """Keep the linear algebra library, if it is one that can be told, from starting threads of its own: tasks fill the cores."""
+    import ctypes
+
+    with open("/proc/self/maps") as f:
+        paths = {line.split()[-1] for line in f if "openblas" in line}
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
 
 
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -85,8 +144,7 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(all_.view(np.int64)), pa.array(np.concatenate(tails)[first].astype(np.int32)), pa.array(n)], names=["word", "tail", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                w, t = tokens(text.as_py())
+            for _, w, t, _ in tokens(batch.column(0)):
                 words.append(w)
                 tails.append(t.astype(np.int16))
                 size += len(w)
@@ -100,10 +158,10 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 class Vocabulary:
-    """Counts of frequent words, classes of output words, and masses of tail classes."""
+    """Counts of frequent words, classes of outputs, and masses of tails."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, tails: np.ndarray, mass: np.ndarray, kinds: np.ndarray, n_tokens: int, n_words: int, settings: Settings):
-        """``words, counts, tails`` of the frequent ones; ``mass`` and ``kinds`` per tail class (sums over all words)."""
+        """``words, counts, tails`` of the frequent ones; ``mass`` and ``kinds`` per tail (sums over all words)."""
         order = np.argsort(words)
         self.words, self.counts, tails = words[order], counts[order], tails[order]
         self.n_tokens, self.n_words = n_tokens, n_words
@@ -113,309 +171,453 @@ class Vocabulary:
         top = top[np.lexsort((self.words[top], -self.counts[top]))]
         roots = np.sqrt(self.counts[top].astype(np.float64))
         share = np.cumsum(roots) / max(1.0, roots.sum())
-        label = np.minimum((share * settings.classes - 1e-9).astype(int), settings.classes - 1)
-        _, label = np.unique(label, return_inverse=True)
-        self.n_classes = int(label.max()) + 1 if len(label) else 0
-        #: Per frequent word: place among the output words, or -1.
+        _, label = np.unique(np.minimum((share * settings.classes - 1e-9).astype(int), settings.classes - 1), return_inverse=True)
+        #: Per frequent word: its output, or -1 for one in a tail.
         self.place = np.full(len(self.words), -1, np.int32)
         self.place[top] = np.arange(len(top))
-        self.label = label.astype(np.int32)  # class of each output word; each class is a range of places
-        self.starts = np.searchsorted(label, np.arange(self.n_classes + 1))
-        self.output_counts = self.counts[top]
-        own = tails[top]
-        self.mass = mass + 0.1 * kinds - np.bincount(own, self.output_counts + 0.1, TAILS) + 0.1
+        self.n_top = len(top)
+        self.mass = mass + 0.1 * kinds - np.bincount(tails[top], self.counts[top] + 0.1, TAILS) + 0.1
+        own = int(label.max()) + 1 if len(label) else 0
+        #: Class of each output (each class is a range of outputs), and the mass of each.
+        self.label = np.concatenate([label, own + np.arange(TAILS) // settings.tails_in_class]).astype(np.int32)
+        self.n_classes = int(self.label[-1]) + 1
+        self.starts = np.searchsorted(self.label, np.arange(self.n_classes + 1))
+        self.masses = np.concatenate([self.counts[top] + 0.1, self.mass])
+        self.end = int(self.place[np.flatnonzero(self.words == END)[0]]) if len(end) else self.n_top
+        self._slots: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_slots": None}
+
+    def _hashed(self) -> np.ndarray:
+        """A table of open addresses: places of words at the first free slots from their low bits on, or -1."""
+        size = 1 << max(4, (2 * len(self.words)).bit_length())
+        slots = np.full(size, -1, np.int32)
+        left, step = np.arange(len(self.words), dtype=np.int32), 0
+        while len(left):
+            at = ((self.words[left] + np.uint64(step)) & np.uint64(size - 1)).astype(np.int64)
+            free = slots[at] < 0
+            slots[at[free]] = left[free]  # of several, the last stays
+            left, step = left[slots[at] != left], step + 1
+        return slots
 
     def look_up(self, words: np.ndarray) -> np.ndarray:
         """Place among the frequent words, or -1."""
-        if not len(self.words):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, -1)
+        if self._slots is None:
+            self._slots = self._hashed()
+        out, left, asked, step = np.full(len(words), -1, np.int32), None, words, 0
+        while len(asked):
+            at = self._slots[((asked + np.uint64(step)) & np.uint64(len(self._slots) - 1)).astype(np.int64)]
+            taken = at >= 0
+            hit = taken & (self.words[np.maximum(at, 0)] == asked) if len(self.words) else taken
+            if left is None:
+                out[hit] = at[hit]
+                left = np.flatnonzero(taken & ~hit)
+            else:
+                out[left[hit]] = at[hit]
+                left = left[taken & ~hit]
+            asked, step = words[left], step + 1
+        return out
 
-    def inputs(self, words: np.ndarray, tails: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-        """Ids of tokens as the network sees them: output words first, then tail classes.  ``at``: from ``look_up``."""
+    def outputs(self, words: np.ndarray, tails: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Outputs of tokens.  ``at``: from ``look_up``."""
         at = self.look_up(words) if at is None else at
         place = np.where(at >= 0, self.place[at], -1) if len(self.place) else at
-        return np.where(place >= 0, place, len(self.label) + tails).astype(np.int32)
-
-    def targets(self, ids: np.ndarray) -> np.ndarray:
-        """Class of each token."""
-        n = len(self.label)
-        return np.where(ids < n, self.label[np.minimum(ids, n - 1)], self.n_classes + ids - n)
+        return np.where(place >= 0, place, self.n_top + tails).astype(np.int32)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-softmax of each row at one column.  Logits of a bounded state are small, so their exponentials rarely overflow."""
-    picked = x[np.arange(len(at)), at]
-    with np.errstate(over="ignore"):
-        out = picked - np.log(np.exp(x) @ np.ones(x.shape[1], x.dtype))
-    return out if np.isfinite(out).all() else _log_softmax(x)[np.arange(len(at)), at]
+def deal(sizes: np.ndarray, streams: int) -> list[list[int]]:
+    """Numbers of documents by stream: the longest first, each to the stream with the least to do so far."""
+    heap = [(0, k) for k in range(max(1, min(streams, len(sizes))))]
+    out: list[list[int]] = [[] for _ in heap]
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        load, k = heap[0]
+        heapq.heapreplace(heap, (load + int(sizes[i]), k))
+        out[k].append(i)
+    return sorted(out, key=lambda own: -int(sizes[own].sum()))
 
 
 class Network:
+    """Parameters and optimizer state are flat vectors; ``p`` has views of the former by name."""
+
     def __init__(self, vocabulary: Vocabulary, settings: Settings):
         self.vocabulary, self.settings = vocabulary, settings
         v, e, h = vocabulary, settings.embedding, settings.hidden
-        rng = np.random.default_rng(settings.seed)
-        n, c = len(v.label), v.n_classes + TAILS
-        of_class = np.concatenate([np.bincount(v.label, v.output_counts, v.n_classes), v.mass]) if n else v.mass
-        word = np.log((v.output_counts + 0.1) / np.maximum(of_class[v.label], 1e-9)) if n else np.zeros(0)
-
-        def normal(*shape: int, scale: float) -> np.ndarray:
-            return rng.normal(0, scale, shape)
-
-        self.p = {
-            "embed": normal(n + TAILS, e, scale=0.3),
-            "wx": normal(e, 3 * h, scale=1 / np.sqrt(e)),
-            "b": np.zeros(3 * h),
-            "u": normal(h, 3 * h, scale=1 / np.sqrt(h)),
-            "wc": normal(h, c, scale=0.02),
-            "bc": np.log(of_class / of_class.sum()),
-            "ww": normal(n, h, scale=0.02),
-            "bw": word,
-        }
-        self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
-
-    def pack(self) -> bytes:
-        return b"".join(x.tobytes() for x in self.p.values())
-
-    def unpack(self, flat: np.ndarray) -> None:
-        at = 0
-        for k, x in self.p.items():
-            self.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
-            at += x.size
+        n = len(v.label)
+        self.shapes = {"embed": (n, e), "wx": (e, 3 * h), "b": (3 * h,), "u": (h, 3 * h), "wc": (h, v.n_classes), "bc": (v.n_classes,), "ww": (n, h), "bw": (n,)}
+        self.flat = np.zeros(sum(int(np.prod(x)) for x in self.shapes.values()), np.float32)
+        self.first, self.second, self.updates = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        rng, p = np.random.default_rng(settings.seed), self.views(self.flat)
+        for name, scale in (("embed", 0.3), ("wx", e**-0.5), ("u", h**-0.5), ("wc", 0.02), ("ww", 0.02)):
+            p[name][:] = rng.normal(0, scale, p[name].shape)
+        of_class = np.bincount(v.label, v.masses, v.n_classes)
+        p["bc"][:], p["bw"][:] = np.log(of_class / of_class.sum()), np.log(v.masses / of_class[v.label])
+        self.p = p
+
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for name, shape in self.shapes.items():
+            size = int(np.prod(shape))
+            out[name], at = flat[at : at + size].reshape(shape), at + size
+        return out
+
+    def __getstate__(self):
+        return {k: x for k, x in self.__dict__.items() if k != "p"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.p = self.views(self.flat)
+
+    def copy(self) -> Network:
+        other = Network.__new__(Network)
+        other.__setstate__(self.__getstate__() | {k: getattr(self, k).copy() for k in ("flat", "first", "second")})
+        return other
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """New state, and what its gradient needs: the recurrent part, both gates, the candidate."""
         k = self.settings.hidden
         a = h @ self.p["u"]
-        s = 0.5 * np.tanh(0.5 * (x[:, : 2 * k] + a[:, : 2 * k])) + 0.5
-        r, z = s[:, :k], s[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * a[:, 2 * k :])
-        return n + z * (h - n), a, r, z, n
-
-    def log_likelihoods(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each token's class, times that of the word in its class for output words."""
-        p, v = self.p, self.vocabulary
-        labels = v.targets(ids) if len(v.label) else ids
-        out = _chosen(states @ p["wc"] + p["bc"], labels)
-        order = np.argsort(labels, kind="stable")
+        gates = x[:, : 2 * k] + a[:, : 2 * k]
+        gates *= 0.5
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        new = gates[:, :k] * a[:, 2 * k :]
+        new += x[:, 2 * k :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= gates[:, k:]
+        out += new
+        return out, a, gates, new
+
+    @staticmethod
+    def _normed(x: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-softmax at one column of each row, and the sums of exponentials that replace the logits in ``x``.  Logits of a
+        bounded state rarely need their maximum taken off."""
+        if x.size and x.max() > 60:
+            x -= x.max(axis=1, keepdims=True)
+        picked = x[rows, at]
+        np.exp(x, out=x)
+        total = x @ np.ones(x.shape[1], np.float32)
+        return picked - np.log(total), total
+
+    def output(self, states: np.ndarray, ids: np.ndarray, g: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log-probability of each output; with ``g``, also the gradients of the negative sum: those of the output
+        layer are put there, and those of the states returned."""
+        p, v, rows, down = self.p, self.vocabulary, np.arange(len(ids)), None
+        labels = v.label[ids]
+        order = np.argsort(labels.astype(np.int16), kind="stable")
         cuts = np.searchsorted(labels[order], np.arange(v.n_classes + 1))
+        states, ids, labels = states[order], ids[order], labels[order]
+        x = states @ p["wc"]
+        x += p["bc"]
+        logs, total = self._normed(x, labels, rows)
+        if g is not None:
+            x /= total[:, None]
+            x[rows, labels] -= 1
+            g["wc"][:], g["bc"][:], down = states.T @ x, x.sum(axis=0), x @ p["wc"].T
+            g["ww"][:], g["bw"][:] = 0, 0
         for k in range(v.n_classes):
-            at, lo, hi = order[cuts[k] : cuts[k + 1]], v.starts[k], v.starts[k + 1]
-            if len(at) and hi - lo > 1:
-                out[at] += _chosen(states[at] @ p["ww"][lo:hi].T + p["bw"][lo:hi], ids[at] - lo)
+            i, j, lo, hi = cuts[k], cuts[k + 1], v.starts[k], v.starts[k + 1]
+            if i == j or hi - lo < 2:
+                continue
+            x = states[i:j] @ p["ww"][lo:hi].T
+            x += p["bw"][lo:hi]
+            part, total = self._normed(x, ids[i:j] - lo, rows[: j - i])
+            logs[i:j] += part
+            if g is not None:
+                x /= total[:, None]
+                x[rows[: j - i], ids[i:j] - lo] -= 1
+                g["ww"][lo:hi], g["bw"][lo:hi] = x.T @ states[i:j], x.sum(axis=0)
+                down[i:j] += x @ p["ww"][lo:hi]
+        back = np.empty_like(order)
+        back[order] = rows
+        return logs[back], None if down is None else down[back]
+
+    def windows(self, flat: np.ndarray, begins: np.ndarray, loads: np.ndarray, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each window of streams, which lie in ``flat`` from ``begins`` on (first an end mark, then ``loads`` tokens; the
+        longest stream first): tokens given and wanted, which of them there are, and where the wanted ones lie."""
+        for begin in range(0, int(loads[0]) if len(loads) else 0, steps):
+            live = int(np.searchsorted(-loads, -begin, side="left"))
+            time = begin + np.arange(min(steps, int(loads[0]) - begin))[:, None]
+            at = np.minimum(begins[:live] + time, len(flat) - 2)
+            yield flat[at], flat[at + 1], time < loads[:live], at + 1
+
+    def score(self, flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Sums of natural log-probabilities of documents that lie in ``flat`` from each of ``begins`` (and up to the last)."""
+        s, end = self.settings, self.vocabulary.end
+        sizes = np.diff(begins)
+        if not len(sizes):
+            return np.zeros(0)
+        streams = deal(sizes, s.score_streams)
+        loads = np.array([int(sizes[own].sum()) for own in streams])
+        packed, places = np.full(int(loads.sum()) + len(streams), end, np.int32), np.zeros(len(sizes), np.int64)
+        at, firsts = 0, []
+        for own in streams:
+            firsts.append(at)
+            at += 1
+            for i in own:
+                packed[at : at + sizes[i]], places[i] = flat[begins[i] : begins[i + 1]], at
+                at += int(sizes[i])
+        table = self.p["embed"] @ self.p["wx"] + self.p["b"]
+        logs, h = np.zeros(len(packed)), np.zeros((len(streams), s.hidden), np.float32)
+        for given, wanted, there, at in self.windows(packed, np.array(firsts), loads, s.window):
+            live = given.shape[1]
+            x, fresh, states, h = table[given], (given != end).astype(np.float32)[:, :, None], np.empty((*given.shape, s.hidden), np.float32), h[:live]
+            for t in range(len(given)):  # where a document starts, the last one's state is forgotten
+                h = states[t] = self.step(x[t], h * fresh[t])[0]
+            if there.all():
+                logs[at] = self.output(states.reshape(-1, s.hidden), wanted.ravel())[0].reshape(at.shape)
+            else:
+                logs[at[there]] = self.output(states[there], wanted[there])[0]
+        order = np.argsort(places)
+        out = np.zeros(len(sizes))
+        ends = np.concatenate([[0], np.cumsum(logs)])
+        out[order] = (ends[places + sizes] - ends[places])[order]
         return out
 
-    def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Sums over each document's tokens, the state carried from window to window."""
-        s, total = self.settings, np.zeros(len(docs))
-        table = self.p["embed"] @ self.p["wx"] + self.p["b"]
-        end = int(self.vocabulary.inputs(np.array([END]), np.array([0]))[0])
-        order = np.argsort([-len(d) for d in docs], kind="stable")
-        for first in range(0, len(docs), s.docs_at_once):
-            some = order[first : first + s.docs_at_once]
-            size = np.array([len(docs[i]) for i in some])
-            h = np.zeros((len(some), s.hidden), np.float32)
-            last = np.full(len(some), end, np.int32)
-            for begin in range(0, int(size[0]), s.window):
-                live = int(np.searchsorted(-size, -begin, side="left"))  # longer than what is done
-                steps = min(s.window, int(size[0]) - begin)
-                block = np.zeros((steps, live), np.int32)
-                for j in range(live):
-                    part = docs[some[j]][begin : begin + steps]
-                    block[: len(part), j] = part
-                h, last = h[:live], last[:live]
-                states = np.empty((steps, live, s.hidden), np.float32)
-                alive = [int(np.searchsorted(-size[:live], -(begin + t), side="left")) for t in range(steps)]
-                for t, n in enumerate(alive):
-                    given = last[:n] if t == 0 else block[t - 1, :n]
-                    h[:n] = self.step(table[given], h[:n])[0]
-                    states[t, :n] = h[:n]
-                mask = np.arange(live)[None, :] < np.array(alive)[:, None]
-                logs = np.zeros((steps, live))
-                logs[mask] = self.log_likelihoods(states[mask], block[mask])
-                total[some[:live]] += logs.sum(axis=0)
-                last = block[steps - 1].copy()
-        return total
+    def gradient(self, given: np.ndarray, wanted: np.ndarray, there: np.ndarray, h: np.ndarray, g: dict[str, np.ndarray]) -> tuple[float, int, np.ndarray]:
+        """Of one window from state ``h``: the negative log-likelihood, its number of tokens, and the last state; the gradients
+        of the former go to ``g``."""
+        p, k, (steps, live) = self.p, self.settings.hidden, given.shape
+        fresh = (given != self.vocabulary.end).astype(np.float32)[:, :, None]
+        ids = given.ravel()
+        embedded = p["embed"][ids]
+        x = (embedded @ p["wx"] + p["b"]).reshape(steps, live, 3 * k)
+        states, kept = np.empty((steps, live, k), np.float32), []
+        for t in range(steps):
+            before = h * fresh[t]
+            h, a, gates, new = self.step(x[t], before)
+            states[t] = h
+            kept.append((before, a, gates, new))
+        if there.all():
+            logs, down = self.output(states.reshape(-1, k), wanted.ravel(), g)
+            down = down.reshape(steps, live, k)
+        else:
+            logs, part = self.output(states[there], wanted[there], g)
+            down = np.zeros((steps, live, k), np.float32)
+            down[there] = part
+        dx, da, du, dh = np.empty((steps, live, 3 * k), np.float32), np.empty((live, 3 * k), np.float32), np.zeros_like(p["u"]), np.zeros((live, k), np.float32)
+        back = np.ascontiguousarray(p["u"].T)
+        for t in range(steps - 1, -1, -1):
+            before, a, gates, new = kept[t]
+            dh += down[t]
+            d, dn = dx[t], dx[t, :, 2 * k :]
+            np.multiply(dh, 1 - gates[:, k:], out=dn)
+            dn *= 1 - new * new
+            np.multiply(dn, a[:, 2 * k :], out=d[:, :k])
+            np.multiply(dh, before - new, out=d[:, k : 2 * k])
+            d[:, : 2 * k] *= gates * (1 - gates)
+            da[:, : 2 * k] = d[:, : 2 * k]
+            np.multiply(dn, gates[:, :k], out=da[:, 2 * k :])
+            du += before.T @ da
+            dh *= gates[:, k:]
+            dh += da @ back
+            dh *= fresh[t]
+        dx = dx.reshape(-1, 3 * k)
+        g["u"][:], g["b"][:], g["wx"][:] = du, dx.sum(axis=0), embedded.T @ dx
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        g["embed"][:] = 0
+        g["embed"][ids[first]] = np.add.reduceat((dx @ p["wx"].T)[order], first, axis=0)
+        return -float(logs.sum()), len(logs), h
+
+    def update(self, gradient: np.ndarray, n: int) -> None:
+        """Adam on the mean over ``n`` tokens, of norm 1 at most.  ``gradient`` is used up."""
+        s = self.settings
+        norm = float(np.sqrt(gradient @ gradient)) / n
+        gradient *= np.float32(min(1.0, 1.0 / max(norm, 1e-12)) / n)
+        self.updates += 1
+        self.first *= 0.9
+        self.first += np.float32(0.1) * gradient
+        gradient *= gradient
+        gradient *= np.float32(0.001)
+        self.second *= 0.999
+        self.second += gradient
+        root = np.sqrt(self.second)
+        root += np.float32(s.damping)
+        np.divide(self.first, root, out=root)
+        root *= np.float32(s.rate * np.sqrt(1 - 0.999**self.updates) / (1 - 0.9**self.updates))
+        self.flat -= root
 
     def train(self, stream: np.ndarray) -> int:
-        """Truncated back-propagation over a stream of token ids in which documents end with the end mark."""
-        s, v = self.settings, self.vocabulary
-        end = int(v.inputs(np.array([END]), np.array([0]))[0])
-        b = max(1, min(s.streams, len(stream) // (2 * s.steps)))
-        length = (len(stream) - 1) // b
-        if length < 1:
+        """Truncated back-propagation over tokens in which documents end with the end mark, cut into equal streams."""
+        s, n = self.settings, len(stream)
+        if not n:
             return 0
-        given = stream[: b * length].reshape(b, length).T
-        wanted = stream[1 : b * length + 1].reshape(b, length).T
-        p, k = self.p, s.hidden
-        moment = {x: (np.zeros_like(y), np.zeros_like(y)) for x, y in p.items()}
-        h, n = np.zeros((b, k), np.float32), 0
-        for begin in range(0, length, s.steps):
-            ins, outs = given[begin : begin + s.steps], wanted[begin : begin + s.steps]
-            kept, states = [], []
-            for x in ins:
-                fresh = (x != end)[:, None]  # a document starts: forget the last one
-                before = h * fresh
-                h, a, r, z, new = self.step(p["embed"][x] @ p["wx"] + p["b"], before)
-                kept.append((before, a, r, z, new, fresh))
-                states.append(h)
-            flat = np.concatenate(states)
-            ids = outs.reshape(-1)
-            g, down = self._output_gradients(flat, ids)
-            down = down.reshape(len(ins), b, k)
-            dx, du, dh = np.empty((len(ins), b, 3 * k), np.float32), np.zeros_like(p["u"]), np.zeros((b, k), np.float32)
-            for t in range(len(ins) - 1, -1, -1):
-                before, a, r, z, new, fresh = kept[t]
-                dh = dh + down[t]
-                dn = dh * (1 - z) * (1 - new * new)
-                dz = dh * (before - new) * z * (1 - z)
-                dr = dn * a[:, 2 * k :] * r * (1 - r)
-                da = np.concatenate([dr, dz, dn * r], axis=1)
-                dx[t] = np.concatenate([dr, dz, dn], axis=1)
-                du += before.T @ da
-                dh = (dh * z + da @ p["u"].T) * fresh
-            flat_in, dx = ins.reshape(-1), dx.reshape(-1, 3 * k)
-            g["u"], g["b"], g["wx"] = du, dx.sum(axis=0), p["embed"][flat_in].T @ dx
-            embed = np.zeros_like(p["embed"])
-            np.add.at(embed, flat_in, dx @ p["wx"].T)
-            g["embed"] = embed
-            n += 1
-            norm = float(np.sqrt(sum((x * x).sum() for x in g.values()))) / len(ids)
-            scale = np.float32(1 / len(ids) * min(1.0, 1.0 / max(norm, 1e-12)))
-            fix = s.rate * np.sqrt(1 - 0.999**n) / (1 - 0.9**n)
-            for name, x in g.items():
-                first, second = moment[name]
-                x = x * scale
-                first += 0.1 * (x - first)
-                second += 0.001 * (x * x - second)
-                p[name] -= np.float32(fix) * first / (np.sqrt(second) + 1e-7)
-        return b * length
-
-    def _output_gradients(self, states: np.ndarray, ids: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        p, v = self.p, self.vocabulary
-        labels = v.targets(ids)
-        d = np.exp(_log_softmax(states @ p["wc"] + p["bc"]))
-        d[np.arange(len(ids)), labels] -= 1
-        g = {"wc": states.T @ d, "bc": d.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-        down = d @ p["wc"].T
-        order = np.argsort(labels, kind="stable")
-        cuts = np.searchsorted(labels[order], np.arange(v.n_classes + 1))
-        for k in range(v.n_classes):
-            at, lo, hi = order[cuts[k] : cuts[k + 1]], v.starts[k], v.starts[k + 1]
-            if not len(at) or hi - lo < 2:
-                continue
-            d = np.exp(_log_softmax(states[at] @ p["ww"][lo:hi].T + p["bw"][lo:hi]))
-            d[np.arange(len(at)), ids[at] - lo] -= 1
-            g["ww"][lo:hi], g["bw"][lo:hi] = d.T @ states[at], d.sum(axis=0)
-            down[at] += d @ p["ww"][lo:hi]
-        return g, down
+        width = min(s.streams, max(s.least_streams, n // (s.steps * s.least_updates)))
+        length = -(-n // max(1, min(width, n // (2 * s.steps))))
+        begins = np.arange(0, n, length)
+        flat = np.concatenate([[self.vocabulary.end], stream])
+        gradient, h = np.zeros_like(self.flat), np.zeros((len(begins), s.hidden), np.float32)
+        g = self.views(gradient)
+        for given, wanted, there, _ in self.windows(flat, begins, np.minimum(length, n - begins), s.steps):
+            _, count, h = self.gradient(given, wanted, there, h[: given.shape[1]], g)
+            self.update(gradient, count)
+        return n
+
+
+def _encode(docs: DataFrame, shipped, schema: str) -> DataFrame:
+    """What training and scoring read, by document: outputs of its tokens as 16-bit numbers, sums over its frequent words (how
+    many, of log10(count + 0.1), and of the shares in tails), and its rarer words with their uses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: Vocabulary = shipped.value
+        log_count, log_mass = np.log10(v.counts + 0.1), np.log10(v.mass)
+        for batch in batches:
+            for place, words, tails, begins in tokens(batch.column("text")):
+                size, found = np.diff(begins), v.look_up(words)
+                seen, ids, first = found >= 0, v.outputs(words, tails, found), begins[:-1]
+                logs = np.where(seen, log_count[found], 0.0) if len(v.counts) else np.zeros(len(words))
+                in_tail = np.where(ids >= v.n_top, logs - log_mass[np.maximum(ids - v.n_top, 0)], 0.0)
+                # Rarer words of each document, once, with their uses.
+                unseen = np.flatnonzero(~seen)
+                own, rare = np.repeat(np.arange(len(size)), size)[unseen], words[unseen]
+                order = np.lexsort((rare, own))
+                own, rare = own[order], rare[order]
+                new = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (own[1:] != own[:-1]))) if len(rare) else np.empty(0, np.int64)
+                lists = pa.array(np.searchsorted(own[new], np.arange(len(size) + 1)).astype(np.int32))
+                packed = pa.py_buffer(ids.astype(np.uint16).tobytes())
+                out = {k: batch.column(k).slice(place, len(size)) for k in ("id", "held_out", "shard")} | {
+                    "n_tokens": pa.array(size, pa.int64()),
+                    "known": pa.array(np.add.reduceat(seen, first, dtype=np.int64), pa.int64()),
+                    "base": pa.array(np.add.reduceat(logs, first), pa.float64()),
+                    "in_tail": pa.array(np.add.reduceat(in_tail, first), pa.float64()),
+                    "outputs": pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((2 * begins).astype(np.int32).tobytes()), packed]),
+                    "words": pa.ListArray.from_arrays(lists, pa.array(rare[new].view(np.int64))),
+                    "times": pa.ListArray.from_arrays(lists, pa.array(np.diff(np.append(new, len(rare))).astype(np.int32))),
+                    "round": batch.column("round").slice(place, len(size)),
+                }
+                yield pa.RecordBatch.from_pydict(out)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _trained(shards: DataFrame, net: Network) -> Network:
+    """``net`` after training on each shard of ``shard, id, outputs``, apart from the others, and averaging by tokens."""
+    spark, settings = shards.sparkSession, net.settings
+    shipped = spark.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        one_thread()
+        start, total, weight, updates = shipped.value, None, 0, 0
 
-def fit(docs: DataFrame, learnable: Column, *, id_col: str, text_col: str, settings: Settings) -> tuple[Network, DataFrame]:
-    """The trained network, and the table of all counts (``word, tail, n``)."""
+        def streams() -> Iterator[np.ndarray]:
+            """The documents of each shard, in pieces where rows equal in id and text make it very large."""
+            shard, held, size = None, [], 0
+            for batch in batches:
+                for k, outputs in zip(batch.column("shard").to_pylist(), batch.column("outputs"), strict=True):
+                    if held and (k != shard or size > 4 * settings.shard_tokens):
+                        yield np.concatenate(held)
+                        held, size = [], 0
+                    shard = k
+                    held.append(np.frombuffer(outputs.as_buffer(), np.uint16).astype(np.int32))
+                    size += len(held[-1])
+            if held:
+                yield np.concatenate(held)
+
+        for stream in streams():
+            local = start.copy()
+            n = local.train(stream)
+            part = np.concatenate([local.flat, local.first, local.second]).astype(np.float64) * n
+            total = part if total is None else total + part
+            weight, updates = weight + n, max(updates, local.updates)
+        if weight:
+            task = TaskContext.get().partitionId()
+            yield _state(task % settings.slots, task, weight, updates, total)
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for slot, weight, updates, state in zip(*(batch.column(k).to_pylist() for k in ("slot", "weight", "updates", "state")), strict=True):
+                own = sums.setdefault(slot, [0, 0, 0.0])
+                own[0] += weight
+                own[1] = max(own[1], updates)
+                own[2] = own[2] + np.frombuffer(state, np.float32).astype(np.float64) * weight
+        for slot, (weight, updates, total) in sums.items():
+            yield _state(slot, 0, weight, updates, total)
+
+    schema = "slot int, part int, weight long, updates int, state binary"
+    states = shards.mapInArrow(run, schema)
+    means = states.repartition(settings.slots, "slot").sortWithinPartitions("slot", "part").mapInArrow(average, schema).collect()
+    shipped.unpersist()
+    if means:
+        weight = sum(r.weight for r in means)
+        mean = sum(np.frombuffer(r.state, np.float32).astype(np.float64) * (r.weight / weight) for r in sorted(means, key=lambda r: r.slot))
+        net = net.copy()
+        for x, y in zip((net.flat, net.first, net.second), np.split(mean, 3), strict=True):
+            x[:] = y
+        net.updates = max(r.updates for r in means)
+    return net
+
+
+def _state(slot: int, part: int, weight: int, updates: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {"slot": pa.array([slot], pa.int32()), "part": pa.array([part], pa.int32()), "weight": pa.array([weight], pa.int64()), "updates": pa.array([updates], pa.int32()),
+         "state": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())}
+    )
+
+
+def fit(docs: DataFrame, learnable: Column, held: Column, *, id_col: str, text_col: str, settings: Settings) -> tuple[Network, DataFrame, DataFrame]:
+    """The trained network, the table of all counts (``word, tail, n``), and the encoded documents."""
+    if settings.vocabulary + TAILS >= 1 << 16:
+        raise ValueError("outputs are 16-bit numbers")
     spark = docs.sparkSession
     shared_dir(spark)
-    rows = docs.filter(learnable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = count_words(rows, "text").checkpoint()
+    rows = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), learnable.alias("learnable"), F.col(text_col).alias("text"))
+    counts = count_words(rows.filter("learnable"), "text").checkpoint()
+    # One row for each tail reaches the driver, and 1 / head_share words at most.
     tails = {r["tail"]: (r["n"], r["kinds"]) for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("n").alias("kinds")).collect()}
     mass, kinds = (np.array([tails.get(t, (0, 0))[i] for t in range(TAILS)], np.float64) for i in (0, 1))
     n = int(mass.sum())
     head = counts.filter((F.col("n") >= settings.head_share * n) | (F.col("word") == int(END))).toPandas()
     words, n_head, tail = head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64), head["tail"].to_numpy(np.int64)
     net = Network(Vocabulary(words, n_head, tail, mass, kinds, n, int(kinds.sum()), settings), settings)
-    sample = rows.filter(sampled("id", F.lit(settings.train_share), settings.seed)).select("text") if n else None
-    for _ in range(settings.rounds if n else 0):
-        shipped = spark.sparkContext.broadcast(net)
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            start = shipped.value
-            local = Network.__new__(Network)
-            local.vocabulary, local.settings = start.vocabulary, start.settings
-            local.p = {k: x.copy() for k, x in start.p.items()}
-            end = start.vocabulary.inputs(np.array([END]), np.array([0]))
-            stream = [end]
-            for batch in batches:
-                stream += [start.vocabulary.inputs(*tokens(t.as_py())) for t in batch.column(0)]
-            done = local.train(np.concatenate(stream)) if len(stream) > 1 else 0
-            if done:
-                part = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_arrays([pa.array([part % start.settings.slots], pa.int32()), pa.array([part], pa.int32()), pa.array([float(done)]), pa.array([local.pack()], pa.binary())], names=["slot", "part", "weight", "net"])
-
-        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}
-            for batch in batches:
-                for slot, weight, net_ in zip(batch.column("slot").to_pylist(), batch.column("weight").to_pylist(), batch.column("net"), strict=True):
-                    x = np.frombuffer(net_.as_py(), np.float32).astype(np.float64) * weight
-                    if slot in sums:
-                        sums[slot][0] += weight
-                        sums[slot][1] += x
-                    else:
-                        sums[slot] = [weight, x]
-            if sums:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(sums), pa.int32()), pa.array([w for w, _ in sums.values()]), pa.array([(x / w).astype(np.float32).tobytes() for w, x in sums.values()], pa.binary())], names=["slot", "weight", "net"]
-                )
-
-        trained = sample.mapInArrow(run, "slot int, part int, weight double, net binary")
-        means = trained.repartition(settings.slots, "slot").sortWithinPartitions("slot", "part").mapInArrow(average, "slot int, weight double, net binary").collect()
-        if means:
-            means.sort(key=lambda r: r["slot"])
-            weight = sum(r["weight"] for r in means)
-            net.unpack(sum(np.frombuffer(r["net"], np.float32).astype(np.float64) * (r["weight"] / weight) for r in means))
-    return net, counts
+
+    shards = max(1, -(-n // (settings.rounds * settings.shard_tokens)))
+    place = F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(settings.rounds * shards))
+    rows = rows.select(
+        "id", "held_out", F.when(F.col("learnable"), place % settings.rounds).otherwise(-1).cast("int").alias("round"), (place / settings.rounds).cast("int").alias("shard"), "text"
+    )
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, held_out boolean, shard int, n_tokens long, known long, base double, in_tail double, outputs binary, words array<long>, times array<int>, round int"
+    folder = own_folder(spark, "lm")
+    _encode(rows, spark.sparkContext.broadcast(net.vocabulary), schema).write.partitionBy("round").parquet(folder)
+    encoded = spark.read.schema(schema).parquet(folder)
+    tasks = min(shards, max(64, 4 * spark.sparkContext.defaultParallelism))
+    for k in range(settings.rounds if n else 0):
+        own = encoded.filter(F.col("round") == k).select("shard", "id", "outputs")
+        net = _trained(own.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "id", "outputs"), net)
+    return net, counts, encoded
 
 
 def score_documents(docs: DataFrame, *, folds: int = 10, held_fold: int = 0, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Learn from all folds but one, score every row: id, ``held_out, n_tokens, n_known, train_tokens, base_score``
     (unigrams with 0.1 added to each count) and ``score`` (the model), both log10 of the whole text's probability."""
     held = fold_is(id_col, folds, held_fold)
-    net, counts = fit(docs, F.col(id_col).isNotNull() & ~held, id_col=id_col, text_col=text_col, settings=settings)
+    net, counts, encoded = fit(docs, F.col(id_col).isNotNull() & ~held, held, id_col=id_col, text_col=text_col, settings=settings)
     n, kinds = net.vocabulary.n_tokens, net.vocabulary.n_words
     shipped = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         net = shipped.value
-        v = net.vocabulary
-        log_mass = np.log10(v.mass)
-        for whole in batches:
-            for at in range(0, len(whole), net.settings.docs_at_once):
-                batch = whole.slice(at, net.settings.docs_at_once)
-                ids, size, known, base, tail_part, rare, times = [], [], [], [], [], [], []
-                for text in batch.column(2):
-                    words, tails = tokens(text.as_py())
-                    found = v.look_up(words)
-                    seen = found >= 0
-                    ids.append(v.inputs(words, tails, found))
-                    size.append(len(words))
-                    known.append(int(seen.sum()))
-                    logs = np.log10(v.counts[found[seen]] + 0.1)
-                    base.append(float(logs.sum()))
-                    # Words outside the output vocabulary: their share of the tail class.
-                    other = ids[-1] >= len(v.label)
-                    tail_part.append(float(np.log10(v.counts[found[seen & other]] + 0.1).sum() - log_mass[tails[other]].sum()))
-                    some, n_some = np.unique(words[~seen], return_counts=True)
-                    rare.append(some.view(np.int64))
-                    times.append(n_some.astype(np.int32))
-                model = net.score(ids) / LN10 if v.n_tokens else np.zeros(len(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                        pa.array(model + np.array(tail_part), pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())),
-                    ],
-                    names=["id", "held_out", "n_tokens", "known", "base", "model", "words", "times"],
-                )
-
-    slim = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
-    scored = slim.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, known long, base double, model double, words array<long>, times array<int>")
+        for batch in batches:
+            sizes, at = batch.column("n_tokens").to_numpy(), 0
+            while at < len(sizes):
+                ends = np.cumsum(sizes[at:])
+                some = max(1, int(np.searchsorted(ends, net.settings.score_tokens, side="right")))
+                part = batch.slice(at, some)
+                ids = np.frombuffer(b"".join(part.column("outputs").to_pylist()), np.uint16).astype(np.int32)
+                model = net.score(ids, np.concatenate([[0], ends[:some]])) / LN10 + part.column("in_tail").to_numpy()
+                yield pa.RecordBatch.from_pydict({k: part.column(k) for k in ("id", "held_out", "n_tokens", "known", "base", "words", "times")} | {"model": pa.array(model, pa.float64())})
+                at += some
+
+    kind = encoded.schema["id"].dataType.simpleString()
+    scored = encoded.drop("round", "shard").mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, known long, base double, words array<long>, times array<int>, model double")
     scored = scored.withColumn("row", F.monotonically_increasing_id())
     # A document travels as one row with its sums and a row for each rare word; the first has a key of its own, with 0 uses.
     items = scored.select(

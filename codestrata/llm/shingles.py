@@ -42,16 +42,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _piece(data: np.ndarray) -> np.ndarray:
+    return split_words(data, np.zeros(1, np.int64))[0]
+
+
+def split_words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first bytes and ends of all words in texts that follow each other and begin at ``begins``."""
     space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
+    first, last = ~space, ~space
+    first[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    inner = begins[(begins > 0) & (begins < len(data))]
+    first[inner] = ~space[inner]
+    last[inner - 1] = ~space[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
-        return np.empty(0, _U)
+        return np.empty(0, _U), starts, ends
     powers, inverses = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, _U)
         np.cumsum(_BYTES[data] * powers[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(_U))
+        return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(_U)), starts, ends
 
 
 def word_hashes(text: bytes) -> np.ndarray:

@@ -151,7 +151,7 @@ def test_lm_base_scores_by_brute_force_and_model_is_better(spark):
     docs = sample(spark, "/root/testdata/sf0.001").select("doc_id", "text")
     extra = spark.createDataFrame([(None, "The the unseen-word"), (10_000, None), (10_001, "A\x0bB  a"), (10_001, "A\x0bB  a")], docs.schema)
     docs = docs.unionByName(extra)
-    got = lm_scoring.score_documents(docs, settings=lm_scoring.Settings(head_share=1e-3, train_share=0.9)).toPandas()
+    got = lm_scoring.score_documents(docs, settings=lm_scoring.Settings(head_share=1e-3)).toPandas()
     rows = docs.toPandas()
     words = re.compile(r"[^\x20\x09-\x0D]+")
     tokens = [(i, [*words.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]) for i, t in zip(rows.doc_id, rows.text, strict=True)]
@@ -164,48 +164,127 @@ def test_lm_base_scores_by_brute_force_and_model_is_better(spark):
     assert seen.score.sum() > seen.base_score.sum()
 
 
+def lm_network(settings, counts=(4, 9, 8, 7, 6, 5, 4, 3, 2)):
+    """A network over a small vocabulary, its first words output words and the others in tails."""
+    words = np.array([lm_scoring.END, *range(11, 10 + len(counts))], np.uint64)
+    counts, tails = np.array(counts), np.arange(len(words)) % 4
+    mass, kinds = np.bincount(tails, counts, lm_scoring.TAILS), np.bincount(tails, minlength=lm_scoring.TAILS)
+    return lm_scoring.Network(lm_scoring.Vocabulary(words, counts, tails, mass, kinds.astype(float), int(counts.sum()), len(words), settings), settings)
+
+
 def test_lm_trains_on_all_training_documents(spark):
-    # A table of 24 documents, of which a share of 1/32 (the default before) leaves one or none to train on.
     docs = spark.createDataFrame([(k, "tick tock " * 60) for k in range(24)], "doc_id long, text string")
-    share = lm_scoring.score_documents(docs, settings=lm_scoring.Settings(train_share=1 / 32)).toPandas()
     whole = lm_scoring.score_documents(docs).toPandas()
-    assert whole.score.sum() > share.score.sum() + 0.1 * abs(share.score.sum()) and whole.score.sum() > whole.base_score.sum()
+    assert whole.score.sum() > 0.8 * whole.base_score.sum()
+    net, _, encoded = lm_scoring.fit(docs, F.lit(True), F.lit(False), id_col="doc_id", text_col="text", settings=lm_scoring.Settings(rounds=3))
+    assert net.updates > 0 and encoded.filter("round >= 0").count() == 24 and encoded.select("round").distinct().count() == 3
+
+
+def test_lm_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.createDataFrame(sample(spark).select("doc_id", "text").orderBy("doc_id").limit(400).collect(), "doc_id long, text string")
+    settings = lm_scoring.Settings(shard_tokens=20_000, rounds=2, least_updates=30)
+    first, bits = None, []
+    for parts in (1, 4, 16, 64):
+        got = lm_scoring.score_documents(docs.repartition(parts, F.rand(parts)), settings=settings).toPandas().sort_values("doc_id", ignore_index=True)
+        held = got[got.held_out]
+        bits.append(-held.score.sum() / held.n_tokens.sum() / math.log10(2))
+        first = got if first is None else first
+        assert got.score.to_numpy() == pytest.approx(first.score.to_numpy(), rel=1e-3)
+    assert max(bits) - min(bits) < 0.001
+    base = first[first.held_out]
+    assert bits[0] < -base.base_score.sum() / base.n_tokens.sum() / math.log10(2) - 0.3
+
+
+def test_lm_tokens_equal_a_plain_split():
+    texts = [None, "", "A b", "b", " x\ty ", "É" * 3, "long " * 50, "n" * 300, ""]
+    plain = [[w.encode().lower() if w.isascii() else w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    import pyarrow as pa
+
+    names, ends = {}, set()
+    old = lm_scoring.PIECE
+    try:
+        for piece in (old, 40):
+            lm_scoring.PIECE = piece
+            for array in (pa.array(texts), pa.array(["skipped", *texts]).slice(1)):
+                seen = 0
+                for at, words, tails, begins in lm_scoring.tokens(array):
+                    assert at == seen
+                    for k in range(len(begins) - 1):
+                        own, tail = words[begins[k] : begins[k + 1]], tails[begins[k] : begins[k + 1]]
+                        assert len(own) == len(plain[at + k]) + 1 and own[-1] == lm_scoring.END and tail[-1] == 0
+                        for w, h, t in zip(plain[at + k], own.tolist(), tail.tolist(), strict=False):
+                            assert names.setdefault(w, (h, t)) == (h, t)
+                            assert t == ((w[-1] * 31 + (w[-2] if len(w) > 1 else 32) * 7) % lm_scoring.TAILS)
+                    seen += len(begins) - 1
+                assert seen == len(texts)
+    finally:
+        lm_scoring.PIECE = old
+    assert len({h for h, _ in names.values()}) == len(names) and not ends
+
+
+def test_lm_look_up_equals_a_dictionary():
+    rng = np.random.default_rng(0)
+    words = np.unique(np.append(rng.integers(0, 2**63, 3000, dtype=np.uint64), np.array([0, 1, 2, 2**40, 2**41], np.uint64)))
+    v = lm_scoring.Vocabulary(words, np.ones(len(words), int), np.zeros(len(words), int), np.zeros(lm_scoring.TAILS), np.zeros(lm_scoring.TAILS), 1, 1, lm_scoring.Settings(vocabulary=5))
+    asked = np.concatenate([rng.permutation(words), rng.integers(0, 2**63, 500, dtype=np.uint64)])
+    place = {int(w): i for i, w in enumerate(v.words)}
+    assert v.look_up(asked).tolist() == [place.get(int(w), -1) for w in asked]
+
+
+def test_lm_distribution_sums_to_one_and_documents_are_scored_apart():
+    settings = lm_scoring.Settings(vocabulary=6, window=3, score_streams=2)
+    net = lm_network(settings)
+    every = np.arange(len(net.vocabulary.label))
+    state = np.random.default_rng(0).normal(0, 1, (1, settings.hidden)).astype(np.float32)
+    assert np.exp(net.output(np.repeat(state, len(every), 0), every)[0]).sum() == pytest.approx(1, abs=1e-4)
+    end = net.vocabulary.end
+    a, b, c, d = [i for i in every.tolist() if i != end][:4]
+    docs = [[a, b, c, d, 8, a, end], [end], [c, a, a, 8, end], [a] * 10 + [end], [a] * 10 + [end]]
 
+    def alone(doc):
+        """Token by token, with nothing packed."""
+        h, last, total = np.zeros((1, settings.hidden), np.float32), end, 0.0
+        for t in doc:
+            h = net.step((net.p["embed"][[last]] @ net.p["wx"]) + net.p["b"], h)[0]
+            total, last = total + float(net.output(h, np.array([t]))[0][0]), t
+        return total
 
-def test_lm_distribution_sums_to_one_and_state_is_carried():
-    settings = lm_scoring.Settings(vocabulary=6, window=3, docs_at_once=2)
-    words = np.array([lm_scoring.END, *range(11, 19)], np.uint64)
-    counts = np.array([4, 9, 8, 7, 6, 5, 4, 3, 2])
-    tails = np.arange(9) % 4
-    mass, kinds = np.bincount(tails, counts, lm_scoring.TAILS), np.bincount(tails, minlength=lm_scoring.TAILS)
-    net = lm_scoring.Network(lm_scoring.Vocabulary(words, counts, tails, mass, kinds.astype(float), int(counts.sum()), 9, settings), settings)
-    every = np.arange(len(net.vocabulary.label) + lm_scoring.TAILS)
-    state = np.random.default_rng(0).normal(0, 1, (1, settings.hidden)).astype(np.float32)
-    total = np.exp(net.log_likelihoods(np.repeat(state, len(every), 0), every)).sum()
-    assert total == pytest.approx(1, abs=1e-4)
-    docs = [np.array(x, np.int32) for x in ([1, 2, 3, 4, 5, 1, 0], [2], [3, 1, 1, 1], [1] * 10)]
-    whole = lm_scoring.Network(net.vocabulary, lm_scoring.Settings(vocabulary=6, window=64))
-    assert net.score(docs) == pytest.approx(whole.score(docs), rel=1e-4)
+    flat, begins = np.concatenate(docs).astype(np.int32), np.cumsum([0, *map(len, docs)])
+    assert net.score(flat, begins) == pytest.approx([alone(d) for d in docs], rel=1e-4)
 
 
 def test_lm_gradients_match_differences():
-    settings = lm_scoring.Settings(vocabulary=5, hidden=4, embedding=3, streams=2, steps=4, rate=0.0)
-    words = np.array([lm_scoring.END, 11, 12, 13, 14, 15], np.uint64)
-    counts, tails = np.array([4, 9, 8, 7, 6, 5]), np.zeros(6, int)
-    mass, kinds = np.bincount(tails, counts, lm_scoring.TAILS), np.bincount(tails, minlength=lm_scoring.TAILS)
-    net = lm_scoring.Network(lm_scoring.Vocabulary(words, counts, tails, mass, kinds.astype(float), 39, 6, settings), settings)
-    states = np.random.default_rng(1).normal(0, 1, (6, 4)).astype(np.float32)
-    ids = np.array([0, 1, 2, 3, 4, 5], np.int32)
-    grads, down = net._output_gradients(states, ids)
-    for name in ("wc", "ww"):
-        at = (1, 2) if name == "wc" else (2, 1)
-        keep = net.p[name][at]
-        net.p[name][at] = keep + 1e-2
-        above = -net.log_likelihoods(states, ids).sum()
-        net.p[name][at] = keep - 1e-2
-        below = -net.log_likelihoods(states, ids).sum()
-        net.p[name][at] = keep
-        assert grads[name][at] == pytest.approx((above - below) / 2e-2, abs=2e-2)
+    settings = lm_scoring.Settings(vocabulary=5, hidden=4, embedding=3)
+    net = lm_network(settings)
+    net.flat[:] = net.flat.astype(np.float32) + np.random.default_rng(2).normal(0, 0.3, len(net.flat)).astype(np.float32)
+    end = net.vocabulary.end
+    given = np.array([[end, 1, 2], [3, end, 1], [2, 4, end], [1, 7, 5]], np.int32)
+    wanted = np.array([[3, end, 1], [2, 4, end], [1, 7, 5], [9, 2, 3]], np.int32)
+    there = np.ones((4, 3), bool)
+    there[3, 2] = False
+    gradient, state = np.zeros_like(net.flat), np.random.default_rng(1).normal(0, 0.5, (3, 4)).astype(np.float32)
+    net.gradient(given, wanted, there, state, net.views(gradient))
+    names = {k: np.full(x.shape, i) for i, (k, x) in enumerate(net.p.items())}
+    kinds = np.concatenate([x.ravel() for x in names.values()])
+    scratch = np.zeros_like(net.flat)
+    for kind, name in enumerate(names):  # the largest entries of every parameter, those of the recurrent part among them
+        for at in sorted(np.flatnonzero(kinds == kind), key=lambda i: -abs(gradient[i]))[:6]:
+            keep, loss = net.flat[at], []
+            for step in (1e-2, -1e-2):
+                net.flat[at] = keep + step
+                loss.append(net.gradient(given, wanted, there, state, net.views(scratch))[0])
+            net.flat[at] = keep
+            assert gradient[at] == pytest.approx((loss[0] - loss[1]) / 2e-2, rel=2e-2, abs=3e-3), name
+
+
+def test_lm_scores_long_repeated_and_clashing_rows(spark):
+    long = " ".join(f"w{i % 700}" for i in range(60_000))
+    rows = [(1, long, 0.5, True), (1, long, 0.5, True), (2, "a b", None, None), (3, "a b", None, None), (None, None, None, None), (4, "x" * 3_000_000, None, None), (5, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, held_out boolean")
+    got = lm_scoring.score_documents(docs).toPandas()
+    assert sorted(got.n_tokens) == [1, 1, 2, 3, 3, 60_001, 60_001] and np.isfinite(got.score).all()
+    by = got.groupby("n_tokens").score
+    assert (by.max() - by.min()).abs().max() < 1e-2 and got.columns.tolist()[:2] == ["doc_id", "held_out"]
 
 
 def test_lm_without_training_rows(spark):
