@@ -89,7 +89,7 @@ def suite_path(unit: Parsed, statement: ast.stmt) -> str:
 def clone_runs(unit: Parsed, *, min_statements: int = 2, min_sloc: int = 6) -> list[dict]:
     """Maximal runs between imports, definitions and docstrings that reach both minima."""
     docstrings, stand_ins = set(unit.docstrings), None
-    lines, out = unit.sloc_lines, {}
+    out = {}
     for suite in unit.suites:
         run: list[ast.stmt] = []
         for statement in [*suite, None]:
@@ -98,7 +98,7 @@ def clone_runs(unit: Parsed, *, min_statements: int = 2, min_sloc: int = 6) -> l
                 continue
             if len(run) >= min_statements:
                 start, end = run[0].lineno, run[-1].end_lineno
-                sloc = sum(start <= n <= end for n in lines)
+                sloc = unit.sloc_between(start, end)
                 if sloc >= min_sloc:
                     stand_ins = _stand_ins(unit) if stand_ins is None else stand_ins
                     tokens = [t for s in run for t in tokens_of(unit, s, stand_ins, docstrings)]

@@ -35,10 +35,7 @@ def symbols(unit: Parsed) -> list[dict]:
 
 def statement_context(unit: Parsed, start: int, end: int) -> tuple[str, str]:
     """Scope, and digest of the innermost statement around a span."""
-    best, size = None, None
-    for node in unit.nodes:
-        if isinstance(node, ast.stmt) and node.lineno <= start and end <= node.end_lineno and (size is None or node.end_lineno - node.lineno <= size):
-            best, size = node, node.end_lineno - node.lineno
+    best = unit.statement_around(start, end)
     return ("", "") if best is None else (".".join(unit.scope_of(best)), _digest(best))
 
 
