@@ -1,17 +1,23 @@
 """Quality rules from the divergence of histograms, beside plain counts (operator 10; SQL functions only).
 
 For each language, references are drawn from all its documents: the shares of character classes, and the shares of its
-common words (those with at least ``common_share`` of its words).  A document's own histograms are compared to those of its language by the Jensen-Shannon distance
-(base 2, 0 to 1); the histogram of classes only from ``min_chars`` characters on and that of words only from
-``min_words`` words on, for short texts diverge by chance.  A document fails where a distance is over its limit.
+common words (those with at least ``common_share`` of its words, in lower case).  A document's own histograms are compared
+to those of its language by the Jensen-Shannon distance (base 2, 0 to 1); the histogram of classes only from ``min_chars``
+characters on and that of words only from ``min_words`` words on, for short texts diverge by chance.  A document fails
+where a distance is over its limit.
 
 The plain counts: words are runs of characters other than space and 0x09-0x0D.  For ``n_repeat_words``, hashes of all
-windows of five words carry their positions and are sorted inside the row; equal neighbours are checked word by word.
+windows of five words carry their positions and are sorted inside the row; equal neighbours are checked word by word.  Texts
+in which no shorter window occurs twice are done before that.
+
+Texts are read twice: once to count words by language, and once for all counts of a document, which are written down
+(Parquet in the shared folder, removed at the program's end); class references are sums over those.
 
 Defined cases: a null or empty text has no words and fails (fewer than ``least_words`` words); a document without a
 language, or of one with less than ``least_share`` of all documents, is compared to the reference over all languages,
-classes and words; repeated rows pass through, null ids too; an empty table gives an empty result; texts of any length are read whole;
-helper columns are named ``_q_...`` and the input's own columns of that name are not allowed.
+classes and words; equal texts of one language get equal results, repeated rows each their own, null ids too; a distance
+equal to its limit passes; an empty table gives an empty result; texts of any length are read whole; the input's columns may
+have any names where only rows are kept, and may not have those that ``judge`` adds.
 """
 
 from __future__ import annotations
@@ -21,10 +27,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import own_folder
+
 SPACE = r"[ \\t-\\r]"
 SYMBOLS = "[#*$%&|<>]"
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "other")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The reference over all languages.
 ANY = "*"
 
@@ -41,6 +49,10 @@ class Rules:
     max_class_distance: float = 0.3
     max_word_distance: float = 0.32
 
+    def __post_init__(self):
+        if self.common_share < 0.005:
+            raise ValueError("at most 200 common words have a sign of their own: common_share is 0.005 at least")
+
 
 def _sum(array: str) -> str:
     return f"aggregate({array}, 0D, (a, x) -> a + x)"
@@ -56,128 +68,144 @@ def _distance(p: str, q: str) -> str:
     return f"sqrt(greatest(0D, {_sum(f'zip_with({p}, {q}, (a, b) -> {part})')} / 2))"
 
 
-def with_counts(docs: DataFrame, text_col: str = "text", window: int = 5) -> DataFrame:
-    """``docs`` with ``_q_`` columns: words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    d = docs.withColumn("_q_text", F.coalesce(F.col(text_col), F.lit("")))
-    d = d.withColumn("_q_trim", F.expr(r"trim(BOTH ' \t\n\u000B\u000C\r' FROM _q_text)"))
-    d = d.withColumn("_q_words", F.expr(f"if(_q_trim = '', cast(array() AS array<string>), split(_q_trim, '{SPACE}+'))"))
-    d = d.withColumn("_q_n_words", F.size("_q_words").cast("long"))
-    d = d.withColumn("_q_word_chars", F.expr("char_length(array_join(_q_words, ''))").cast("long"))
-    d = d.withColumn("_q_n_symbols", F.expr(f"regexp_count(_q_text, '{SYMBOLS}')").cast("long"))
-    d = d.withColumn("_q_lines", F.expr(r"filter(split(_q_text, '\\n', -1), x -> x rlike '[^ \\t-\\r]')"))
-    d = d.withColumn("_q_n_dup_lines", (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"))
-    # Hashes of the windows: of pairs, of fours, and so on up to the width.
-    d = d.withColumn("_q_hashes", F.expr("transform(_q_words, w -> xxhash64(w))"))
-    names, width = ["_q_hashes"], 1
-    while width < window:
+def _words(text: str) -> str:
+    trimmed = rf"trim(BOTH ' \t\n\u000B\u000C\r' FROM {text})"
+    return f"if({trimmed} = '', cast(array() AS array<string>), split({trimmed}, '{SPACE}+'))"
+
+
+def _with_repeats(d: DataFrame, window: int) -> DataFrame:
+    """From ``words`` and ``n_words``: ``n_repeat_words``."""
+
+    def both(of: str, step: int) -> str:  # hash of each item with the one ``step`` places on
+        return f"zip_with({of}, slice({of}, {1 + step}, greatest(0, size({of}) - {step})), (a, b) -> xxhash64(a, b))"
+
+    none = "cast(array() AS array<bigint>)"
+    shorter, width = "words", 1
+    while width + min(width, window - width) < window:
         step = min(width, window - width)
-        names.append(f"_q_hashes{width + step}")
-        other = names[-2] if step == width else names[step.bit_length() - 1]
-        d = d.withColumn(names[-1], F.expr(f"transform({names[-2]}, (h, i) -> xxhash64(h, get({other}, i + {width})))"))
         width += step
-    d = d.withColumn("_q_windows", F.expr(f"if(_q_n_words < {window}, cast(array() AS array<bigint>), slice({names[-1]}, 1, greatest(1, cast(_q_n_words AS int) - {window - 1})))"))
+        d = d.withColumn(f"windows{width}", F.expr(f"if(n_words < {window}, {none}, {both(shorter, step)})"))
+        shorter = f"windows{width}"
+    last = both(shorter, window - width) if window > 1 else "transform(words, w -> xxhash64(w))"
+    whole = f"slice({last}, 1, greatest(0, cast(n_words AS int) - {window - 1}))"
+    # The last few of the shorter windows reach past the end, each in its own way: they are like no other.
+    d = d.withColumn("windows", F.expr(f"if(n_words < {window} OR size(array_distinct({shorter})) = size({shorter}), {none}, {whole})"))
     # Where hashes repeat: sorted, with the position in as many low bits as the text needs.
-    d = d.withColumn("_q_bits", F.expr("cast(ceil(log2(greatest(_q_n_words, 2))) AS int) + 1"))
-    keys = "sort_array(transform(_q_windows, (h, i) -> shiftleft(shiftrightunsigned(h, _q_bits + 1), _q_bits) + i))"
-    d = d.withColumn("_q_keys", F.expr(f"if(size(array_distinct(_q_windows)) = size(_q_windows), cast(array() AS array<bigint>), {keys})"))
+    d = d.withColumn("bits", F.expr("cast(ceil(log2(greatest(n_words, 2))) AS int) + 1"))
+    keys = "sort_array(transform(windows, (h, i) -> shiftleft(shiftrightunsigned(h, bits + 1), bits) + i))"
+    d = d.withColumn("keys", F.expr(f"if(size(array_distinct(windows)) = size(windows), {none}, {keys})"))
     # Positions of windows next to an equal one.
-    place = "cast({} & (shiftleft(1L, _q_bits) - 1) AS int)".format
-    same = "(shiftrightunsigned({other}, _q_bits) = shiftrightunsigned(k, _q_bits) AND slice(_q_words, {there} + 1, {n}) = slice(_q_words, {here} + 1, {n}))"
-    before, after = (same.format(other=x, there=place(x), here=place("k"), n=window) for x in ("_q_keys[j - 1]", "_q_keys[j + 1]"))
-    d = d.withColumn("_q_hits", F.expr(f"filter(_q_keys, (k, j) -> (j > 0 AND {before}) OR (j < size(_q_keys) - 1 AND {after}))"))
-    d = d.withColumn("_q_places", F.expr(f"sort_array(transform(_q_hits, k -> {place('k')}))"))
+    place = "cast({} & (shiftleft(1L, bits) - 1) AS int)".format
+    same = "(shiftrightunsigned({other}, bits) = shiftrightunsigned(k, bits) AND slice(words, {there} + 1, {n}) = slice(words, {here} + 1, {n}))"
+    before, after = (same.format(other=x, there=place(x), here=place("k"), n=window) for x in ("keys[j - 1]", "keys[j + 1]"))
+    d = d.withColumn("hits", F.expr(f"filter(keys, (k, j) -> (j > 0 AND {before}) OR (j < size(keys) - 1 AND {after}))"))
+    d = d.withColumn("places", F.expr(f"sort_array(transform(hits, k -> {place('k')}))"))
     # Each window covers the words up to the next one, the last all of its own.
-    covered = f"aggregate(_q_places, named_struct('n', 0L, 'upto', 0), (a, p) -> named_struct('n', a.n + p + {window} - greatest(p, a.upto), 'upto', p + {window}), a -> a.n)"
-    return d.withColumn("_q_n_repeat_words", F.expr(covered))
+    covered = f"aggregate(places, named_struct('n', 0L, 'upto', 0), (a, p) -> named_struct('n', a.n + p + {window} - greatest(p, a.upto), 'upto', p + {window}), a -> a.n)"
+    return d.withColumn("n_repeat_words", F.expr(covered))
 
 
-def _letters(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """``docs`` with its lower-case letters-only words, two spaces between any two and one at both ends."""
-    d = docs.withColumn("_q_text", F.coalesce(F.col(text_col), F.lit("")))
-    d = d.withColumn("_q_plain", F.expr(r"concat(' ', trim(regexp_replace(lower(_q_text), '[^\\p{L}]+', '  ')), ' ')"))
-    return d.withColumn("_q_lang", F.coalesce(F.col(lang_col), F.lit(ANY)))
+def _with_counts(d: DataFrame, window: int) -> DataFrame:
+    """From ``text``: ``words``, the plain counts, and ``classes``, the counts of the character classes as doubles."""
+    d = d.withColumn("words", F.expr(_words("text"))).withColumn("n_words", F.size("words").cast("long"))
+    d = d.withColumn("word_chars", F.expr("char_length(array_join(words, ''))").cast("long"))
+    d = d.withColumn("n_symbols", F.expr(f"regexp_count(text, '{SYMBOLS}')").cast("long"))
+    d = d.withColumn("lines", F.expr(r"filter(split(text, '\\n', -1), x -> x rlike '[^ \\t-\\r]')"))
+    d = d.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
+    d = _with_repeats(d, window).withColumn("n_chars", F.char_length("text"))
+    d = d.withColumn("letters", F.expr(r"char_length(regexp_replace(text, '[^\\p{L}]+', ''))"))
+    d = d.withColumn("upper", F.expr(r"regexp_count(text, '\\p{Lu}')")).withColumn("digits", F.expr(r"regexp_count(text, '\\p{Nd}')"))
+    rest = "n_chars - letters - digits - (n_chars - word_chars) - n_symbols"
+    return d.withColumn("classes", F.expr(f"transform(array(letters - upper, upper, digits, n_chars - word_chars, n_symbols, {rest}), x -> cast(x AS double))"))
 
 
-def _with_classes(d: DataFrame, spaces: str, symbols: str) -> DataFrame:
-    """From ``_q_text`` and ``_q_plain``: ``_q_classes``, the counts of the character classes as doubles."""
-    d = d.withColumn("_q_n_chars", F.char_length("_q_text"))
-    d = d.withColumn("_q_n_letters", F.expr("char_length(replace(_q_plain, ' ', ''))"))
-    d = d.withColumn("_q_upper", F.expr(r"regexp_count(_q_text, '\\p{Lu}')"))
-    d = d.withColumn("_q_digits", F.expr(r"regexp_count(_q_text, '\\p{Nd}')"))
-    d = d.withColumn("_q_spaces", F.expr(spaces)).withColumn("_q_marks", F.expr(symbols))
-    rest = "greatest(0, _q_n_chars - greatest(_q_n_letters, _q_upper) - _q_digits - _q_spaces - _q_marks)"
-    return d.withColumn("_q_classes", F.expr(f"transform(array(greatest(0, _q_n_letters - _q_upper), _q_upper, _q_digits, _q_spaces, _q_marks, {rest}), x -> cast(x AS double))"))
-
-
-def _with_uses(d: DataFrame) -> DataFrame:
-    """From ``_q_plain`` and the reference's ``_q_common``: ``_q_uses``, the uses of each common word and of all others."""
-    d = d.withColumn("_q_n_plain", F.expr("if(_q_n_letters = 0, 0, octet_length(_q_plain) - octet_length(replace(_q_plain, '  ', ' ')) + 1)"))
-    count = "cast((octet_length(_q_plain) - octet_length(replace(_q_plain, concat(' ', w, ' '), ''))) / (octet_length(w) + 2) AS double)"
-    d = d.withColumn("_q_found", F.expr(f"transform(_q_common, w -> {count})"))
-    return d.withColumn("_q_uses", F.expr(f"concat(_q_found, array(greatest(0D, _q_n_plain - {_sum('_q_found')})))"))
-
-
-def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """``_q_lang, _q_common, _q_word_shares, _q_class_shares`` for each language, and those of all together
-    (``*``): at most 1 / ``least_share`` + 1 rows of at most 1 / ``common_share`` words, which is what may be broadcast.
+def language_words(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
+    """``language, common`` (words in lower case)``, signs`` (none for any other word, then one for each) ``, word_shares`` (of
+    each common word and of all others) for each language with ``least_share`` of the rows, and for all together (``*``):
+    at most 1 / ``least_share`` + 1 rows of at most 1 / ``common_share`` words, which is what may be broadcast.
 
     Words are counted exactly, by language and word, with partial sums before the shuffle.
     """
-    d = _letters(docs.select(text_col, lang_col), text_col, lang_col)
-    classes = _with_classes(d, f"regexp_count(_q_text, '{SPACE}')", f"regexp_count(_q_text, '{SYMBOLS}')").select("_q_lang", *[F.col("_q_classes")[i].alias(c) for i, c in enumerate(CLASSES)])
-    # A row for each language value, written down: known languages, all together, and the rows of each come from it.
-    sums = classes.groupBy("_q_lang").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in CLASSES]).checkpoint()
-    rows = sums.agg(F.sum("rows")).first()[0] or 0
-    shares = F.expr(_shares(f"array({', '.join(CLASSES)})"))
-    known = sums.filter((F.col("_q_lang") != ANY) & (F.col("rows") >= rules.least_share * rows)).select("_q_lang", shares.alias("_q_class_shares"))
-    every = sums.agg(*[F.sum(c).alias(c) for c in CLASSES]).select(F.lit(ANY).alias("_q_lang"), shares.alias("_q_class_shares"))
-
-    words = d.select("_q_lang", F.explode_outer(F.expr("split(trim(_q_plain), '  ')")).alias("word"))
-    counts = words.groupBy("_q_lang", "word").agg(F.count(F.lit(1)).alias("n")).filter("word <> ''")
-    totals = counts.groupBy("_q_lang").agg(F.sum("n").alias("total"))
-    frequent = counts.join(F.broadcast(totals.join(F.broadcast(known.select("_q_lang")), "_q_lang")), "_q_lang").filter(f"n >= {rules.common_share} * total")
-    # All languages together: the counts of each word are added up over them.
-    together = counts.groupBy("word").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(totals.agg(F.sum("total").alias("total"))))
-    frequent = frequent.unionByName(together.filter(f"n >= {rules.common_share} * total").withColumn("_q_lang", F.lit(ANY)))
-    common = (
-        frequent.groupBy("_q_lang")
-        .agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("own"), F.first("total").alias("total"))
-        .withColumn("used", F.expr("transform(own, x -> cast(x.n AS double))"))
-        .select("_q_lang", F.expr("own.word").alias("_q_common"), F.expr(_shares(f"concat(used, array(total - {_sum('used')}))")).alias("_q_word_shares"))
+    folder = own_folder(docs.sparkSession, "quality")
+    sizes = docs.groupBy(F.col(lang_col).alias("language")).count().checkpoint()
+    rows = sizes.agg(F.sum("count")).first()[0] or 0
+    known = sizes.filter((F.col("count") >= rules.least_share * rows) & F.col("language").isNotNull()).select("language")
+    lower = F.expr(_words("lower(coalesce(text, ''))"))
+    words = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).select("lang", F.explode(lower).alias("word"))
+    own = F.broadcast(known.withColumn("lang", F.col("language")))
+    words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).join(own, "lang", "left").select("language", "word", "n").write.parquet(f"{folder}/words")
+    counts = docs.sparkSession.read.schema("language string, word string, n long").parquet(f"{folder}/words")
+    # Rows of no known language are a group of their own here.
+    totals = counts.groupBy("language").agg(F.sum("n").alias("total")).checkpoint()
+    least = F.col("n") >= rules.common_share * F.col("total")
+    counts = counts.filter("language IS NOT NULL").unionByName(counts.filter("language IS NULL").groupBy("language", "word").agg(F.sum("n").alias("n")))
+    common = counts.alias("c").join(F.broadcast(totals.alias("t")), F.expr("c.language <=> t.language")).select("c.language", "word", "n", "total").filter(least)
+    # What is common in all together is so in one of the groups.
+    candidates = F.broadcast(common.select("word").distinct())
+    everything = totals.agg(F.sum("total")).first()[0] or 0
+    whole = counts.join(candidates, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n")).withColumn("language", F.lit(ANY))
+    whole = whole.withColumn("total", F.lit(everything).cast("long")).filter(least)
+    found = (
+        common.filter("language IS NOT NULL")
+        .unionByName(whole)
+        .groupBy("language")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("n") * -1, "word", F.col("n").cast("double").alias("n")))).alias("own"), F.first("total").alias("total"))
+        .withColumn("signs", F.expr("transform(sequence(0, size(own)), i -> if(i = 0, '', char(32 + i)))"))
+        .select("language", F.expr("own.word").alias("common"), "signs", F.expr(_shares(f"concat(own.n, array(total - {_sum('own.n')}))")).alias("word_shares"))
     )
-    return known.unionByName(every).join(F.broadcast(common), "_q_lang", "left")
+    every = docs.sparkSession.createDataFrame([(ANY,)], "language string")
+    return known.unionByName(every).join(found, "language", "left").checkpoint()
+
+
+def _measured(docs: DataFrame, text_col: str, lang_col: str, carried: list[str], rules: Rules) -> DataFrame:
+    """Written down: ``row`` (the carried columns), ``language`` (of its reference), the counts, ``classes``, ``n_chars`` and
+    ``word_distance``."""
+    spark = docs.sparkSession
+    words = F.broadcast(language_words(docs, text_col=text_col, lang_col=lang_col, rules=rules))
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
+    d = d.join(words.select(F.col("language").alias("lang"), F.col("language").alias("known")).filter(F.col("lang") != ANY), "lang", "left")
+    d = d.select("row", "text", F.coalesce("known", F.lit(ANY)).alias("language")).join(words, "language", "left")
+    d = _with_counts(d, rules.window)
+    # Each common word leaves its sign, others none; then each sign is counted.
+    worth = f"n_words >= {rules.min_words} AND size(common) > 0"
+    d = d.withColumn("signed", F.expr(f"if({worth}, array_join(transform(words, w -> signs[cast(array_position(common, lower(w)) AS int)]), ''), null)"))
+    uses = "transform(slice(signs, 2, size(common)), s -> cast((octet_length(signed) - octet_length(replace(signed, s, ''))) / octet_length(s) AS double))"
+    d = d.withColumn("uses", F.expr(f"if(signed IS NULL, null, {uses})"))
+    d = d.withColumn("word_distance", F.expr(f"if(uses IS NULL, null, {_distance(_shares(f'concat(uses, array(n_words - {_sum("uses")}))'), 'word_shares')})"))
+    folder = own_folder(spark, "quality")
+    d = d.select("row", "language", *COUNTS, "classes", "n_chars", "word_distance")
+    d.write.parquet(f"{folder}/rows")
+    return spark.read.schema(d.schema).parquet(f"{folder}/rows")
+
+
+def _judged(docs: DataFrame, text_col: str, lang_col: str, carried: list[str], rules: Rules) -> DataFrame:
+    """``row``, the counts, ``base_failed``, both distances and ``kept``."""
+    d = _measured(docs, text_col, lang_col, carried, rules)
+    sums = d.groupBy("language").agg(*[F.sum(F.col("classes")[i]).alias(c) for i, c in enumerate(CLASSES)])
+    every = sums.agg(*[F.sum(c).alias(c) for c in CLASSES]).withColumn("language", F.lit(ANY))
+    shares = F.expr(_shares(f"array({', '.join(CLASSES)})")).alias("class_shares")
+    d = d.join(F.broadcast(sums.filter(F.col("language") != ANY).unionByName(every).select("language", shares)), "language", "left")
+    d = d.withColumn("class_distance", F.expr(f"if(n_chars >= {rules.min_chars}, {_distance(_shares('classes'), 'class_shares')}, null)"))
+    d = d.withColumn("base_failed", F.expr(f"n_words < {rules.least_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words"))
+    verdict: Column = F.expr(f"NOT base_failed AND coalesce(class_distance <= {rules.max_class_distance}, true) AND coalesce(word_distance <= {rules.max_word_distance}, true)")
+    return d.select("row", *COUNTS, "base_failed", "class_distance", "word_distance", verdict.alias("kept"))
 
 
 def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """All columns of ``docs`` and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     class_distance, word_distance`` (null where the text is too short) and ``kept``."""
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
-    if clash := [c for c in docs.columns if c in new or c.startswith("_q_")]:
+    new = [*COUNTS, "base_failed", "class_distance", "word_distance", "kept"]
+    if clash := [c for c in docs.columns if c in new]:
         raise ValueError(f"columns {clash} are there already")
-    shared_dir(docs.sparkSession)
-    # The references are used twice (known languages, and their shares), so they are written down: a few rows.
-    references = F.broadcast(language_references(docs, text_col=text_col, lang_col=lang_col, rules=rules).checkpoint())
-    d = _letters(docs, text_col, lang_col)
-    d = d.join(references.select("_q_lang", F.lit(True).alias("_q_known")), "_q_lang", "left").withColumn("_q_lang", F.expr(f"if(_q_known, _q_lang, '{ANY}')")).drop("_q_known")
-    d = with_counts(d.join(references, "_q_lang", "left"), text_col, rules.window)
-    d = _with_uses(_with_classes(d, "_q_n_chars - _q_word_chars", "_q_n_symbols"))
-    d = d.withColumn("class_distance", F.expr(f"if(_q_n_chars >= {rules.min_chars}, {_distance(_shares('_q_classes'), '_q_class_shares')}, null)"))
-    d = d.withColumn("word_distance", F.expr(f"if(_q_n_plain >= {rules.min_words} AND _q_common IS NOT NULL, {_distance(_shares('_q_uses'), '_q_word_shares')}, null)"))
-    d = d.withColumn("base_failed", F.expr(f"_q_n_words < {rules.least_words} OR 100 * _q_n_repeat_words > {rules.max_repeat_percent} * _q_n_words"))
-    verdict: Column = F.expr(f"NOT base_failed AND coalesce(class_distance <= {rules.max_class_distance}, true) AND coalesce(word_distance <= {rules.max_word_distance}, true)")
-    return d.withColumn("kept", verdict).select(
-        *docs.columns, *[F.col(f"_q_{c}").alias(c) for c in new[:5]], "base_failed", "class_distance", "word_distance", "kept"
-    )
+    return _judged(docs, text_col, lang_col, docs.columns, rules).select("row.*", *new)
 
 
 def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """One row per row of ``docs``: its id and what ``judge`` adds."""
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    return judge(slim, text_col="_text", lang_col="_lang", rules=rules).drop("_text", "_lang").withColumnRenamed("_id", id_col)
+    d = _judged(docs.select(*{id_col: 0, text_col: 0, lang_col: 0}), text_col, lang_col, [id_col], rules)
+    return d.select(F.col("row")[id_col].alias(id_col), *[c for c in d.columns if c != "row"])
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs``, with their columns, that the rules keep."""
-    judged = judge(docs, text_col=text_col, lang_col=lang_col, rules=rules)
-    # A running number, used in the filter, keeps it from being pushed down and all the counting from being inlined there.
-    return judged.withColumn("_q_row", F.monotonically_increasing_id()).filter("kept AND _q_row >= 0").select(*docs.columns)
+    return _judged(docs, text_col, lang_col, docs.columns, rules).filter("kept").select("row.*")

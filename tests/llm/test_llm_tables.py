@@ -251,10 +251,10 @@ def test_quality_distances_by_brute_force(spark):
     got = {r.doc_id: r for r in quality.quality_report(docs, rules=rules).collect()}
 
     def histogram(text, words):
-        plain = re.findall(r"[^\W\d_]+", text.lower())
+        plain = [w.lower() for w in WORDS.findall(text)]
         return [sum(p == w for p in plain) for w in words] + [sum(p not in words for p in plain)]
 
-    every = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower()))
+    every = Counter(w.lower() for t in texts for w in WORDS.findall(t))
     words = sorted(w for w, n in every.items() if n >= 0.02 * sum(every.values()))
 
     def share(x):
@@ -288,6 +288,33 @@ def test_quality_words_of_null_and_rare_languages(spark):
     assert not any(got[i].kept for i in (60, 61, 64)) and all(got[i].kept for i in [*range(60), 62, 63])
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 4, 6, 9])
+def test_quality_windows_of_other_widths(spark, window):
+    rng = random.Random(window)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(40))) for _ in range(60)]
+    got = {r.doc_id: r.n_repeat_words for r in quality.quality_report(docs_of(spark, list(enumerate(texts))), rules=quality.Rules(window=window)).collect()}
+    for i, t in enumerate(texts):
+        words = t.split()
+        seen = Counter(tuple(words[k : k + window]) for k in range(len(words) - window + 1))
+        assert got[i] == len({j for k in range(len(words) - window + 1) if seen[tuple(words[k : k + window])] > 1 for j in range(k, k + window)}), t
+
+
+def test_quality_of_long_repeated_and_clashing_rows(spark):
+    long = "\n".join(f"l{i % 900} " + " ".join(f"w{i * 7 + k}" for k in range(9)) for i in range(30_000))
+    rows = [(1, long, "en", 5, "a"), (1, long, "en", 5, "b"), (2, "x" * 3_000_000, None, 5, "c"), (None, "one two", "de", 5, None), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int, row string")
+    got = quality.quality_report(docs).collect()
+    n, chars, symbols, dup, repeats, failed = base_counts(long)
+    assert [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got if r.doc_id == 1] == [(n, chars, symbols, dup, repeats, failed)] * 2
+    assert sorted(r.word_chars for r in got if r.doc_id != 1) == [0, 6, 3_000_000]
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and {r.row for r in kept.collect()} <= {"a", "b"}
+    with pytest.raises(ValueError, match="n_words"):
+        quality.judge(docs)
+    with pytest.raises(ValueError, match="200"):
+        quality.Rules(common_share=0.001)
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------------------
 
 
