@@ -10,15 +10,18 @@ import json
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import api
-from .config import load_config
+from .config import Config, load_config, load_limits, load_policy
 from .extract import rules
-from .operators import evidence, ranking
+from .operators import evidence, ranking, reviews
+from .plans.calibration import calibrate
+from .plans.review import review_targets
+from .plans.snapshot import Profile
 from .session import build_session, ship
-from .sources.reports import append_event, as_report, events_table, load_ledger, to_json
+from .sources.reports import append_event, as_report, events_table, load_ledger, load_profile, to_json
 
 EXPERIMENTS = {"errors": "handlers", "models": "models", "variants": "variants", "derived": "derived"}
 
@@ -32,7 +35,7 @@ def _text(title: str, df: DataFrame, top: int) -> str:
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="codestrata")
-    p.add_argument("command", choices=["score", "scan", "tree", "explain", "findings", "rules", "compare", "changes", "surface", "architecture", "history", "errors", "models", "variants", "derived", "review-set", "review-show"])
+    p.add_argument("command", choices=["score", "scan", "tree", "explain", "findings", "rules", "compare", "changes", "surface", "architecture", "history", "errors", "models", "variants", "derived", "review-set", "review-list", "review-show", "review-legacy", "calibrate"])
     p.add_argument("--root", default=".")
     p.add_argument("--revision", help="a commit instead of the directory")
     p.add_argument("--before", help="commit of the baseline")
@@ -48,7 +51,16 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--source-root", action="append", default=None)
     p.add_argument("--forbid", action="append", default=[], help="SOURCE:TARGET")
     p.add_argument("--budget", action="append", default=[], help="METRIC=MAXIMUM")
+    p.add_argument("--budget-file", type=Path, help="TOML with a table [budget]")
     p.add_argument("--enforce-budget", action="store_true")
+    p.add_argument("--policy", type=Path, help="TOML with source_roots and [[forbidden]]")
+    p.add_argument("--profiles", type=Path, help="folder of calibration profiles")
+    p.add_argument("--manifest", type=Path, help="corpus to calibrate from")
+    p.add_argument("--corpus", type=Path, help="folder of the corpus projects")
+    p.add_argument("--kind")
+    p.add_argument("--symbol")
+    p.add_argument("--cohort")
+    p.add_argument("--review-id")
     p.add_argument("--max-commits", type=int, default=20)
     p.add_argument("--start")
     p.add_argument("--ledger", type=Path)
@@ -65,9 +77,11 @@ def tables(args: argparse.Namespace) -> dict[str, DataFrame]:
     command = args.command
     if command == "rules":
         return {"rules": spark.createDataFrame(rules.catalog(list(config.enabled_rules) or None, list(config.disabled_rules)))}
-    if command in ("review-set", "review-show"):
-        ledger = append_event(args.ledger, json.loads(args.event)) if command == "review-set" else load_ledger(args.ledger)
-        return {"events": events_table(spark, ledger).orderBy("sequence")}
+    if command == "calibrate":
+        path = calibrate(spark, args.manifest, args.corpus, args.profiles)
+        return {"profile": spark.createDataFrame([(path.stem, str(path))], "profile_id string, path string")}
+    if command.startswith("review-"):
+        return _reviews(spark, args, config)
     if command == "history":
         return api.analyze_history(spark, args.root, end=args.revision or "HEAD", start=args.start, max_commits=args.max_commits, config=config)
     if command in ("compare", "changes", "surface"):
@@ -78,13 +92,15 @@ def tables(args: argparse.Namespace) -> dict[str, DataFrame]:
         if command == "compare":
             return {"loc": change.loc(), "metrics": change.metric_deltas(), "files": change.pairs}
         out = {name: df for name, df in change.review().items()}
-        if args.budget:
-            limits = {k: int(v) for k, _, v in (b.partition("=") for b in args.budget)}
+        limits = load_limits(args.budget_file) if args.budget_file else {}
+        limits |= {k: int(v) for k, _, v in (b.partition("=") for b in args.budget)}
+        if limits:
             out["budget"], out["budget_state"] = api.evaluate_budget(change, limits)
         return out
     snap = api.scan(spark, args.root, revision=args.revision, config=config)
     if command == "architecture":
-        return api._architecture(snap, args.source_root or ["."], [tuple(f.split(":", 1)) for f in args.forbid])
+        roots, forbidden = load_policy(args.policy) if args.policy else (["."], [])
+        return api._architecture(snap, args.source_root or roots, [*forbidden, *(tuple(f.split(":", 1)) for f in args.forbid)])
     if command in EXPERIMENTS:
         return {command: snap.family(EXPERIMENTS[command])}
     if command == "tree":
@@ -96,8 +112,41 @@ def tables(args: argparse.Namespace) -> dict[str, DataFrame]:
         own = F.col("path") == args.path
         row = evidence.only(snap.files.filter(own), args.path)
         return {"file": spark.createDataFrame([row], snap.files.schema), "metrics": snap.metrics(per_file=True).filter(own), "functions": snap.family("functions").filter(own), "findings": snap.family("findings").filter(own)}
-    scores, parts = snap.scores(None)
-    return {"metrics": snap.metrics(), "scores": scores, "contributions": parts, "coverage": snap.coverage, "diagnostics": snap.diagnostics}
+    profile, error = _profile(spark, args, config)
+    scores, parts = snap.scores(profile, profile_error=error)
+    out = {"scores": scores, "contributions": parts, "metrics": snap.metrics()}
+    if command == "scan":
+        files, _ = snap.scores(profile, per_file=True, profile_error=error)
+        out |= {"coverage": snap.coverage, "diagnostics": snap.diagnostics, "files": files, "hotspots": ranking.hotspots(files, config.default_hotspot_count)}
+    return out
+
+
+def _profile(spark: SparkSession, args: argparse.Namespace, config: Config) -> tuple[Profile | None, str | None]:
+    """The profile of the settings, or why it could not be loaded."""
+    if args.profiles is None or not (args.profiles / f"{config.calibration_profile}.json").exists():
+        return None, None
+    try:
+        return Profile.of(spark, load_profile(args.profiles, config.calibration_profile)), None
+    except (ValueError, KeyError, OSError):
+        return None, "calibration-invalid"
+
+
+def _reviews(spark: SparkSession, args: argparse.Namespace, config: Config) -> dict[str, DataFrame]:
+    """Decisions of a ledger against the targets of the present state."""
+    if args.command == "review-set":
+        return {"events": events_table(spark, append_event(args.ledger, json.loads(args.event))).orderBy("sequence")}
+    ledger = load_ledger(args.ledger)
+    events = events_table(spark, ledger)
+    snap = api.scan(spark, args.root, revision=args.revision, config=config)
+    if args.command == "review-legacy":
+        groups = snap.clone_members.groupBy("group_id", "language", "cohort").agg(F.collect_set("path").alias("paths"))
+        decisions = [(d["decision_id"], d.get("group_id"), d.get("language"), d.get("cohort"), d.get("paths", [])) for d in ledger["legacy_decisions"]]
+        legacy = spark.createDataFrame(decisions, "decision_id string, group_id string, language string, cohort string, paths array<string>")
+        return {"legacy": reviews.legacy_matches(legacy, groups), "superseded": reviews.superseded(events)}
+    present = review_targets(snap, (args.kind,) if args.kind else None)
+    if args.command == "review-list":
+        return {"targets": reviews.select_targets(present, path=args.path, symbol=args.symbol, cohort=args.cohort, review_id=args.review_id).orderBy("review_id")}
+    return {"events": events.orderBy("sequence"), "reviews": reviews.resolve(events, present, "snapshot").orderBy("review_id"), "violations": reviews.ledger_violations(events)}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -67,3 +67,25 @@ def load_config(root: Path | None = None, *, explicit: Path | None = None, tool:
         if own.exists():
             config = replace(config, **_checked(tomllib.loads(own.read_text("utf-8"))))
     return replace(config, **_checked({k: v for k, v in overrides.items() if v is not None}))
+
+
+def load_limits(path: Path) -> dict[str, int]:
+    """A change budget: the table ``[budget]`` of a TOML file, metric by metric."""
+    values = tomllib.loads(path.read_text("utf-8")).get("budget")
+    if not isinstance(values, dict) or not values:
+        raise ValueError("a budget file has a table [budget] with limits")
+    if bad := [k for k, v in values.items() if type(v) is not int or v < 0]:
+        raise ValueError(f"limits must be whole numbers of 0 or more: {sorted(bad)}")
+    return values
+
+
+def load_policy(path: Path) -> tuple[list[str], list[tuple[str, str]]]:
+    """An architecture policy: ``source_roots``, and ``[[forbidden]]`` tables of a source and a target."""
+    data = tomllib.loads(path.read_text("utf-8"))
+    if unknown := {*data} - {"source_roots", "forbidden"}:
+        raise ValueError(f"unknown keys of a policy: {sorted(unknown)}")
+    rules = [(r["source"], r["target"]) for r in data.get("forbidden", [])]
+    for name in (x for rule in rules for x in rule):
+        if not all(part.isidentifier() for part in name.split(".")):
+            raise ValueError(f"not a module name: {name}")
+    return list(data.get("source_roots", ["."])), rules

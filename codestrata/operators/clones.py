@@ -119,8 +119,8 @@ def group_state(before: str = "before", after: str = "after", unresolved: str =
         F.when(F.col(unresolved) > 0, "unresolved")
         .when(F.col(before) < 2, "introduced")
         .when(F.col(after) < 2, "removed")
-        .when((F.col(added) > 0) & (F.col(after) > F.col(before)), "expanded")
-        .when((F.col(removed) > 0) & (F.col(after) < F.col(before)), "contracted")
+        .when(F.col(after) > F.col(before), "expanded")
+        .when(F.col(after) < F.col(before), "contracted")
         .when(F.col(modified) + F.col(added) + F.col(removed) > 0, "changed")
         .otherwise("persisted")
     )

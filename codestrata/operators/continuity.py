@@ -7,6 +7,8 @@ or failed counterpart never makes evidence introduced or removed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,34 +49,47 @@ def residue(rows: DataFrame, used: DataFrame, column: str) -> DataFrame:
     return rows.join(used.select(F.col(column).alias("occ")), "occ", "left_anti")
 
 
-def _leftovers(old: DataFrame, new: DataFrame, group: list[str], unusable_old: DataFrame | None, unusable_new: DataFrame | None) -> DataFrame:
-    """What no pass has paired: unresolved where both sides of a group have some, else removed or introduced; evidence whose
-    counterpart could not be assessed stays unresolved."""
-    olds = old.groupBy(*group).agg(F.lit(True).alias("_has_old"))
-    news = new.groupBy(*group).agg(F.lit(True).alias("_has_new"))
+def _alone(rows: DataFrame, column: str, state, *more) -> DataFrame:
+    """Rows as results with an occurrence on one side only."""
+    empty = "new_occ" if column == "old_occ" else "old_occ"
+    state = F.lit(state) if isinstance(state, str) else state
+    return rows.select(state.alias("state"), F.col("occ").alias(column), F.lit(None).cast(rows.schema["occ"].dataType).alias(empty), *more)
 
-    def side(rows: DataFrame, other: DataFrame, flag: str, unusable: DataFrame | None, column: str, state: str) -> DataFrame:
-        rows = rows.join(other, group, "left").withColumn("_u", F.col(flag).isNotNull())
-        if unusable is not None:
-            rows = rows.join(unusable.select("occ", F.lit(True).alias("_missing")), "occ", "left").withColumn("_u", F.col("_u") | F.col("_missing").isNotNull())
-        empty = "new_occ" if column == "old_occ" else "old_occ"
-        kind = old.schema["occ"].dataType
-        return rows.select(F.when(F.col("_u"), "unresolved").otherwise(state).alias("state"), F.col("occ").alias(column), F.lit(None).cast(kind).alias(empty))
 
-    return side(old, news, "_has_new", unusable_old, "old_occ", "removed").unionByName(side(new, olds, "_has_old", unusable_new, "new_occ", "introduced"))
+def on_both_sides(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of either side whose key the other side has too."""
+    shared = old.select(*keys).distinct().join(new.select(*keys).distinct(), keys)
+    return old.join(shared, keys, "left_semi"), new.join(shared, keys, "left_semi")
+
+
+def _leftovers(old: DataFrame, new: DataFrame, group: list[str], unusable_old: DataFrame | None, unusable_new: DataFrame | None) -> DataFrame:
+    """What no pass has paired: evidence whose counterpart could not be assessed is unresolved; of the rest, what a group has
+    on both sides is unresolved, else it is removed or introduced."""
+    out = []
+    if unusable_old is not None:
+        out.append(_alone(old.join(unusable_old.select("occ"), "occ", "left_semi"), "old_occ", "unresolved"))
+        old = old.join(unusable_old.select("occ"), "occ", "left_anti")
+    if unusable_new is not None:
+        out.append(_alone(new.join(unusable_new.select("occ"), "occ", "left_semi"), "new_occ", "unresolved"))
+        new = new.join(unusable_new.select("occ"), "occ", "left_anti")
+    both_old, both_new = on_both_sides(old, new, group)
+    out += [_alone(both_old, "old_occ", "unresolved"), _alone(both_new, "new_occ", "unresolved")]
+    out += [_alone(old.join(both_old, "occ", "left_anti"), "old_occ", "removed"), _alone(new.join(both_new, "occ", "left_anti"), "new_occ", "introduced")]
+    return reduce(DataFrame.unionByName, out)
 
 
 def cascade(old: DataFrame, new: DataFrame, passes: list[tuple[list[str], str]], group: list[str], *, line_map: DataFrame | None = None, unusable_old: DataFrame | None = None, unusable_new: DataFrame | None = None) -> DataFrame:
-    """Passes of ``stable_pairs`` with falling keys and the state each gives, then the leftovers by ``group``.
+    """Passes of ``stable_pairs`` with falling keys and the state each gives, then the leftovers by ``group``.  Aligned lines
+    decide in the first pass only: what is left after it differs, and pairs only where it is single.
 
     Both sides and the pairs of each pass are written down, for every pass uses those before it several times over.
     """
     shared_dir(old.sparkSession)
     old, new = old.checkpoint(), new.checkpoint()
     out = None
-    for keys, state in passes:
-        has_keys = " AND ".join(f"{k} IS NOT NULL" for k in keys)
-        pairs = stable_pairs(old.filter(has_keys), new.filter(has_keys), keys, line_map).select(F.lit(state).alias("state"), "old_occ", "new_occ").checkpoint()
+    for k, (keys, state) in enumerate(passes):
+        has_keys = " AND ".join(f"{key} IS NOT NULL" for key in keys)
+        pairs = stable_pairs(old.filter(has_keys), new.filter(has_keys), keys, None if k else line_map).select(F.lit(state).alias("state"), "old_occ", "new_occ").checkpoint()
         old, new = residue(old, pairs, "old_occ").checkpoint(), residue(new, pairs, "new_occ").checkpoint()
         out = pairs if out is None else out.unionByName(pairs)
     rest = _leftovers(old, new, group, unusable_old, unusable_new)
@@ -93,24 +108,33 @@ def pattern_changes(old: DataFrame, new: DataFrame, **options) -> DataFrame:
     return cascade(old, new, passes, ["pair", "rule_id"], **options)
 
 
-def error_changes(old: DataFrame, new: DataFrame, unresolved_symbols: DataFrame | None = None, **options) -> DataFrame:
-    """Continuity of fallback handlers (D15), by symbol: a symbol with an unresolved handler on either side makes all of
-    its own unresolved; then equal signatures persist, and single leftovers of a symbol on both sides are changed.
+def error_changes(old: DataFrame, new: DataFrame, old_handlers: DataFrame, new_handlers: DataFrame, *, unusable_old: DataFrame | None = None, unusable_new: DataFrame | None = None, line_map: DataFrame | None = None) -> DataFrame:
+    """Continuity of fallback handlers (D15), by symbol.
 
-    Rows: occ, pair, symbol, signature.  ``unresolved_symbols``: pair, symbol.
+    Rows: occ, pair, symbol, signature.  ``old_handlers``, ``new_handlers``: pair, symbol, state of all handlers, those without
+    a fallback too; they tell which symbols a side knows.  In a symbol that both sides know, an unresolved handler on either
+    side makes all unresolved; else equal signatures persist (several of one by aligned lines), single leftovers on both
+    sides are changed, and others are unresolved, removed or introduced by what the symbol has left.  Findings of symbols that
+    one side alone knows are removed or introduced, unless symbols of that pair of files both vanished and appeared: then they
+    are unresolved.
     """
-    parts = []
-    if unresolved_symbols is not None:
-        bad = unresolved_symbols.select("pair", "symbol").distinct()
-        for rows, column, empty in ((old, "old_occ", "new_occ"), (new, "new_occ", "old_occ")):
-            hit = rows.join(bad, ["pair", "symbol"], "left_semi")
-            parts.append(hit.select(F.lit("unresolved").alias("state"), F.col("occ").alias(column), F.lit(None).cast(rows.schema["occ"].dataType).alias(empty)))
-        old, new = old.join(bad, ["pair", "symbol"], "left_anti"), new.join(bad, ["pair", "symbol"], "left_anti")
-    # A symbol on one side only, while the other side has such symbols too, may have been renamed.
-    out = cascade(old, new, [(["pair", "symbol", "signature"], "persisted"), (["pair", "symbol"], "changed")], ["pair"], **options)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    shared_dir(old.sparkSession)
+    symbol = ["pair", "symbol"]
+    known = [h.select(*symbol).distinct() for h in (old_handlers, new_handlers)]
+    unsure = old_handlers.filter("state = 'unresolved'").select(*symbol).union(new_handlers.filter("state = 'unresolved'").select(*symbol)).distinct()
+    churn = known[0].join(known[1], symbol, "left_anti").select("pair").distinct().join(known[1].join(known[0], symbol, "left_anti").select("pair").distinct(), "pair")
+    out, sides = [], []
+    for rows, other, column, state, unusable in ((old, known[1], "old_occ", "removed", unusable_old), (new, known[0], "new_occ", "introduced", unusable_new)):
+        if unusable is not None:
+            out.append(_alone(rows.join(unusable.select("occ"), "occ", "left_semi"), column, "unresolved"))
+            rows = rows.join(unusable.select("occ"), "occ", "left_anti")
+        lone = rows.join(other, symbol, "left_anti").join(churn.withColumn("churn", F.lit(True)), "pair", "left")
+        out.append(_alone(lone, column, F.when(F.col("churn"), "unresolved").otherwise(state)))
+        rows = rows.join(other, symbol, "left_semi")
+        out.append(_alone(rows.join(unsure, symbol, "left_semi"), column, "unresolved"))
+        sides.append(rows.join(unsure, symbol, "left_anti"))
+    matched = cascade(*sides, [([*symbol, "signature"], "persisted"), (symbol, "changed")], symbol, line_map=line_map)
+    return reduce(DataFrame.unionByName, out, matched)
 
 
 def dispatch_changes(old: DataFrame, new: DataFrame, **options) -> DataFrame:
@@ -119,48 +143,58 @@ def dispatch_changes(old: DataFrame, new: DataFrame, **options) -> DataFrame:
     return cascade(old, new, [(full, "persisted"), (["pair", "symbol", "subject", "context"], "changed")], ["pair"], **options)
 
 
-def symbol_changes(old: DataFrame, new: DataFrame, *, unavailable_paths: DataFrame | None = None) -> DataFrame:
-    """Declarations of two snapshots.
+def symbol_changes(old: DataFrame, new: DataFrame, *, unavailable_paths: DataFrame | None = None, incomplete_old: DataFrame | None = None, incomplete_new: DataFrame | None = None) -> DataFrame:
+    """Declarations of two snapshots (D17): ``state, old_occ, new_occ, reason``; an unresolved occurrence has a row of its own.
 
     Rows: occ, language, cohort, path (the matched file's current path where files are paired), kind, name, ast (exact
-    fingerprint), rename (fingerprint without the name).  Passes in order: files that could not be read are unresolved; names
-    that occur several times in a file on a side are unresolved; equal names are unchanged or modified; exact moves between
-    files; a rename in a file; a move with an edit; the rest is added or removed.  A possible rename or edit that is not the
-    only one stays unresolved.
+    fingerprint), rename (fingerprint without the name), and optionally place (the path in its own snapshot).  In order: files
+    that could not be read are unresolved; names that occur several times in a file on a side are unresolved; equal names are
+    unchanged (moved, where their place differs) or modified; equal names and syntax in other files are moved where single,
+    else unresolved; then all that share their syntax but for the name, and all that share their name, are unresolved on both
+    sides; so is what is left of a language and cohort whose other side is incomplete (``incomplete_old`` and ``_new``: those
+    in which the old, the new snapshot lacks files).  The rest is removed or added.
     """
+    shared_dir(old.sparkSession)
     population = ["language", "cohort"]
-    kind = old.schema["occ"].dataType
+    by_name = [*population, "path", "kind", "name"]
     out: list[DataFrame] = []
 
-    def alone(rows: DataFrame, column: str, state: str) -> DataFrame:
-        empty = "new_occ" if column == "old_occ" else "old_occ"
-        return rows.select(F.lit(state).alias("state"), F.col("occ").alias(column), F.lit(None).cast(kind).alias(empty))
+    def settle(olds: DataFrame, news: DataFrame, reason: str) -> None:
+        nonlocal old, new
+        parts = [_alone(olds, "old_occ", "unresolved", F.lit(reason).alias("reason")), _alone(news, "new_occ", "unresolved", F.lit(reason).alias("reason"))]
+        pairs(parts[0].unionByName(parts[1]))
 
+    def pairs(found: DataFrame) -> None:
+        nonlocal old, new
+        found = found.checkpoint()
+        out.append(found)
+        old, new = residue(old, found.filter("old_occ IS NOT NULL"), "old_occ").checkpoint(), residue(new, found.filter("new_occ IS NOT NULL"), "new_occ").checkpoint()
+
+    old, new = (x.withColumn("place", F.col("place") if "place" in x.columns else F.col("path")).checkpoint() for x in (old, new))
     if unavailable_paths is not None:
         bad = unavailable_paths.select(*population, "path").distinct()
-        out += [alone(old.join(bad, [*population, "path"], "left_semi"), "old_occ", "unresolved"), alone(new.join(bad, [*population, "path"], "left_semi"), "new_occ", "unresolved")]
-        old, new = old.join(bad, [*population, "path"], "left_anti"), new.join(bad, [*population, "path"], "left_anti")
-    shared_dir(old.sparkSession)
-    old, new = old.checkpoint(), new.checkpoint()
-    by_name = [*population, "path", "kind", "name"]
-    many = old.groupBy(*by_name).count().filter("count > 1").select(*by_name).unionByName(new.groupBy(*by_name).count().filter("count > 1").select(*by_name)).distinct()
-    out += [alone(old.join(many, by_name, "left_semi"), "old_occ", "unresolved"), alone(new.join(many, by_name, "left_semi"), "new_occ", "unresolved")]
-    old, new = old.join(many, by_name, "left_anti").checkpoint(), new.join(many, by_name, "left_anti").checkpoint()
-    a = old.select(*by_name, F.col("occ").alias("old_occ"), F.col("ast").alias("_old"))
-    named = a.join(new.select(*by_name, F.col("occ").alias("new_occ"), F.col("ast").alias("_new")), by_name)
-    same = named.select(F.when(F.col("_old") == F.col("_new"), "unchanged").otherwise("modified").alias("state"), "old_occ", "new_occ")
-    same = same.checkpoint()
-    out.append(same)
-    old, new = residue(old, same, "old_occ").checkpoint(), residue(new, same, "new_occ").checkpoint()
-    for keys, state in (([*population, "kind", "name", "ast"], "moved"), ([*population, "path", "kind", "rename"], "unresolved"), ([*population, "kind", "name"], "unresolved")):
-        pairs = stable_pairs(old, new, keys).select(F.lit(state).alias("state"), "old_occ", "new_occ").checkpoint()
-        out.append(pairs)
-        old, new = residue(old, pairs, "old_occ").checkpoint(), residue(new, pairs, "new_occ").checkpoint()
-    out += [alone(old, "old_occ", "removed"), alone(new, "new_occ", "added")]
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
-    return result
+        settle(old.join(bad, [*population, "path"], "left_semi"), new.join(bad, [*population, "path"], "left_semi"), "source-unavailable")
+    many = old.groupBy(*by_name).count().unionByName(new.groupBy(*by_name).count()).filter("count > 1").select(*by_name).distinct()
+    settle(old.join(many, by_name, "left_semi"), new.join(many, by_name, "left_semi"), "duplicate-qualified-name")
+
+    def joined(keys: list[str]) -> DataFrame:
+        both = stable_pairs(old, new, keys).select("old_occ", "new_occ")
+        both = both.join(old.select(F.col("occ").alias("old_occ"), F.col("ast").alias("_old"), F.col("place").alias("_from")), "old_occ")
+        both = both.join(new.select(F.col("occ").alias("new_occ"), F.col("ast").alias("_new"), F.col("place").alias("_to")), "new_occ")
+        state = F.when(F.col("_old") != F.col("_new"), "modified").when(F.col("_from") == F.col("_to"), "unchanged").otherwise("moved")
+        return both.select(state.alias("state"), "old_occ", "new_occ", F.lit(None).cast("string").alias("reason"))
+
+    pairs(joined(by_name))
+    moves = [*population, "kind", "name", "ast"]
+    pairs(joined(moves))
+    for keys, reason in ((moves, "competing-move-candidates"), ([*population, "kind", "rename"], "possible-declaration-rename"), ([*population, "kind", "name"], "possible-move-and-edit")):
+        settle(*on_both_sides(old, new, keys), reason)
+    if incomplete_old is not None or incomplete_new is not None:
+        lacking = [x.select(*population).distinct() if x is not None else old.select(*population).limit(0) for x in (incomplete_new, incomplete_old)]
+        settle(old.join(lacking[0], population, "left_semi"), new.join(lacking[1], population, "left_semi"), "counterpart-source-unavailable")
+    none = F.lit(None).cast("string").alias("reason")
+    out += [_alone(old, "old_occ", "removed", none), _alone(new, "new_occ", "added", none)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def novel_ratio(changes: DataFrame, by: list[str]) -> DataFrame:
@@ -171,13 +205,14 @@ def novel_ratio(changes: DataFrame, by: list[str]) -> DataFrame:
     return counts.select(*by, "added", "modified", "unresolved", F.when(ok, F.col("added") / total).alias("novel_ratio"), F.when(ok, "measured").otherwise("unavailable").alias("state"))
 
 
-def match_members(old: DataFrame, new: DataFrame, file_map: DataFrame, line_map: DataFrame) -> DataFrame:
-    """Members of duplicate blocks by mapped file: a single one on each side, else aligned ends.
+def match_members(old: DataFrame, new: DataFrame, file_map: DataFrame, line_map: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Members of duplicate blocks by mapped file: a single one on each side, else aligned ends (D18): old_occ, new_occ.
 
-    Rows: occ, path, start_line, end_line.  ``file_map``: old_path, new_path.
+    Rows: occ, path, start_line, end_line, and the columns ``by``, in which both must agree.  ``file_map``: old_path, new_path.
     """
-    mapped = old.join(file_map.withColumnRenamed("old_path", "path"), "path").select("occ", "path", F.col("new_path").alias("file"), "start_line", "end_line")
-    return stable_pairs(mapped, new.withColumn("file", F.col("path")), ["file"], line_map).select("old_occ", "new_occ")
+    by = by or []
+    mapped = old.join(file_map.select(F.col("old_path").alias("path"), F.col("new_path").alias("file")).distinct(), "path").select("occ", "path", "file", "start_line", "end_line", *by)
+    return stable_pairs(mapped, new.withColumn("file", F.col("path")), [*by, "file"], line_map).select("old_occ", "new_occ")
 
 
 def anchored_relation(pairs: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -202,6 +237,6 @@ def resolve_groups(edges: DataFrame) -> DataFrame:
     parts = connected_components(named)
     old = parts.filter("node LIKE 'old:%'").select("component", F.substring("node", 5, 1 << 20).alias("old_group"))
     new = parts.filter("node LIKE 'new:%'").select("component", F.substring("node", 5, 1 << 20).alias("new_group"))
-    sizes = old.groupBy("component").agg(F.count(F.lit(1)).alias("olds")).join(new.groupBy("component").agg(F.count(F.lit(1)).alias("news")), "component")
+    sizes = old.groupBy("component").agg(F.count(F.lit(1)).alias("olds")).join(new.groupBy("component").agg(F.count(F.lit(1)).alias("news")), "component")  # edges have both ends
     rows = old.unionByName(new, allowMissingColumns=True).join(sizes, "component")
     return rows.select("component", "old_group", "new_group", F.when((F.col("olds") > 1) | (F.col("news") > 1), "ambiguous").otherwise("paired").alias("resolution"))

@@ -26,6 +26,40 @@ def targets(evidence: DataFrame) -> DataFrame:
     return rows.withColumn("paths", F.array_sort("paths")).select(*TARGET).dropDuplicates(["review_id", "evidence_fingerprint"])
 
 
+def evidence_rows(rows: DataFrame, kind: str, symbol: str, *, source: str = "source_sha256", version: str | None, settings: str = "", boundary=None) -> DataFrame:
+    """Rows of one family in one file each, as ``targets`` takes them: the symbol and all that the row says.  ``rows``: path,
+    language, cohort, the source hash, and the family's own columns."""
+    own = [c for c in rows.columns if c not in ("path", "language", "cohort", source)]
+    evidence = json_digest(F.to_json(F.struct("path", *own)))
+    return rows.select(
+        F.lit(kind).alias("kind"), "language", "cohort", F.expr(symbol).alias("symbol"), F.array("path").alias("paths"), evidence.alias("evidence_fingerprint"), F.array(source).alias("source_hashes"),
+        (F.lit(None).cast("string") if boundary is None else boundary).alias("boundary"), F.lit(version).cast("string").alias("analysis_version"), F.lit(settings).alias("settings"),
+    )
+
+
+def duplicate_rows(members: DataFrame, *, version: str, settings: str = "", boundaries: DataFrame | None = None) -> DataFrame:
+    """Groups of duplicates as ``targets`` takes them; their boundary is that of their members' paths.  ``members``: group_id,
+    language, cohort, fingerprint, path, start_line, end_line, source_sha256.  ``boundaries``: path, boundary."""
+    rows = members.withColumn("boundary", F.lit(None).cast("string")) if boundaries is None else members.join(boundaries, "path", "left")
+    place = F.struct("path", "start_line", "end_line", "boundary", F.col("source_sha256").alias("hash"))
+    groups = rows.groupBy("group_id", "language", "cohort", "fingerprint").agg(F.array_sort(F.collect_list(place)).alias("m"))  # what one target shows
+    paths = F.array_distinct("m.path")
+    hashes = F.transform(paths, lambda p: F.filter("m", lambda x: x.path == p)[0].hash)
+    return groups.select(
+        F.lit("clone").alias("kind"), "language", "cohort", F.lit("clone").alias("symbol"), paths.alias("paths"),
+        json_digest(F.to_json(F.struct("fingerprint", F.transform("m", lambda x: F.struct(x.path.alias("path"), x.start_line.alias("start_line"), x.end_line.alias("end_line"))).alias("m")))).alias("evidence_fingerprint"),
+        hashes.alias("source_hashes"), F.array_join(F.array_sort(F.array_distinct(F.array_compact("m.boundary"))), ",").alias("boundary"), F.lit(version).alias("analysis_version"), F.lit(settings).alias("settings"),
+    )
+
+
+def select_targets(found: DataFrame, *, kind: str | None = None, path: str | None = None, symbol: str | None = None, language: str | None = None, cohort: str | None = None, review_id: str | None = None) -> DataFrame:
+    """Targets that match all filters given."""
+    for column, value in (("kind", kind), ("symbol", symbol), ("language", language), ("cohort", cohort), ("review_id", review_id)):
+        if value is not None:
+            found = found.filter(F.col(column) == value)
+    return found if path is None else found.filter(F.array_contains("paths", path))
+
+
 def latest(events: DataFrame, key: str = "review_id") -> DataFrame:
     """The last event of each review."""
     names = [c for c in events.columns if c != key]

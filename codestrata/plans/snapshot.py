@@ -5,13 +5,14 @@ The files are parsed once, in one pass; its result is written down in the shared
 
 from __future__ import annotations
 
+from dataclasses import fields
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..extract import families
+from ..extract import clone_runs, complexity, families, rules
 from ..functions.fingerprints import content_hash, token_fingerprint
 from ..operators import clones, coverage, ratios, scoring
 from ..operators.lines import span_lines
@@ -21,6 +22,12 @@ FILE = ["path", "language", "cohort"]
 SCORED = ["verbosity.patterns", "verbosity.clones", "verbosity.combined", "erosion"]
 
 
+#: Versions of what the metrics mean.
+METRIC_VERSIONS = {"verbosity.patterns": "1", "verbosity.clones": "1", "verbosity.combined": "1", "erosion": complexity.COMPLEXITY_VERSION}
+#: Settings that change what is measured.
+MEASURING = ("clone_min_statements", "clone_min_sloc", "complexity_threshold", "enabled_rules", "disabled_rules")
+
+
 class StrictFailure(RuntimeError):
     """The first error of a scan in strict mode."""
 
@@ -35,6 +42,13 @@ class Snapshot:
         if config.strict and (bad := self.diagnostics.filter("severity = 'error'").orderBy("path", "code").first()):
             raise StrictFailure(f"{bad.path}: {bad.code}: {bad.message}")
 
+    @cached_property
+    def provenance(self) -> dict:
+        """How this state was analyzed: versions, and all settings."""
+        settings = {f.name: getattr(self.config, f.name) for f in fields(self.config)}
+        versions = {"rule_set_version": rules.RULE_SET_VERSION, "clone_normalization_version": clone_runs.NORMALIZATION_VERSION, "metric_versions": METRIC_VERSIONS}
+        return versions | {"settings": {k: sorted(v) if k.endswith("_rules") else v for k, v in settings.items()}}
+
     @cached_property
     def documents(self) -> DataFrame:
         return self.inventory.filter("state = 'scored'").select(*FILE, "content")
@@ -102,16 +116,18 @@ class Snapshot:
         rows = rows.unionByName(ratios.combined_ratio(self.files, self.flagged_lines, self.cloned_lines, per_file=per_file, failed_patterns=no_patterns, failed_clones=no_clones))
         return rows.unionByName(ratios.erosion(self.files, self.family("functions"), threshold=self.config.complexity_threshold, per_file=per_file))
 
-    def scores(self, profile: Profile | None, *, per_file: bool = False) -> tuple[DataFrame, DataFrame]:
-        """Scores (points, band, reason) and the contributions of their metrics."""
-        return score_metrics(self.metrics(per_file=per_file), self.files, profile, per_file=per_file)
+    def scores(self, profile: Profile | None, *, per_file: bool = False, profile_error: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Scores (points, band, reason) and the contributions of their metrics.  ``profile_error``: why a profile that was
+        asked for could not be loaded."""
+        return score_metrics(self.metrics(per_file=per_file), self.files, profile, self.provenance, per_file=per_file, profile_error=profile_error)
 
 
 class Profile:
     """A calibration profile: populations (kind, cohort, model, min_sloc, max_sloc, metric_id, values), the metrics of each
-    model (model, metric_id, weight, transform), and bands."""
+    model (model, metric_id, weight, transform), and bands.  ``identity`` says what analyses it fits: language, versions and
+    settings; without one it fits any.  A profile comes from one file, so its tables are small enough to be broadcast."""
 
-    def __init__(self, populations: DataFrame, models: list[tuple[str, str, float, str]], bands: list[tuple[str, float]]):
+    def __init__(self, populations: DataFrame, models: list[tuple[str, str, float, str]], bands: list[tuple[str, float]], identity: dict | None = None):
         weights: dict[str, float] = {}
         for model, _, weight, _ in models:
             weights[model] = weights.get(model, 0) + weight
@@ -120,24 +136,69 @@ class Profile:
         lower = [b for _, b in bands]
         if not lower or lower[0] != 0 or lower != sorted({*lower}):
             raise ValueError("bands must start at 0 and increase")
-        self.populations, self.models, self.bands = populations, models, bands
-
-
-def score_metrics(metrics: DataFrame, files: DataFrame, profile: Profile | None, *, per_file: bool) -> tuple[DataFrame, DataFrame]:
+        self.populations, self.models, self.bands, self.identity = populations, models, bands, identity
+
+    @classmethod
+    def of(cls, spark: SparkSession, document: dict) -> Profile:
+        """From a profile's document, as ``sources.reports.load_profile`` gives it."""
+        names = {m["model_id"]: MODELS[m["eligibility"]] for m in document["score_models"]}
+        if len({*names.values()}) < len(names):
+            raise ValueError("a profile has one model for each kind of scope")
+        rows, taken = [], {}
+        for p in document["populations"]:
+            if p["model_id"] not in names:
+                raise ValueError(f"population of an unknown model: {p['model_id']}")
+            bounds, key = (p.get("min_sloc"), p.get("max_sloc")), (p["kind"], p["cohort"], p["model_id"])
+            for low, high in taken.get(key, []):
+                if (high is None or (bounds[0] or 0) < high) and (bounds[1] is None or (low or 0) < bounds[1]):
+                    raise ValueError(f"populations of {key} overlap")
+            taken.setdefault(key, []).append(bounds)
+            for d in p["distributions"]:
+                if not d["values"] or d["values"] != sorted(d["values"]):
+                    raise ValueError("values of a population must be sorted")
+                rows.append((p["kind"], p["cohort"], names[p["model_id"]], *bounds, d["metric_id"], [float(v) for v in d["values"]]))
+        models = [(names[m["model_id"]], i["metric_id"], float(i["weight"]), i.get("transform", "percentile")) for m in document["score_models"] for i in m["inputs"]]
+        populations = spark.createDataFrame(rows, "kind string, cohort string, model string, min_sloc int, max_sloc int, metric_id string, values array<double>")
+        identity = {k: document[k] for k in ("language", "rule_set_version", "clone_normalization_version", "settings")} | {"metric_versions": {v["metric_id"]: v["version"] for v in document["metric_versions"]}}
+        return cls(populations, models, [(b["label"], float(b["lower"])) for b in document["bands"]], identity)
+
+
+#: Eligibility of a profile's model -> the model of a scope.
+MODELS = {"all-metrics": "full", "no-functions": "verbosity-only"}
+
+
+def mismatches(identity: dict | None, provenance: dict) -> list[str]:
+    """What of a profile's identity, its language aside, an analysis does not share."""
+    if identity is None:
+        return []
+    out = [k for k in ("rule_set_version", "clone_normalization_version") if identity[k] != provenance[k]]
+    out += [f"settings.{k}" for k in MEASURING if _plain(identity["settings"].get(k, getattr(Config, k))) != _plain(provenance["settings"][k])]
+    return out + [f"metric_versions.{k}" for k, v in sorted(identity["metric_versions"].items()) if provenance["metric_versions"].get(k) != v]
+
+
+def _plain(value: object) -> object:
+    return sorted(value) if isinstance(value, (list, tuple, set)) else value
+
+
+def score_metrics(metrics: DataFrame, files: DataFrame, profile: Profile | None, provenance: dict, *, per_file: bool, profile_error: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Points, band or reason of each scope (F1-F6), and its contributions."""
     keys = [*FILE] if per_file else ["language", "cohort"]
-    sizes = files.groupBy(*keys).agg(F.sum("sloc").alias("sloc"), F.max("failure").alias("_failure"))
-    scopes = metrics.select(*keys).distinct().join(sizes, keys, "left").na.fill(0, ["sloc"])
-    model = scoring.model_of(metrics.select(*keys, "metric_id", "state", "reason"))
-    scopes = scopes.join(model, keys, "left")
-    spark = metrics.sparkSession
-    poisoned = F.when(F.col("_failure").isNotNull(), "required-metric-unavailable")
+    scopes = metrics.select(*keys).distinct().join(files.groupBy(*keys).agg(F.sum("sloc").alias("sloc")), keys, "left").na.fill(0, ["sloc"])
+    scopes = scopes.join(scoring.model_of(metrics.select(*keys, "metric_id", "state", "reason")), keys, "left")
+    spark, error = metrics.sparkSession, F.lit(profile_error).cast("string")
     if profile is None:
-        reason = scoring.score_state(F.col("sloc"), F.lit(None).cast("string"), F.lit(False), F.lit(True), poisoned, F.col("model"), F.lit(False))
+        # What a score would need is told before the want of a profile.
+        earlier = F.when(~F.col("model").eqNullSafe(F.lit("full")), "required-metric-unavailable")
+        reason = scoring.score_state(F.col("sloc"), error, F.lit(False), F.lit(True), earlier, F.col("model"), F.lit(False))
         out = scopes.select(*keys, "sloc", "model", F.lit(None).cast("decimal(5,1)").alias("points"), F.lit(None).cast("string").alias("band"), reason.alias("reason"))
         return out, spark.createDataFrame([], ", ".join(f"{k} string" for k in keys) + ", metric_id string, raw double, percentile decimal(20,10), weight double, transform string, points decimal(5,1)")
+    fits = F.lit(not mismatches(profile.identity, provenance))
+    if profile.identity is not None:
+        fits = fits & (F.col("language") == profile.identity["language"])
+    scopes = scopes.withColumn("_fits", fits)
     models = spark.createDataFrame(profile.models, "model string, metric_id string, weight double, transform string")
     kind = "file" if per_file else "project"
-    wanted = scopes.filter("model IS NOT NULL").join(F.broadcast(models), "model")
+    wanted = scopes.filter("model IS NOT NULL AND _fits").join(F.broadcast(models), "model")
     raw = metrics.filter("state = 'measured'").select(*keys, "metric_id", F.col("value").alias("raw"))
     wanted = wanted.join(raw, [*keys, "metric_id"]).withColumn("kind", F.lit(kind))
     placed = scoring.with_population(wanted.select(*keys, "kind", "model", "metric_id", "weight", "transform", "sloc", "raw"), profile.populations, ["kind", "cohort", "model", "metric_id"])
@@ -146,6 +207,7 @@ def score_metrics(metrics: DataFrame, files: DataFrame, profile: Profile | None,
     parts = scoring.contributions(ranked.join(whole.filter("_all"), keys), keys).select(*keys, "metric_id", "raw", "percentile", "weight", "transform", "points")
     totals = parts.groupBy(*keys).agg(F.sum("points").cast("decimal(5,1)").alias("points"))
     rows = scopes.join(totals, keys, "left").join(whole, keys, "left")
-    reason = scoring.score_state(F.col("sloc"), F.lit(None).cast("string"), F.lit(True), F.lit(True), poisoned, F.col("model"), F.coalesce("_all", F.lit(False)))
+    reason = scoring.score_state(F.col("sloc"), error, F.lit(True), F.col("_fits"), F.lit(None).cast("string"), F.col("model"), F.coalesce("_all", F.lit(False)))
     rows = rows.withColumn("reason", reason).withColumn("points", F.when(F.col("reason").isNull(), F.col("points")))
-    return rows.select(*keys, "sloc", "model", "points", scoring.band_of(F.col("points"), profile.bands).alias("band"), "reason"), parts
+    scored = rows.filter("reason IS NULL").select(*keys)
+    return rows.select(*keys, "sloc", "model", "points", scoring.band_of(F.col("points"), profile.bands).alias("band"), "reason"), parts.join(scored, keys, "left_semi")

@@ -328,7 +328,7 @@ def novel_ratio(spark, sf):
 
 @query(
     """WITH g AS (SELECT o_custkey AS id, count(*) FILTER (o_orderstatus = 'F') AS before, count(*) FILTER (o_orderstatus = 'O') AS after, count(*) FILTER (o_orderpriority = '1-URGENT') AS modified, count(*) FILTER (o_orderpriority = '2-HIGH') AS added, count(*) FILTER (o_orderpriority = '5-LOW') AS removed, count(*) FILTER (o_orderkey % 50 = 0) AS unresolved FROM orders GROUP BY 1)
-    SELECT id, CASE WHEN unresolved > 0 THEN 'unresolved' WHEN before < 2 THEN 'introduced' WHEN after < 2 THEN 'removed' WHEN added > 0 AND after > before THEN 'expanded' WHEN removed > 0 AND after < before THEN 'contracted' WHEN modified + added + removed > 0 THEN 'changed' ELSE 'persisted' END AS state FROM g"""
+    SELECT id, CASE WHEN unresolved > 0 THEN 'unresolved' WHEN before < 2 THEN 'introduced' WHEN after < 2 THEN 'removed' WHEN after > before THEN 'expanded' WHEN after < before THEN 'contracted' WHEN modified + added + removed > 0 THEN 'changed' ELSE 'persisted' END AS state FROM g"""
 )
 def clone_group_states(spark, sf):
     """States of groups by their counts."""

@@ -96,26 +96,163 @@ def test_finding_and_symbol_continuity(spark, tmp_path):
     new = tree(tmp_path / "new", {"a.py": "\n\n" + base.replace("return 1\n", "return 11\n").replace("gone", "came") + "w = False if f else True\n", "m.py": "def stay():\n    return 3\n"})
     change = api.compare(spark, old, None, None, other_root=new)
     assert rows(change.finding_changes(), "state") == [("introduced",), ("persisted",)]
-    states = rows(change.symbol_changes(), "state")
-    assert states == [("modified",), ("unchanged",), ("unchanged",), ("unresolved",)]
+    got = change.symbol_changes()
+    assert rows(got, "state") == [("modified",), ("unchanged",), ("unchanged",), ("unresolved",), ("unresolved",)]
+    assert {r.reason for r in got.filter("state = 'unresolved'").collect()} == {"possible-declaration-rename"}
     checks, whole = api.evaluate_budget(change, {"findings": 0, "errors": 0, "clones": 0})
     assert {r.metric: r.state for r in checks.collect()} == {"findings": "exceeded", "errors": "pass", "clones": "pass"} and whole.first().state == "exceeded"
     counts = {r.state: r.n for r in change.review()["findings"].collect()}
     assert counts == {"introduced": 1, "persisted": 1, "removed": 0, "changed": 0, "unresolved": 0}
 
 
+def clone_states(change):
+    return rows(change.clone_changes(), "before", "after", "modified", "added", "removed", "unresolved", "state")
+
+
 def test_edited_duplicates_stay_related(spark, tmp_path):
     old = tree(tmp_path / "old", {f"{n}.py": BLOCK.format(name="f", p="x") for n in "ab"})
     new = tree(tmp_path / "new", {f"{n}.py": BLOCK.format(name="f", p="x").replace("c = b - 3", "c = b - 4") for n in "ab"})
     change = api.compare(spark, old, None, None, other_root=new)
     assert {r.relation for r in change.member_relations().collect()} == {"anchored"}
     assert {r.resolution for r in change.group_resolution().collect()} == {"paired"}
-    assert rows(change.clone_changes(), "before", "after", "modified", "added", "removed", "state") == [(2, 2, 2, 0, 0, "changed")]
+    assert clone_states(change) == [(2, 2, 2, 0, 0, 0, "changed")]
     more = tree(tmp_path / "more", {f"{n}.py": BLOCK.format(name="f", p="x") for n in "abc"})
-    assert rows(api.compare(spark, old, None, None, other_root=more).clone_changes(), "before", "after", "added", "state") == [(2, 3, 1, "expanded")]
-    assert rows(api.compare(spark, old, None, None, other_root=old).clone_changes(), "state") == [("persisted",)]
+    assert clone_states(api.compare(spark, old, None, None, other_root=more)) == [(2, 3, 0, 1, 0, 0, "expanded")]
     none = tree(tmp_path / "none", {"a.py": BLOCK.format(name="f", p="x")})
-    assert rows(api.compare(spark, old, None, None, other_root=none).clone_changes(), "state") == [("removed",)]
+    assert clone_states(api.compare(spark, old, None, None, other_root=none)) == [(2, 1, 0, 0, 1, 0, "removed")]
+    assert clone_states(api.compare(spark, none, None, None, other_root=old)) == [(1, 2, 0, 1, 0, 0, "introduced")]
+
+
+def test_duplicates_in_one_file(spark, tmp_path):
+    pair = BLOCK.format(name="f", p="x") + "\n" + BLOCK.format(name="g", p="y")
+    old = tree(tmp_path / "old", {"a.py": pair})
+    assert clone_states(api.compare(spark, old, None, None, other_root=old)) == [(2, 2, 0, 0, 0, 0, "persisted")]
+    shifted = tree(tmp_path / "shifted", {"a.py": "\n\n" + pair})
+    assert clone_states(api.compare(spark, old, None, None, other_root=shifted)) == [(2, 2, 0, 0, 0, 0, "persisted")]
+    third = tree(tmp_path / "third", {"a.py": pair + "\n" + BLOCK.format(name="h", p="z")})
+    assert clone_states(api.compare(spark, old, None, None, other_root=third)) == [(2, 3, 0, 1, 0, 0, "expanded")]
+    # Rewritten throughout, in place: neither the same nor told apart.
+    body = "def {n}(x):\n" + "".join(f"    q{i} = x ** {i + 7}\n" for i in range(6))
+    rewritten = tree(tmp_path / "rewritten", {"a.py": body.format(n="f") + "\n" + body.format(n="g")})
+    assert {r.state for r in api.compare(spark, old, None, None, other_root=rewritten).clone_changes().collect()} == {"unresolved"}
+
+
+def test_unassessed_counterparts_keep_members_unresolved(spark, tmp_path):
+    old = tree(tmp_path / "old", {f"{n}.py": BLOCK.format(name="f", p="x") for n in "abc"})
+    new = tree(tmp_path / "new", {f"{n}.py": BLOCK.format(name="f", p="x") for n in "ab"} | {"c.py": "def f(:\n"})
+    change = api.compare(spark, old, None, None, other_root=new)
+    assert clone_states(change) == [(3, 2, 0, 0, 0, 1, "unresolved")]
+    checks, _ = api.evaluate_budget(change, {"clones": 9, "findings": 9})
+    assert {r.metric: r.state for r in checks.collect()} == {"clones": "incomplete", "findings": "incomplete"}
+    codes = {r.code for r in spark.read.json(change.blockers().select("detail").rdd.map(lambda r: r.detail)).collect()}
+    assert {"python.parse-error", "unresolved-change"} <= codes
+
+
+def symbol_states(spark, tmp_path, old, new):
+    change = api.compare(spark, tree(tmp_path / "before", old), None, None, other_root=tree(tmp_path / "after", new))
+    return rows(change.symbol_changes(), "state", F.coalesce("reason", F.lit("")))
+
+
+def test_symbols_with_several_candidates_stay_unresolved(spark, tmp_path):
+    same = "    return 1\n"
+    names = lambda *n: "".join(f"def {x}():\n{same}" for x in n)
+    assert symbol_states(spark, tmp_path / "1", {"a.py": names("one", "two")}, {"a.py": names("three", "four")}) == [("unresolved", "possible-declaration-rename")] * 4
+    moved = symbol_states(spark, tmp_path / "2", {"a.py": "x = 1\n" + names("one")}, {"a.py": "x = 1\n", "b.py": names("one"), "c.py": "y = 1\n" + names("one")})
+    assert moved == [("unresolved", "competing-move-candidates")] * 3
+    assert symbol_states(spark, tmp_path / "3", {"a.py": "x = 1\n" + names("one")}, {"a.py": "x = 1\n", "b.py": "z = 1\n" + names("one")}) == [("moved", "")]
+    assert symbol_states(spark, tmp_path / "4", {"a.py": "x = 1\n" + names("one")}, {"a.py": "x = 1\n", "b.py": "def one():\n    return 2\n"}) == [("unresolved", "possible-move-and-edit")] * 2
+    assert symbol_states(spark, tmp_path / "5", {"a.py": names("one"), "b.py": "w = 1\n"}, {"a.py": "x = 1\n", "b.py": "def f(:\n"}) == [("unresolved", "counterpart-source-unavailable")]
+    assert symbol_states(spark, tmp_path / "6", {"a.py": names("one")}, {"moved.py": names("one")}) == [("moved", "")]
+    assert symbol_states(spark, tmp_path / "7", {"a.py": names("one", "one")}, {"a.py": names("one")}) == [("unresolved", "duplicate-qualified-name")] * 3
+
+
+HANDLER = "def {name}(c):\n    try:\n        return c.{call}()\n    except OSError:\n        return {back}\n"
+
+
+def error_states(spark, tmp_path, old, new):
+    change = api.compare(spark, tree(tmp_path / "before", {"a.py": old}), None, None, other_root=tree(tmp_path / "after", {"a.py": new}))
+    return rows(change.error_changes(), "state")
+
+
+def test_error_handlers_are_matched_within_their_symbol(spark, tmp_path):
+    one, two = HANDLER.format(name="one", call="read", back="[]"), HANDLER.format(name="two", call="load", back="None")
+    plain = "def {}(c):\n    try:\n        return c.read()\n    except OSError:\n        raise\n"
+    # A handler that goes in one symbol and one that comes in another are no pair.
+    assert error_states(spark, tmp_path / "1", one + plain.format("two"), plain.format("one") + two) == [("introduced",), ("removed",)]
+    assert error_states(spark, tmp_path / "2", one, "\n" + one) == [("persisted",)]
+    assert error_states(spark, tmp_path / "3", one, one.replace("[]", "{}")) == [("changed",)]
+    assert error_states(spark, tmp_path / "4", one, two) == [("unresolved",), ("unresolved",)]  # symbols vanish and appear
+    assert error_states(spark, tmp_path / "5", one, one + two) == [("introduced",), ("persisted",)]
+    unsure = one.replace("    except OSError:\n        return []", "    except OSError:\n        if c:\n            return []\n        return None")
+    assert error_states(spark, tmp_path / "6", one, unsure) == [("unresolved",)]
+
+
+def test_both_sides_need_the_same_settings(spark, project):
+    from codestrata.plans.comparison import Comparison
+
+    with pytest.raises(ValueError, match="settings"):
+        Comparison(api.scan(spark, project), api.scan(spark, project, config=Config(clone_min_sloc=9)))
+
+
+def test_calibration_gives_a_profile_that_scores(spark, tmp_path):
+    from codestrata import cli
+    from codestrata.plans.calibration import calibrate
+    from codestrata.sources.reports import load_profile
+
+    cache, revisions = tmp_path / "corpus", []
+    for k, name in enumerate(("p", "q")):
+        (cache / name).mkdir(parents=True)
+        subprocess.run(["git", "init", "-q", str(cache / name)], check=True)
+        revisions.append(commit(cache / name, 1, {"a.py": BLOCK.format(name="f", p="x") * (k + 1), "b.py": "x = 1\n", "LICENSE": "free"}))
+    projects = "".join(f'[[projects]]\nname = "{n}"\nrevision = "{r}"\nlicense_file = "LICENSE"\n' for n, r in zip("pq", revisions, strict=True))
+    manifest = tmp_path / "corpus.toml"
+    manifest.write_text(f'profile_id = "own-1"\nmin_samples = 2\n{projects}')
+    (tmp_path / "profiles").mkdir()
+    calibrate(spark, manifest, cache, tmp_path / "profiles")
+    document = load_profile(tmp_path / "profiles", "own-1")
+    found = {(p["kind"], p["cohort"], p["model_id"], p.get("min_sloc"), d["metric_id"]): len(d["values"]) for p in document["populations"] for d in p["distributions"]}
+    assert found["project", "production", "snapshot", None, "erosion"] == 2 and found["file", "production", "verbosity-only", 1, "verbosity.combined"] == 2
+    profile = Profile.of(spark, document)
+    scores, parts = api.scan(spark, str(cache / "p")).scores(profile)
+    assert {(r.cohort, r.reason, r.points is not None, r.band) for r in scores.collect()} == {("production", None, True, "low"), ("test", "no-source-lines", False, None)} and parts.count() == 2
+    assert {r.reason for r in api.scan(spark, str(cache / "p"), config=Config(clone_min_sloc=2)).scores(profile)[0].collect()} == {"calibration-incompatible", "no-source-lines"}
+    assert {r.reason for r in api.scan(spark, str(cache / "p")).scores(profile, profile_error="calibration-invalid")[0].collect()} == {"calibration-invalid", "no-source-lines"}
+    own = tmp_path / "settings.toml"
+    own.write_text('calibration_profile = "own-1"\n')
+    args = cli._parser().parse_args(["score", "--root", str(cache / "p"), "--config", str(own), "--profiles", str(tmp_path / "profiles")])
+    assert {r.reason for r in cli.tables(args)["scores"].collect()} == {None, "no-source-lines"}
+    (cache / "p" / "loose.py").write_text("y = 1\n")
+    with pytest.raises(ValueError, match="changes"):
+        calibrate(spark, manifest, cache, tmp_path / "profiles")
+
+
+def test_scopes_without_functions_lack_a_metric_before_a_profile(spark, tmp_path):
+    snap = api.scan(spark, tree(tmp_path, {"a.py": "x = 1\n", "tests/test_a.py": "def t():\n    assert 1\n"}))
+    assert {r.cohort: r.reason for r in snap.scores(None)[0].collect()} == {"production": "required-metric-unavailable", "test": "calibration-missing"}
+
+
+def test_review_targets_of_all_kinds_and_their_states(spark, tmp_path):
+    from codestrata.operators import reviews
+    from codestrata.plans.review import review_targets
+    from codestrata.sources.reports import EVENT
+
+    root = tree(tmp_path, {"a.py": BLOCK.format(name="f", p="x") + "v = True if f else False\n" + HANDLER.format(name="one", call="read", back="[]").replace("return c.read()", "r = c.read()").replace("return []\n", "return []\n    return r\n"), "lib/b.py": BLOCK.format(name="g", p="y")})
+    config = Config(boundaries=(("library", "lib"), ("rest", "a.py")))
+    present = review_targets(api.scan(spark, root, config=config)).collect()
+    kinds = {r.kind for r in present}
+    assert {"clone", "pattern", "complexity", "error"} <= kinds and all(r.unavailable is None for r in present)
+    clone = next(r for r in present if r.kind == "clone")
+    assert list(clone.paths) == ["a.py", "lib/b.py"] and clone.boundary == "library,rest" and len(clone.source_hashes) == 2
+    names = [c.split()[0] for c in EVENT.split(", ")]
+    event = {"sequence": 1, "review_id": clone.review_id, "kind": "clone", "language": "python", "cohort": "production", "disposition": "accepted", "evidence_fingerprint": clone.evidence_fingerprint, "source_hashes": clone.source_hashes, "boundary": clone.boundary, "analysis_fingerprint": clone.analysis_fingerprint}
+    events = spark.createDataFrame([tuple(event.get(n) for n in names)], EVENT)
+    state = lambda c: [(r.state, sorted(r.causes)) for r in reviews.resolve(events, review_targets(api.scan(spark, root, config=c)), "snapshot").collect()]
+    assert state(config) == [("current", [])]
+    assert state(Config(boundaries=(("library", "lib"),))) == [("stale", ["boundary"])]
+    assert state(Config(boundaries=config.boundaries, clone_min_sloc=3)) == [("stale", ["analysis-definition"])]
+    (tmp_path / "a.py").write_text((tmp_path / "a.py").read_text() + "w = 1\n")
+    assert state(config) == [("stale", ["source"])]
+    assert reviews.select_targets(review_targets(api.scan(spark, root)), kind="pattern", path="a.py").count() >= 1
 
 
 def test_architecture(spark, tmp_path):
