@@ -68,9 +68,11 @@ def _distance(p: str, q: str) -> str:
     return f"sqrt(greatest(0D, {_sum(f'zip_with({p}, {q}, (a, b) -> {part})')} / 2))"
 
 
-def _words(text: str) -> str:
-    trimmed = rf"trim(BOTH ' \t\n\u000B\u000C\r' FROM {text})"
-    return f"if({trimmed} = '', cast(array() AS array<string>), split({trimmed}, '{SPACE}+'))"
+def _with_words(d: DataFrame, text: str) -> DataFrame:
+    """``words`` of a text: what lies between white space, less what is empty at either end."""
+    d = d.withColumn("parts", F.expr(f"split({text}, '{SPACE}+', -1)"))
+    skip, spare = "if(parts[0] = '', 1, 0)", "if(parts[size(parts) - 1] = '', 1, 0)"
+    return d.withColumn("words", F.expr(f"slice(parts, 1 + {skip}, greatest(0, size(parts) - {skip} - {spare}))")).drop("parts")
 
 
 def _with_repeats(d: DataFrame, window: int) -> DataFrame:
@@ -94,12 +96,12 @@ def _with_repeats(d: DataFrame, window: int) -> DataFrame:
     d = d.withColumn("bits", F.expr("cast(ceil(log2(greatest(n_words, 2))) AS int) + 1"))
     keys = "sort_array(transform(windows, (h, i) -> shiftleft(shiftrightunsigned(h, bits + 1), bits) + i))"
     d = d.withColumn("keys", F.expr(f"if(size(array_distinct(windows)) = size(windows), {none}, {keys})"))
-    # Positions of windows next to an equal one.
+    # Whether each is equal to the one before, and the positions of those next to an equal one.
     place = "cast({} & (shiftleft(1L, bits) - 1) AS int)".format
-    same = "(shiftrightunsigned({other}, bits) = shiftrightunsigned(k, bits) AND slice(words, {there} + 1, {n}) = slice(words, {here} + 1, {n}))"
-    before, after = (same.format(other=x, there=place(x), here=place("k"), n=window) for x in ("keys[j - 1]", "keys[j + 1]"))
-    d = d.withColumn("hits", F.expr(f"filter(keys, (k, j) -> (j > 0 AND {before}) OR (j < size(keys) - 1 AND {after}))"))
-    d = d.withColumn("places", F.expr(f"sort_array(transform(hits, k -> {place('k')}))"))
+    last_key, here, there = "keys[j - 1]", place("k"), place("keys[j - 1]")
+    equal = f"j > 0 AND shiftrightunsigned({last_key}, bits) = shiftrightunsigned(k, bits) AND slice(words, {there} + 1, {window}) = slice(words, {here} + 1, {window})"
+    d = d.withColumn("equal", F.expr(f"transform(keys, (k, j) -> {equal})"))
+    d = d.withColumn("places", F.expr(f"sort_array(transform(filter(keys, (k, j) -> equal[j] OR coalesce(get(equal, j + 1), false)), k -> {here}))"))
     # Each window covers the words up to the next one, the last all of its own.
     covered = f"aggregate(places, named_struct('n', 0L, 'upto', 0), (a, p) -> named_struct('n', a.n + p + {window} - greatest(p, a.upto), 'upto', p + {window}), a -> a.n)"
     return d.withColumn("n_repeat_words", F.expr(covered))
@@ -107,13 +109,13 @@ def _with_repeats(d: DataFrame, window: int) -> DataFrame:
 
 def _with_counts(d: DataFrame, window: int) -> DataFrame:
     """From ``text``: ``words``, the plain counts, and ``classes``, the counts of the character classes as doubles."""
-    d = d.withColumn("words", F.expr(_words("text"))).withColumn("n_words", F.size("words").cast("long"))
-    d = d.withColumn("word_chars", F.expr("char_length(array_join(words, ''))").cast("long"))
+    d = _with_words(d, "text").withColumn("n_words", F.size("words").cast("long")).withColumn("joined", F.array_join("words", ""))
+    d = d.withColumn("word_chars", F.char_length("joined").cast("long"))
     d = d.withColumn("n_symbols", F.expr(f"regexp_count(text, '{SYMBOLS}')").cast("long"))
     d = d.withColumn("lines", F.expr(r"filter(split(text, '\\n', -1), x -> x rlike '[^ \\t-\\r]')"))
     d = d.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     d = _with_repeats(d, window).withColumn("n_chars", F.char_length("text"))
-    d = d.withColumn("letters", F.expr(r"char_length(regexp_replace(text, '[^\\p{L}]+', ''))"))
+    d = d.withColumn("letters", F.expr(r"char_length(regexp_replace(joined, '[^\\p{L}]+', ''))"))
     d = d.withColumn("upper", F.expr(r"regexp_count(text, '\\p{Lu}')")).withColumn("digits", F.expr(r"regexp_count(text, '\\p{Nd}')"))
     rest = "n_chars - letters - digits - (n_chars - word_chars) - n_symbols"
     return d.withColumn("classes", F.expr(f"transform(array(letters - upper, upper, digits, n_chars - word_chars, n_symbols, {rest}), x -> cast(x AS double))"))
@@ -130,8 +132,9 @@ def language_words(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
     sizes = docs.groupBy(F.col(lang_col).alias("language")).count().checkpoint()
     rows = sizes.agg(F.sum("count")).first()[0] or 0
     known = sizes.filter((F.col("count") >= rules.least_share * rows) & F.col("language").isNotNull()).select("language")
-    lower = F.expr(_words("lower(coalesce(text, ''))"))
-    words = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).select("lang", F.explode(lower).alias("word"))
+    texts = docs.select(F.col(lang_col).alias("lang"), F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
+    # What is empty at an end goes after the words are rows: then the text is split once.
+    words = texts.select("lang", F.explode(F.expr(f"split(text, '{SPACE}+', -1)")).alias("word")).filter("word <> ''")
     own = F.broadcast(known.withColumn("lang", F.col("language")))
     words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).join(own, "lang", "left").select("language", "word", "n").write.parquet(f"{folder}/words")
     counts = docs.sparkSession.read.schema("language string, word string, n long").parquet(f"{folder}/words")
@@ -166,9 +169,12 @@ def _measured(docs: DataFrame, text_col: str, lang_col: str, carried: list[str],
     d = d.join(words.select(F.col("language").alias("lang"), F.col("language").alias("known")).filter(F.col("lang") != ANY), "lang", "left")
     d = d.select("row", "text", F.coalesce("known", F.lit(ANY)).alias("language")).join(words, "language", "left")
     d = _with_counts(d, rules.window)
-    # Each common word leaves its sign, others none; then each sign is counted.
+    # Words that are common in some language are picked out first, by a look-up in one set of constants.
+    some = sorted({w for r in words.select("common").collect() for w in r.common or ()})  # bounded, see language_words
+    d = d.withColumn("picked", F.filter("words", lambda w: F.lower(w).isin(some)) if some else F.expr("cast(array() AS array<string>)"))
+    # Each common word of the language leaves its sign, others none; then each sign is counted.
     worth = f"n_words >= {rules.min_words} AND size(common) > 0"
-    d = d.withColumn("signed", F.expr(f"if({worth}, array_join(transform(words, w -> signs[cast(array_position(common, lower(w)) AS int)]), ''), null)"))
+    d = d.withColumn("signed", F.expr(f"if({worth}, array_join(transform(picked, w -> signs[cast(array_position(common, lower(w)) AS int)]), ''), null)"))
     uses = "transform(slice(signs, 2, size(common)), s -> cast((octet_length(signed) - octet_length(replace(signed, s, ''))) / octet_length(s) AS double))"
     d = d.withColumn("uses", F.expr(f"if(signed IS NULL, null, {uses})"))
     d = d.withColumn("word_distance", F.expr(f"if(uses IS NULL, null, {_distance(_shares(f'concat(uses, array(n_words - {_sum("uses")}))'), 'word_shares')})"))
