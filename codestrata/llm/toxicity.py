@@ -1,18 +1,23 @@
 """Toxicity by a factorization machine over hashed terms (operator 3).
 
-Terms are the lower-case words of a text and the beginnings (4 and 5 letters) of longer ones, hashed; a text is the set
-of its terms.  Besides a weight for each term, the machine has a short vector for each, and the products of these vectors
-weigh every pair of terms that occur together, such as an insult with the mention of a group, which a sum of weights
-cannot.  Weights and vectors are learnt by adaptive gradient steps with L1 and L2 shrinkage on a bounded sample of
-labelled rows (about ``per_class`` of each class, picked by a hash of the id; each class weighs as much as it does among
-all labelled rows), over the terms of that sample with the strongest association to the label.
+Terms are the lower-case words of a text and the beginnings (4 and 5 letters) of longer ones, hashed into a table of fixed
+size, every one of them; a text is the set of its terms.  Besides a weight for each term, the machine has a short vector for
+each, and the products of these vectors weigh every pair of terms that occur together, such as an insult with the mention of a
+group, which a sum of weights cannot.
+
+Weights are learnt by follow-the-regularised-leader with L1 (a term stays at 0 until the evidence for it adds up), vectors by
+adaptive gradient steps with L2, on a bounded sample of labelled rows (about ``per_class`` of each class, picked by a hash of
+the id; each class weighs as much as it does among all labelled rows).  A part of the sample is set aside: weights alone are
+trained for ``weight_epochs`` at most, then vectors with them for ``pair_epochs`` at most, and the state with the least loss on
+that part is kept, so that pairs weigh nothing where they do not help on texts not trained on.
 
 Whole texts are scored; a worker remembers the terms of words it has met.
 
 Defined cases: null and empty texts, and texts without a known term, get the score of the bias; labels that are null,
 and labels without a document, teach nothing; with a single class or no labels at all every score is the share of label
-1 (0 without labels); a document with several labels counts once for each; repeated rows pass through; an empty table
-gives an empty result; label, language, source and id are no inputs of a score.
+1 (0 without labels); a document with several labels counts once for each; repeated rows pass through, and equal texts get
+equal scores; a score of just 0.5 is predicted toxic; a text of any length is read whole; an empty table gives an empty
+result; label, language, source and id are no inputs of a score, and further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +35,8 @@ from pyspark.sql import functions as F
 from .folds import fold_is, sampled
 
 _WORD = re.compile(r"[^\W_]+")
-HASHES = 1 << 26
+#: Slots of the table of weights and vectors.
+HASHES = 1 << 20
 CACHE, CACHE_CHARS = 400_000, 32
 
 
@@ -52,26 +58,35 @@ class Settings:
     """``per_class`` bounds the sample of labelled rows."""
 
     per_class: int = 4000
-    terms: int = 4096
-    least_rows: int = 5
     factors: int = 8
-    epochs: int = 12
-    rate: float = 0.1
-    l1: float = 2e-4
+    aside: float = 0.1
+    weight_epochs: int = 8
+    pair_epochs: int = 20
+    patience: int = 3
+    #: A state is better where its loss is lower by this share.
+    gain: float = 0.005
+    alpha: float = 1.0
+    beta: float = 1.0
+    l1: float = 8.0
+    pair_rate: float = 0.05
     l2_factors: float = 2e-3
+    spread: float = 0.01
     seed: int = 5
 
 
 @dataclass
 class Machine:
-    index: dict[int, int]
+    """``names``: the slots that weigh something, in order, with their weights and vectors."""
+
+    names: np.ndarray
     bias: float
     weights: np.ndarray
     vectors: np.ndarray
     _seen: dict = field(default_factory=dict, repr=False)
+    _place: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_seen": {}}
+        return self.__dict__ | {"_seen": {}, "_place": None}
 
     def raw(self, at: np.ndarray) -> float:
         if not len(at):
@@ -80,75 +95,105 @@ class Machine:
         total = v.sum(axis=0)
         return float(self.bias + self.weights[at].sum() + 0.5 * (total @ total - (v * v).sum()))
 
-    def score(self, text: str | None) -> float:
-        seen, index, known = self._seen, self.index, set()
-        for word in text_words(text):
+    def places(self, words: set[str]) -> np.ndarray:
+        """Places among ``names`` of the known terms of some words, each once, in order."""
+        if self._place is None:
+            self._place = np.full(HASHES, -1, np.int32)
+            self._place[self.names] = np.arange(len(self.names))
+        seen, known = self._seen, set()
+        for word in words:
             terms = seen.get(word)
             if terms is None:
-                terms = tuple(index[t] for t in word_terms(word) if t in index)
+                terms = tuple(int(p) for p in self._place[word_terms(word)] if p >= 0)
                 if len(word) <= CACHE_CHARS:
                     if len(seen) >= CACHE:
                         seen.clear()
                     seen[word] = terms
             if terms:
                 known.update(terms)
-        raw = self.raw(np.array(sorted(known), np.int64))
-        return 1 / (1 + np.exp(-np.clip(raw, -60, 60)))
-
-
-def select_terms(rows: list[tuple[int, np.ndarray]], weights: np.ndarray, settings: Settings) -> np.ndarray:
-    """The terms with the largest weighted chi-square statistic of presence against the label."""
-    terms = np.concatenate([t for _, t in rows])
-    label = np.repeat([y for y, _ in rows], [len(t) for _, t in rows])
-    weight = np.repeat(weights, [len(t) for _, t in rows])
-    names, at, counts = np.unique(terms, return_inverse=True, return_counts=True)
-    ones = np.bincount(at, weight * label, len(names))
-    all_ = np.bincount(at, weight, len(names))
-    total, positive = weights.sum(), weights[[y == 1 for y, _ in rows]].sum()
-    expected = all_ * positive / total
-    spread = expected * (1 - all_ / total) * (1 - positive / total) + 1e-9
-    chi = np.where(counts >= settings.least_rows, (ones - expected) ** 2 / spread, -1.0)
-    best = np.lexsort((names, -chi))[: settings.terms]
-    return np.sort(names[best[chi[best] > 0]])
+        return np.array(sorted(known), np.int64)
+
+    def score(self, text: str | None) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.raw(self.places(text_words(text))), -60, 60))))
+
+
+class _Trainer:
+    """Weights (follow-the-regularised-leader) and vectors (adaptive steps) over the whole table, and the loss on rows set
+    aside."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray]], share: float, settings: Settings):
+        self.settings, self.rng = settings, np.random.default_rng(settings.seed)
+        self.label, self.terms = np.array([y for y, _ in rows]), [t.astype(np.int64) for _, t in rows]
+        ones = int(self.label.sum())
+        self.weight = np.where(self.label == 1, share * len(rows) / ones, (1 - share) * len(rows) / (len(rows) - ones))
+        order = self.rng.permutation(len(rows))
+        n = int(settings.aside * len(rows))
+        self.aside, self.used = (order[:n], order[n:]) if n else (order, order)
+        self.state = {"w": np.zeros(HASHES, np.float32), "z": np.zeros(HASHES, np.float32), "n": np.zeros(HASHES, np.float32), "v": np.zeros((HASHES, settings.factors), np.float32), "b": np.array([np.log(share / (1 - share)), 1.0])}
+        self.squares: np.ndarray | None = None
+        self.best, self.least = self.copy(), self.loss()
+
+    def copy(self) -> dict[str, np.ndarray]:
+        return {k: x.copy() for k, x in self.state.items()}
+
+    def raw(self, at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        v = self.state["v"][at]
+        total = v.sum(axis=0)
+        return float(self.state["b"][0] + self.state["w"][at].sum() + 0.5 * (total @ total - (v * v).sum())), v, total
+
+    def loss(self) -> float:
+        raws = np.array([self.raw(self.terms[i])[0] for i in self.aside])
+        return float((self.weight[self.aside] * np.logaddexp(0, np.where(self.label[self.aside] == 1, -raws, raws))).sum())
+
+    def step(self, i: int) -> None:
+        s, x, at = self.settings, self.state, self.terms[i]
+        raw, v, total = self.raw(at)
+        error = (1 / (1 + np.exp(-np.clip(raw, -60, 60))) - self.label[i]) * self.weight[i]
+        x["b"][1] += error * error
+        x["b"][0] -= 0.1 * error / np.sqrt(x["b"][1])
+        if not len(at) or abs(error) < 1e-4:
+            return
+        squares = x["n"][at] + np.float32(error * error)
+        z = x["z"][at] + np.float32(error) - (np.sqrt(squares) - np.sqrt(x["n"][at])) / s.alpha * x["w"][at]
+        x["z"][at], x["n"][at] = z, squares
+        x["w"][at] = np.where(np.abs(z) <= s.l1, 0, -(z - np.sign(z) * s.l1) / ((s.beta + np.sqrt(squares)) / s.alpha))
+        if self.squares is not None:
+            slope = error * (total - v) + s.l2_factors * v
+            self.squares[at] += slope * slope
+            x["v"][at] = v - s.pair_rate * slope / np.sqrt(self.squares[at])
+
+    def epochs(self, most: int) -> None:
+        """Up to ``most`` passes, ending after ``patience`` without gain; then the best state of all so far."""
+        idle = 0
+        for _ in range(most):
+            for i in self.rng.permutation(self.used):
+                self.step(int(i))
+            if (loss := self.loss()) < self.least * (1 - self.settings.gain):
+                self.best, self.least, idle = self.copy(), loss, 0
+            elif (idle := idle + 1) >= self.settings.patience:
+                break
+        self.state = {k: x.copy() for k, x in self.best.items()}
+
+    def with_vectors(self) -> None:
+        met = np.unique(np.concatenate(self.terms))
+        self.state["v"][met] = self.rng.normal(0, self.settings.spread, (len(met), self.settings.factors))
+        self.squares = np.ones_like(self.state["v"])
 
 
 def train(rows: list[tuple[int, np.ndarray]], share: float, settings: Settings) -> Machine:
-    """Fit to ``(label, terms)``; ``share`` is the share of label 1 among all labelled rows."""
-    rows = sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes()[:256]))
-    n_ones = sum(y for y, _ in rows)
-    if not 0 < n_ones < len(rows):
-        share = min(max(share, 1e-6), 1 - 1e-6) if rows else 1e-6
-        return Machine({}, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, settings.factors)))
-    weights = np.array([share * len(rows) / n_ones if y else (1 - share) * len(rows) / (len(rows) - n_ones) for y, _ in rows])
-    names = select_terms(rows, weights, settings)
-    places = []
-    for _, terms in rows:
-        at = np.searchsorted(names, terms)
-        at = at[(at < len(names))]
-        places.append(at[np.isin(names[at], terms)])
-    rng = np.random.default_rng(settings.seed)
-    k = len(names)
-    w, v = np.zeros(k), rng.normal(0, 0.02, (k, settings.factors))
-    bias, gb, gw, gv = float(np.log(share / (1 - share))), 1.0, np.full(k, 1e-2), np.full((k, settings.factors), 1e-2)
-    for _ in range(settings.epochs):
-        for i in rng.permutation(len(rows)):
-            at, y = places[i], rows[i][0]
-            vs = v[at]
-            total = vs.sum(axis=0)
-            raw = bias + w[at].sum() + 0.5 * (total @ total - (vs * vs).sum())
-            error = (1 / (1 + np.exp(-np.clip(raw, -60, 60))) - y) * weights[i]
-            gb += error * error
-            bias -= settings.rate * error / np.sqrt(gb)
-            if not len(at) or abs(error) < 1e-4:
-                continue
-            gw[at] += error * error
-            step = settings.rate / np.sqrt(gw[at])
-            moved = w[at] - step * error
-            w[at] = np.sign(moved) * np.maximum(0, np.abs(moved) - step * settings.l1)
-            slope = error * (total - vs) + settings.l2_factors * vs
-            gv[at] += slope * slope
-            v[at] = vs - settings.rate * slope / np.sqrt(gv[at])
-    return Machine({int(t): i for i, t in enumerate(names)}, bias, w, v)
+    """Fit to ``(label, terms)``, in any order; ``share`` is the share of label 1 among all labelled rows."""
+    rows = sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
+    ones = sum(y for y, _ in rows)
+    share = min(max(share, 1e-6), 1 - 1e-6) if rows else 1e-6
+    if not 0 < ones < len(rows):
+        return Machine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, settings.factors)))
+    trainer = _Trainer(rows, share, settings)
+    trainer.epochs(settings.weight_epochs)
+    trainer.with_vectors()
+    trainer.epochs(settings.pair_epochs)
+    w, v = trainer.state["w"], trainer.state["v"]
+    names = np.flatnonzero((w != 0) | (v != 0).any(axis=1))
+    return Machine(names, float(trainer.state["b"][0]), w[names].astype(np.float64), v[names].astype(np.float64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, settings: Settings) -> Machine:
@@ -164,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([text_terms(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], names=["label", "terms"])
 
     # Packed, so that the sample takes little room on its way and on the driver.
-    got = both.mapInArrow(features, "label int, terms binary").collect()
+    got = both.mapInArrow(features, "label int, terms binary").toLocalIterator()
     return train([(r.label, np.frombuffer(r.terms, np.int32)) for r in got], ones / max(1, n), settings)
 
 
@@ -177,7 +222,7 @@ def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", score_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shipped.value.score
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([float(of(t.as_py())) for t in batch.column(at)], pa.float64())], names=[*batch.schema.names, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([of(t.as_py()) for t in batch.column(at)], pa.float64())], names=[*batch.schema.names, score_col])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 

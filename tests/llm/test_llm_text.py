@@ -105,6 +105,48 @@ def test_rare_languages_are_learnt_and_too_many_are_an_error(spark):
         language_id.fit(docs, F.lit(True), settings=language_id.Settings(max_languages=1))
 
 
+def test_language_predictions_by_brute_force(spark):
+    docs = sample(spark, "/root/testdata/sf0.001")
+    model = language_id.fit(docs, F.col("doc_id") % 2 == 0)
+    rows = docs.collect()
+    counted = [r for r in rows if r.doc_id % 2 == 0 and r.text is not None and r.lang is not None]
+
+    def grams(text):
+        """Hash of each n-gram of each word between its marks, by the letter."""
+        out = []
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            w = f"<{w}>"
+            for n in range(1, 5):
+                for i in range(len(w) - n + 1):
+                    total = sum(ord(c) * int(language_id._STEPS[k]) for k, c in enumerate(w[i : i + n])) % 2**64
+                    mixed = ((total ^ (total >> 29)) * 0x9E3779B97F4A7C15 + n) % 2**64
+                    out.append(mixed >> (64 - language_id.BITS))
+        return out
+
+    some = rng_rows = [r for r in rows if r.text][:25]
+    there = Counter(g for r in counted for g in {*grams(r.text)})
+    for g in {g for r in some for g in grams(r.text)}:
+        assert model.idf[g] == pytest.approx(math.log((1 + len(counted)) / (1 + there[g])) + 1)
+    for r in rng_rows:
+        own = Counter(grams(r.text))
+        logits = model.bias.astype(float).copy()
+        for g, n in own.items():
+            logits += model.scale * n / max(1, sum(own.values())) * model.idf[g] * model.weights[g]
+        logits /= model.temperature
+        odds = np.exp(logits - logits.max())
+        lang, score = model.predict(r.text)
+        if any(c.isalpha() for c in r.text):
+            assert lang == model.languages[int(odds.argmax())] and score == pytest.approx(odds.max() / odds.sum(), rel=1e-3)
+
+
+def test_language_of_long_repeated_and_clashing_rows(spark):
+    base = [(i, w, lang, 0.5) for i, (w, lang) in enumerate([("der die das und", "de"), ("the and of that", "en")] * 40)]
+    docs = spark.createDataFrame([*base, (900, "the of and " * 100_000, None, 0.5), (901, "the of", None, 0.5), (901, "the of", None, 0.5), (902, "x" * 2_000_000, None, 0.5)], "doc_id long, text string, lang string, score double")
+    got = language_id.identify(docs.withColumn("held_out", F.lit(1))).collect()
+    assert len(got) == docs.count() and {r.lang_pred for r in got if r.doc_id in (900, 901)} == {"en"}
+    assert len({r.score for r in got if r.doc_id == 901}) == 1
+
+
 def test_language_grams_match_a_plain_count():
     words = language_id.words_of("Der Bär, a bé! zz")
     plain = sum(len(f"<{w}>") - n + 1 for w in words for n in range(1, 5) if len(f"<{w}>") >= n)
@@ -139,6 +181,50 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert (held.predicted == held.toxic).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_toxicity_pairs_among_very_many_terms():
+    """Label 1 where just one of two terms occurs: neither says anything alone, and there are 6,000 others."""
+    rng = np.random.default_rng(1)
+
+    def some(n):
+        for _ in range(n):
+            there = rng.random(2) < 0.5
+            terms = {*(rng.choice(6000, 60, replace=False) + 10).tolist(), *np.flatnonzero(there).tolist()}
+            yield int(there[0] != there[1]), np.array(sorted(terms), np.int32)
+
+    rows, held = list(some(4000)), list(some(1000))
+    machine = toxicity.train(rows, 0.5, toxicity.Settings())
+    place = {int(n): i for i, n in enumerate(machine.names)}
+    raw = lambda t: machine.raw(np.array([place[x] for x in t.tolist() if x in place], np.int64))
+    assert np.mean([(raw(t) >= 0) == y for y, t in held]) > 0.93
+    again = toxicity.train(rows[::-1], 0.5, toxicity.Settings())
+    assert (again.names == machine.names).all() and (again.weights == machine.weights).all()
+
+
+def test_toxicity_scores_by_brute_force():
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(300)] + ["Ünï", "a1", "longish", "longish2"]
+    slots = np.array(sorted({t for w in words[:200] for t in toxicity.word_terms(w.lower())}))
+    machine = toxicity.Machine(slots, -0.3, np.random.default_rng(0).normal(0, 0.1, len(slots)), np.random.default_rng(1).normal(0, 0.1, (len(slots), 3)))
+    for _ in range(50):
+        text = "".join(rng.choice(words) + rng.choice([" ", ", ", "\n", "_"]) for _ in range(rng.randrange(60)))
+        parts = {w for w in re.split(r"[\W_]+", text.lower()) if w}
+        terms = {t for w in parts for x in {w, *([w[:4] + "-"] if len(w) > 4 else []), *([w[:5] + "-"] if len(w) > 5 else [])} for t in [zlib.crc32(x.encode()) % toxicity.HASHES]}
+        known = [int(np.flatnonzero(slots == t)[0]) for t in terms if t in slots]
+        raw = machine.bias + sum(machine.weights[i] for i in known) + sum(machine.vectors[i] @ machine.vectors[j] for i in known for j in known if i < j)
+        assert machine.score(text) == pytest.approx(1 / (1 + math.exp(-raw)))
+
+
+def test_toxicity_of_real_labels_and_odd_rows(spark):
+    docs = sample(spark, "/root/testdata/sf0.1").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    odd = spark.createDataFrame([(-1, "word " * 300_000), (-2, "same text"), (-3, "same text"), (-2, "same text"), (None, None)], docs.schema)
+    got = toxicity.score_toxicity(docs.unionByName(odd).withColumn("score", F.lit(1.0)).withColumn("held_out", F.lit(1)), labels).toPandas()
+    assert len(got) == docs.count() + 5 and got.columns.tolist() == ["doc_id", "held_out", "score", "predicted"]
+    assert got[got.doc_id.isin([-2, -3])].score.nunique() == 1 and ((got.score >= 0.5) == (got.predicted == 1)).all()
+    held = got[got.held_out].merge(labels.toPandas().dropna(subset=["toxic"]), on="doc_id")
+    assert (held.predicted == held.toxic).mean() > 0.97
+
+
 def test_toxicity_edges(spark):
     docs = frame(spark, [(1, None, None, None), (2, "", None, None), (None, "x", None, None), (3, "a b", None, None)])
     none = spark.createDataFrame([(1, None), (None, 1), (77, 1)], "doc_id long, toxic int")
