@@ -9,35 +9,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import own_folder, shared_dir
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*edges.columns).cast("decimal(38,0)"))).first())
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written down and read again.  Unlike a checkpoint, what is read has no partitioning that a join would stick to:
+    it is dealt out anew, so that adaptive execution can broadcast it or split its skewed keys."""
+    folder = own_folder(df.sparkSession, "graph")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """``edges`` has columns ``a`` and ``b`` of one orderable type; gives ``node, component`` with the least node of
     each component, for every node that has an edge to another (loops, repeats and nulls do no harm).
 
     Alternating star contractions: in a round, the larger neighbours of each node go to the least node nearby, then the
-    smaller ones do.  Both are minima by key with partial sums and joins that Spark can split, so a node with very many
-    neighbours is no bottleneck; the number of rounds grows with the logarithm of the longest chain.
+    smaller ones do.  Minima by key have partial sums; they are written down before the edges are joined to them, so that the
+    rows of a node with very many neighbours can be split over tasks.  The number of rounds grows with the logarithm of the
+    longest chain.
     """
     spark = edges.sparkSession
-    shared_dir(spark)
     kind = edges.schema["a"].dataType.simpleString()
-    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    edges = _stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if edges.isEmpty():
         return spark.createDataFrame([], f"node {kind}, component {kind}")
     state = None
     for _ in range(max_rounds):
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = _stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
+        large = _stored(both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = _stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).filter("u <> v")
-        edges = small.distinct().checkpoint()
+        edges = _stored(small.distinct())
         now = _state(edges)
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
