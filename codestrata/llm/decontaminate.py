@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from .folds import numbered
 from .shingles import ngram_hashes, word_hashes
 
 #: ASCII bytes other than letters and digits become spaces.
@@ -246,7 +247,7 @@ def drop_leaks(
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text leaks no item.  No join: each pass keeps or drops whole
     rows."""
-    at = docs.columns.index(text_col)
+    at, rows = docs.columns.index(text_col), numbered(docs)
 
     def keeper(shipped):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,5 +257,5 @@ def drop_leaks(
         return run
 
     for shipped in _each_block(docs, benchmark, text_col=text_col, item_id_col=item_id_col, item_text_col=item_text_col, rules=rules, block_bytes=block_bytes):
-        docs = docs.mapInArrow(keeper(shipped), docs.schema)
-    return docs
+        rows = rows.mapInArrow(keeper(shipped), rows.schema)
+    return rows.toDF(*docs.columns)

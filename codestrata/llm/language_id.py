@@ -11,8 +11,9 @@ Whole texts are scored; their n-grams are made with array operations, for many w
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; a text whose n-grams are all unknown gets
 the language with the largest bias; rows without a language or with a null id teach nothing; without any labelled row
-everything is ``und``; repeated rows pass through; an empty table gives an empty result; the language column is read
-while learning only, and further columns never.
+everything is ``und``; repeated rows pass through, and equal texts get equal results; of languages equally likely, the first
+by name is given; a text of any length is read whole; an empty table gives an empty result; the language column is read while
+learning only, and further columns never, whatever they are called (where whole rows are kept, they are passed through).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .folds import fold_is, sampled
+from .folds import fold_is, numbered, sampled
 
 UNKNOWN = "und"
 BITS = 17
@@ -122,7 +123,7 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, settings: Settings) -> LanguageModel:
     """Fit to ``(language, n-grams, counts)``; the order of ``rows`` does not matter."""
-    rows = sorted((r for r in rows if len(r[1])), key=lambda r: (r[0], len(r[1]), r[1].tobytes()[:64], r[2].tobytes()[:64]))
+    rows = sorted((r for r in rows if len(r[1])), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
     languages = sorted({r[0] for r in rows})
     if not languages:
         return LanguageModel([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0), idf, 1.0, settings.scale)
@@ -168,13 +169,17 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each hashed n-gram occurs, over all rows of a one-column table, and the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(DIMENSIONS, np.int64), 0
+        total, rows, there = np.zeros(DIMENSIONS, np.int64), 0, np.zeros(DIMENSIONS, bool)
         for batch in batches:
             for text in batch.column(0):
-                there = np.zeros(DIMENSIONS, bool)
-                for grams in grams_of(words_of(text.as_py())):
+                parts = list(grams_of(words_of(text.as_py())))
+                for grams in parts:
                     there[grams] = True
-                total += there
+                # Each n-gram of the text once, without going through all that there are.
+                for grams in parts:
+                    once = grams[there[grams]]
+                    there[grams] = False
+                    total[once] = total[once] + 1
                 rows += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int32()), pa.array([rows, *total[some].tolist()], pa.int64())], names=["gram", "n"])
@@ -230,6 +235,13 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", pr
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(pred_col, StringType()), StructField(score_col, DoubleType())]))
 
 
+def keep_sure(docs: DataFrame, model: LanguageModel, least: float, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns under any names, that are in a known language with a score of ``least``."""
+    rows = numbered(docs)
+    judged = predict(rows, model, text_col=rows.columns[docs.columns.index(text_col)])
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*rows.columns).toDF(*docs.columns)
+
+
 def identify(docs: DataFrame, *, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> DataFrame:
     """Learn from all folds but one and predict every row: id, ``held_out``, ``lang_pred``, ``score``."""
     learnable = F.col(id_col).isNotNull() & ~fold_is(id_col, folds, held_fold)

@@ -11,12 +11,14 @@
 
 ``bands`` and ``rows`` follow from the target recall: a pair at the threshold s shares a band with a chance of
 1 - (1 - s^rows)^bands.  The comparison of signatures in step 2 lets through everything whose estimate is at least
-``slack`` x threshold, some five standard deviations below it, so that it costs no further recall to speak of.
+``slack`` x threshold, some five standard deviations below it, so that it costs no further recall to speak of (both are
+measured against brute force in the tests).  All pairs of a cluster are compared, for the numbers of links are exact: that
+work grows with the square of a cluster of different texts, in blocks that tasks share out; equal texts cost nothing.
 
 Defined cases: a null text or one without a word has no n-grams, no links, and a class of its own; a text shorter than n
 words has one n-gram, all its words; equal texts are linked to each other and are expanded nowhere; null and repeated
-ids are ids like others (the least non-null id of a group names it); an empty table gives an empty result; only the id
-and text columns are read.
+ids are ids like others (the least non-null id of a group names it); a similarity of just the threshold links; a text of any
+length is read whole; an empty table gives an empty result; only the id and text columns are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -57,6 +59,13 @@ def signature(grams: np.ndarray, n: int) -> np.ndarray:
     return best
 
 
+def low_bytes(least: np.ndarray) -> bytes:
+    """A byte of each minimum: of different minima two are equal by chance, 1 in 256, however small minima of many n-grams
+    are, which their top bytes are not."""
+    with np.errstate(over="ignore"):
+        return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
     """``id, text_hash, key`` (of the set; null without words)``, n_grams, band`` (hashes) ``, sketch`` (a byte for each
     minimum)."""
@@ -79,7 +88,7 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, n: int, bands: int,
                     for part in least.reshape(bands, rows).T.astype(np.uint64):
                         hashes = mix(hashes * np.uint64(0x9E3779B97F4A7C15) + part)
                 band.append(hashes.view(np.int64))
-                sketch.append((least >> np.uint32(24)).astype(np.uint8).tobytes())
+                sketch.append(low_bytes(least))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
                 names=["id", "text_hash", "key", "n_grams", "band", "sketch"],
@@ -307,12 +316,11 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but one of each group of linked texts (the one with the
     least id).  Texts without a word all stay, but of rows with equal id and text only one does."""
-    if "_text_hash" in docs.columns:
-        raise ValueError("column _text_hash is there already")
     sketch, per_class = _classes(docs, id_col=id_col, text_col=text_col, **options)
     keepers = per_class.select("keeper").distinct().select("keeper.*").unionByName(sketch.filter("key IS NULL").select("id", "text_hash"))
-    rows = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    kept = rows.join(keepers.hint("shuffle_merge"), (F.col("_text_hash") == keepers.text_hash) & F.col(id_col).eqNullSafe(keepers.id), "left_semi")
+    # The row travels as one field, so that no name of its columns can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_hash"))
+    kept = rows.join(keepers.hint("shuffle_merge"), (F.col("row_hash") == keepers.text_hash) & F.col("row_id").eqNullSafe(keepers.id), "left_semi")
     if not sketch.groupBy("id", "text_hash").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "_text_hash"])
-    return kept.drop("_text_hash")
+        kept = kept.dropDuplicates(["row_id", "row_hash"])
+    return kept.select("row.*")

@@ -103,6 +103,40 @@ def test_keep_one_keeps_one_row_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 8, 9] and kept.columns[-1] == "more"
 
 
+def test_sketch_bytes_of_unrelated_long_texts_differ():
+    rng = np.random.default_rng(3)
+    for n in (50, 500, 5000, 50_000):
+        one, two = (np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for _ in range(2))
+        a, b = (np.frombuffer(ngram_join.low_bytes(ngram_join.signature(x, 120)), np.uint8) for x in (one, two))
+        assert (a == b).mean() < 0.1, n
+
+
+def test_recall_of_pairs_just_over_the_threshold():
+    """Shares of planted pairs of a similarity of 0.80 to 0.83 that share a band, and whose bytes agree enough."""
+    rng, bands, met, let = np.random.default_rng(5), ngram_join.bands_for(0.8, 5, 0.9999), [], []
+    for k in range(300):
+        n = int(rng.integers(40, 2000))
+        shared = rng.integers(0, 2**64, n, dtype=np.uint64)
+        own = int(n * 0.245 / 2)
+        one, two = (np.unique(np.concatenate([shared, rng.integers(0, 2**64, own, dtype=np.uint64)])) for _ in range(2))
+        assert 0.8 <= len(np.intersect1d(one, two)) / len(np.union1d(one, two)) < 0.84
+        a, b = (ngram_join.signature(x, bands * 5) for x in (one, two))
+        met.append((a.reshape(bands, 5) == b.reshape(bands, 5)).all(axis=1).any())
+        x, y = (np.frombuffer(ngram_join.low_bytes(s), np.uint8) for s in (a, b))
+        let.append((x == y).mean() >= 0.75 * 0.8)
+    assert np.mean(met) >= 0.99 and np.mean(let) >= 0.99
+
+
+def test_join_of_long_repeated_and_clashing_rows(spark):
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(1, long, "a"), (2, long + " end", "b"), (3, long, "c"), (3, long, "c"), (4, "x" * 2_000_000, "d"), (5, " ".join(f"v{i}" for i in range(40_000)), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("key", F.lit(1)).withColumn("_text_hash", F.lit(2)).withColumn("id", F.lit(3))
+    got = sorted(tuple(r) for r in ngram_join.similar_classes(docs).collect())
+    assert got == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (3, 1, 3), (4, 4, 0), (5, 5, 0)]
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
+
+
 def test_bands_reach_the_recall():
     bands = ngram_join.bands_for(0.8, 5, 0.9999)
     assert 1 - (1 - 0.8**5) ** bands >= 0.9999 > 1 - (1 - 0.8**5) ** (bands - 1)
@@ -345,6 +379,25 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == len(last)
 
 
+def test_pipeline_stages_pass_any_columns_nulls_and_repeats(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", "s", 0), (-2, None, "xx", "s", None), (-3, "12 34", None, None, 5), (-3, "12 34", None, None, 5)], docs.schema)
+    clash = ["n_words", "kept", "score", "lang_pred", "_text_hash", "row", "language", "text_hash", "key", "id", "words", "classes", "held_out", "a.b"]
+    docs = docs.unionByName(odd)
+    for c in clash:
+        docs = docs.withColumn(c, F.lit(c))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, folder)
+        assert kept.columns == docs.columns, name
+        rows = kept.collect()
+        assert 0 < len(rows) < docs.count(), name
+        assert all(r["score"] == "score" and r["a.b"] == "a.b" for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
 def test_pipeline_on_an_empty_table(spark):
     import corpus_pipeline
 
