@@ -8,43 +8,45 @@ written as Parquet to the folder that driver and executors share, and read again
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import decontaminate, language_id, ngram_join, piece_codec, quality
-from codestrata.session import shared_dir, ship, table
+from codestrata.session import own_folder, shared_dir, ship, table
 
 #: A document stays with a language if the calibrated probability of that language is at least this.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those whose language stays in doubt."""
+    """Rejects documents without a letter (null and empty texts too), and those whose language stays in doubt; without any
+    labelled row that is all of them.  Repeated rows share their fate; a score of just the limit stays."""
     ship(spark)
     model = language_id.fit(docs, F.col("doc_id").isNotNull())
-    judged = language_id.predict(docs, model, pred_col="_lang_pred", score_col="_lang_score")
-    return judged.filter((F.col("_lang_pred") != language_id.UNKNOWN) & (F.col("_lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return language_id.keep_sure(docs, model, LEAST_LANGUAGE_SCORE)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what the plain counts or the divergence of histograms fail."""
+    """Rejects what the plain counts or the divergence of histograms fail: null, empty and very short texts too; a document of
+    no language is compared to all.  Repeated rows share their fate; a distance of just the limit stays."""
     ship(spark)
     shared_dir(spark)
     return quality.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of similar ones, that with the least id."""
+    """Keeps one document of each group of similar ones, that with the least id; texts without a word all stay, and of rows
+    equal in id and text one does."""
     ship(spark)
     shared_dir(spark)
     return ngram_join.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a benchmark item, whole or edited."""
+    """Rejects documents that hold a benchmark item, whole or edited; null and empty texts hold none, and null and empty items
+    are in none.  Repeated rows share their fate."""
     ship(spark)
     shared_dir(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -70,7 +72,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``."""
-    folder = f"{shared_dir(spark)}/pipeline-{uuid4().hex}"
+    folder = own_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
