@@ -49,11 +49,11 @@ def residue(rows: DataFrame, used: DataFrame, column: str) -> DataFrame:
     return rows.join(used.select(F.col(column).alias("occ")), "occ", "left_anti")
 
 
-def _alone(rows: DataFrame, column: str, state, *more) -> DataFrame:
+def _alone(rows: DataFrame, column: str, state) -> DataFrame:
     """Rows as results with an occurrence on one side only."""
     empty = "new_occ" if column == "old_occ" else "old_occ"
     state = F.lit(state) if isinstance(state, str) else state
-    return rows.select(state.alias("state"), F.col("occ").alias(column), F.lit(None).cast(rows.schema["occ"].dataType).alias(empty), *more)
+    return rows.select(state.alias("state"), F.col("occ").alias(column), F.lit(None).cast(rows.schema["occ"].dataType).alias(empty))
 
 
 def on_both_sides(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -155,46 +155,51 @@ def symbol_changes(old: DataFrame, new: DataFrame, *, unavailable_paths: DataFra
     in which the old, the new snapshot lacks files).  The rest is removed or added.
     """
     shared_dir(old.sparkSession)
-    population = ["language", "cohort"]
-    by_name = [*population, "path", "kind", "name"]
-    out: list[DataFrame] = []
-
-    def settle(olds: DataFrame, news: DataFrame, reason: str) -> None:
-        nonlocal old, new
-        parts = [_alone(olds, "old_occ", "unresolved", F.lit(reason).alias("reason")), _alone(news, "new_occ", "unresolved", F.lit(reason).alias("reason"))]
-        pairs(parts[0].unionByName(parts[1]))
-
-    def pairs(found: DataFrame) -> None:
-        nonlocal old, new
-        found = found.checkpoint()
-        out.append(found)
-        old, new = residue(old, found.filter("old_occ IS NOT NULL"), "old_occ").checkpoint(), residue(new, found.filter("new_occ IS NOT NULL"), "new_occ").checkpoint()
-
-    old, new = (x.withColumn("place", F.col("place") if "place" in x.columns else F.col("path")).checkpoint() for x in (old, new))
+    population, columns = ["language", "cohort"], ["occ", "language", "cohort", "path", "kind", "name", "ast", "rename"]
+    sides = [x.select(*columns, (F.col("place") if "place" in x.columns else F.col("path")).alias("place"), F.lit(k).alias("side")) for k, x in enumerate((old, new))]
+    none = F.lit(None).cast("string")
+    # One table of both sides, whose rows get their state pass by pass.
+    rows = sides[0].unionByName(sides[1]).select("*", none.alias("state"), F.lit(None).cast(old.schema["occ"].dataType).alias("partner"), none.alias("reason"))
+    is_open = F.col("state").isNull()
+
+    def settled(keys: list[str], found: DataFrame, state, partner=None, reason=None) -> None:
+        """Open rows whose key is found get a state; ``found`` has each key once, further columns, and ``_hit``."""
+        nonlocal rows
+        more = [c for c in found.columns if c not in keys]
+        hit = is_open & F.coalesce("_hit", F.lit(False))
+        values = {"state": state, "partner": F.lit(None) if partner is None else partner, "reason": none if reason is None else reason}
+        rows = rows.join(found, keys, "left").withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()}).drop(*more).checkpoint()
+
+    def on_both(keys: list[str], single: bool) -> DataFrame:
+        counts = [F.count(F.when(F.col("side") == k, 1)).alias(f"_n{k}") for k in (0, 1)]
+        facts = [F.max(F.when(F.col("side") == k, F.struct("occ", "ast", "place"))).alias(f"_x{k}") for k in (0, 1)] if single else []
+        return rows.filter(is_open).groupBy(*keys).agg(*counts, *facts).filter("_n0 = 1 AND _n1 = 1" if single else "_n0 > 0 AND _n1 > 0").withColumn("_hit", F.lit(True))
+
+    def paired(keys: list[str]) -> None:
+        state = F.when(F.col("_x0.ast") != F.col("_x1.ast"), "modified").when(F.col("_x0.place") == F.col("_x1.place"), "unchanged").otherwise("moved")
+        settled(keys, on_both(keys, True), state, F.when(F.col("side") == 0, F.col("_x1.occ")).otherwise(F.col("_x0.occ")))
+
+    unresolved = F.lit("unresolved")
     if unavailable_paths is not None:
-        bad = unavailable_paths.select(*population, "path").distinct()
-        settle(old.join(bad, [*population, "path"], "left_semi"), new.join(bad, [*population, "path"], "left_semi"), "source-unavailable")
-    many = old.groupBy(*by_name).count().unionByName(new.groupBy(*by_name).count()).filter("count > 1").select(*by_name).distinct()
-    settle(old.join(many, by_name, "left_semi"), new.join(many, by_name, "left_semi"), "duplicate-qualified-name")
-
-    def joined(keys: list[str]) -> DataFrame:
-        both = stable_pairs(old, new, keys).select("old_occ", "new_occ")
-        both = both.join(old.select(F.col("occ").alias("old_occ"), F.col("ast").alias("_old"), F.col("place").alias("_from")), "old_occ")
-        both = both.join(new.select(F.col("occ").alias("new_occ"), F.col("ast").alias("_new"), F.col("place").alias("_to")), "new_occ")
-        state = F.when(F.col("_old") != F.col("_new"), "modified").when(F.col("_from") == F.col("_to"), "unchanged").otherwise("moved")
-        return both.select(state.alias("state"), "old_occ", "new_occ", F.lit(None).cast("string").alias("reason"))
-
-    pairs(joined(by_name))
+        keys = [*population, "path"]
+        settled(keys, unavailable_paths.select(*keys).distinct().withColumn("_hit", F.lit(True)), unresolved, reason=F.lit("source-unavailable"))
+    by_name = [*population, "path", "kind", "name"]
+    many = rows.filter(is_open).groupBy(*by_name, "side").count().filter("count > 1").select(*by_name).distinct().withColumn("_hit", F.lit(True))
+    settled(by_name, many, unresolved, reason=F.lit("duplicate-qualified-name"))
     moves = [*population, "kind", "name", "ast"]
-    pairs(joined(moves))
-    for keys, reason in ((moves, "competing-move-candidates"), ([*population, "kind", "rename"], "possible-declaration-rename"), ([*population, "kind", "name"], "possible-move-and-edit")):
-        settle(*on_both_sides(old, new, keys), reason)
-    if incomplete_old is not None or incomplete_new is not None:
-        lacking = [x.select(*population).distinct() if x is not None else old.select(*population).limit(0) for x in (incomplete_new, incomplete_old)]
-        settle(old.join(lacking[0], population, "left_semi"), new.join(lacking[1], population, "left_semi"), "counterpart-source-unavailable")
-    none = F.lit(None).cast("string").alias("reason")
-    out += [_alone(old, "old_occ", "removed", none), _alone(new, "new_occ", "added", none)]
-    return reduce(DataFrame.unionByName, out)
+    paired(by_name)
+    paired(moves)
+    for keys, why in ((moves, "competing-move-candidates"), ([*population, "kind", "rename"], "possible-declaration-rename"), ([*population, "kind", "name"], "possible-move-and-edit")):
+        settled(keys, on_both(keys, False), unresolved, reason=F.lit(why))
+    lacking = [x.select(*population).distinct().withColumn("side", F.lit(k)) for k, x in enumerate((incomplete_new, incomplete_old)) if x is not None]
+    if lacking:
+        settled([*population, "side"], reduce(DataFrame.unionByName, lacking).withColumn("_hit", F.lit(True)), unresolved, reason=F.lit("counterpart-source-unavailable"))
+    state = F.coalesce("state", F.when(F.col("side") == 0, "removed").otherwise("added"))
+    first = F.col("side") == 0
+    # Of a pair, the old side's row stands for both.
+    return rows.filter("partner IS NULL OR side = 0").select(
+        state.alias("state"), F.when(first, F.col("occ")).alias("old_occ"), F.when(first, F.col("partner")).otherwise(F.col("occ")).alias("new_occ"), "reason"
+    )
 
 
 def novel_ratio(changes: DataFrame, by: list[str]) -> DataFrame:

@@ -92,7 +92,7 @@ def superseded(events: DataFrame) -> DataFrame:
 def legacy_matches(decisions: DataFrame, groups: DataFrame) -> DataFrame:
     """Legacy decisions with the groups they may speak of (D23): by id, or by equal population and set of paths.  Two
     equi-joins, so neither side is compared with all of the other."""
-    by_id = decisions.join(groups.select("group_id"), decisions.group_id == groups.group_id).select(decisions.decision_id, groups.group_id)
+    by_id = decisions.select("decision_id", "group_id").join(groups.select("group_id").distinct(), "group_id").select("decision_id", "group_id")
     same = ["language", "cohort", "path_set"]
     sets = [df.withColumn("path_set", F.array_join(F.array_sort(F.array_distinct("paths")), "\0")) for df in (decisions.select("decision_id", "language", "cohort", "paths"), groups.select("group_id", "language", "cohort", "paths"))]
     return by_id.union(sets[0].join(sets[1], same).select("decision_id", "group_id")).distinct()

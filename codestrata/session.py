@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _SHIPPED: set[str] = set()
+_DROPPED: set[str] = set()
 
 
 def build_session(app: str = "codestrata", master: str | None = None, **settings: str) -> SparkSession:
@@ -64,13 +65,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def own_folder(spark: SparkSession, kind: str) -> str:
-    """The path of a new folder below the shared one, for tables that later steps read; removed when the program ends."""
-    folder = f"{shared_dir(spark)}/{kind}-{uuid4().hex}"
-    _drop_at_exit(spark, folder)
-    return folder
+    """The path of a new folder below the shared one, for tables that later steps read; those of one application are removed
+    together when the program ends."""
+    top = f"{shared_dir(spark)}/codestrata-{spark.sparkContext.applicationId}"
+    _drop_at_exit(spark, top)
+    return f"{top}/{kind}-{uuid4().hex}"
 
 
 def _drop_at_exit(spark: SparkSession, folder: str) -> None:
+    if folder in _DROPPED:
+        return
+    _DROPPED.add(folder)
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def drop() -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import fingerprints, globs, linediff
 from codestrata.operators import architecture, checks, clones, continuity, coverage, evidence, graph, history, matching, ratios, reviews, scoring
-from codestrata.plans import table_queries
+from codestrata.plans import evidence_queries, table_queries
 from codestrata.sources import reports
 from codestrata.streaming import snapshots
 
@@ -400,10 +400,10 @@ SLOW = {"commit_chain"}
 @pytest.mark.parametrize("name", sorted({*table_queries.QUERIES} - SLOW))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("customer", "part", "orders", "lineitem", "events", "documents", "conversations"):
+    for table in ("customer", "supplier", "nation", "region", "part", "orders", "lineitem", "events", "documents", "conversations", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    expect = con.execute(table_queries.ORACLES[name]).df()
-    got = table_queries.QUERIES[name](spark, SF).toPandas()
+    expect = con.execute(evidence_queries.ORACLES[name]).df()
+    got = evidence_queries.QUERIES[name](spark, SF).toPandas()
     columns = sorted(got.columns)
     assert columns == sorted(expect.columns)
 
