@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+from collections import Counter
 
 from .parsed import DEFINITIONS, FUNCTIONS, Parsed
 
@@ -187,38 +188,110 @@ def variants(unit: Parsed) -> list[dict]:
 # --- L4: lengths that go stale ----------------------------------------------------------------------------------------
 
 
+def _constant(node: ast.expr) -> bool:
+    """Numbers and other constants, signed or not, and lists and tuples of them."""
+    match node:
+        case ast.Constant():
+            return True
+        case ast.List(elts=parts) | ast.Tuple(elts=parts):
+            return all(map(_constant, parts))
+        case ast.UnaryOp(op=ast.USub() | ast.UAdd(), operand=ast.Constant(value=int() | float() | complex())):
+            return True
+    return False
+
+
+def _grows(operation: str, args: list[ast.expr]) -> bool:
+    """Whether a call of a list's method surely makes it longer (or surely does nothing); others are out of reach."""
+    match operation, args:
+        case "append", [item] if _constant(item):
+            return True
+        case "insert", [ast.Constant(value=int()), item] if _constant(item):
+            return True
+        case "extend", [ast.List(elts=parts) as items] if _constant(items):
+            return bool(parts)
+    raise Unsure("unsupported-mutation")
+
+
+class _StraightLine:
+    """What is known of a function's local names after each statement: lists made of constants, lengths taken of them, and
+    plain values.  Whatever may hide a list behind another name ends the analysis."""
+
+    def __init__(self):
+        self.lists: set[str] = set()
+        self.plain: set[str] = set()
+        self.lengths: dict[str, tuple[str, int]] = {}
+        self.stale: dict[str, str] = {}  # length -> the operation that made its list longer
+        self.found: list[dict] = []
+
+    def use(self, value: ast.expr, end: int) -> None:
+        match value:
+            case ast.Name(id=name) if name in self.plain:
+                if name in self.stale:
+                    source, line = self.lengths[name]
+                    self.found.append({"derived": name, "source": source, "operation": self.stale[name], "start_line": line, "end_line": end})
+            case ast.Tuple(elts=parts) | ast.List(elts=parts):
+                for part in parts:
+                    self.use(part, end)
+            case _ if not _constant(value):
+                raise Unsure("possible-alias" if isinstance(value, ast.Name) else "unsupported-read")
+
+    def bind(self, name: str, length: tuple[str, int] | None = None) -> None:
+        self.plain.add(name)
+        self.stale.pop(name, None)
+        self.lengths.pop(name, None)
+        if length:
+            self.lengths[name] = length
+
+    def after(self, s: ast.stmt) -> None:
+        match s:
+            case ast.Pass() | ast.Expr(value=ast.Constant()):
+                pass
+            case ast.Assign(targets=[ast.Name(id=name)]) if name in self.lists:
+                raise Unsure("rebound-list")
+            case ast.Assign(targets=[ast.Name(id=name)], value=ast.List() as value) if _constant(value):
+                self.bind(name)
+                self.plain.discard(name)
+                self.lists.add(name)
+            case ast.Assign(targets=[ast.Name(id=name)], value=ast.Call(func=ast.Name(id="len"), args=[ast.Name(id=source)], keywords=[])) if source in self.lists:
+                self.bind(name, (source, s.lineno))
+            case ast.Assign(value=ast.Call()):
+                raise Unsure("unknown-call")
+            case ast.Assign(targets=[ast.Name(id=name)], value=value):
+                self.use(value, s.end_lineno)
+                self.bind(name)
+            case ast.Expr(value=ast.Call(func=ast.Attribute(value=ast.Name(id=source), attr=operation), args=args, keywords=[])) if source in self.lists:
+                if _grows(operation, args):
+                    for name, (of, _) in self.lengths.items():
+                        if of == source:
+                            self.stale.setdefault(name, operation)
+            case ast.Expr():
+                raise Unsure("unknown-call")
+            case _:
+                raise Unsure("control-flow")
+
+
 def derived_state(unit: Parsed) -> list[dict]:
-    """A straight line of statements in which a length is taken, its list grows, and the old length is read."""
+    """A straight line of statements in which the length of a local list of constants is taken, the list grows, and the old
+    length is read.  A function that takes a length and does more than that is unresolved, with the reason."""
     out = []
     for function in unit.of(*FUNCTIONS):
-        lengths: dict[str, tuple[str, int]] = {}
-        grown: dict[str, tuple[str, str]] = {}
-        base = {"symbol": ".".join([*unit.scope_of(function), function.name]), "reason": None}
-        for s in function.body:
-            if not isinstance(s, (ast.Assign, ast.Expr, ast.Return, ast.AnnAssign, ast.Pass)):
-                if lengths:
-                    out.append(base | {"state": "unresolved", "reason": "control-flow", "derived": None, "source": None, "operation": None, "start_line": s.lineno, "end_line": s.end_lineno})
-                break
-            read = {n.id for n in ast.walk(s) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)}
-            for name in sorted(read & {*grown}):
-                source, operation = grown.pop(name)
-                out.append(base | {"state": "assessed", "derived": name, "source": source, "operation": operation, "start_line": lengths[name][1], "end_line": s.end_lineno})
-            value = getattr(s, "value", None)
-            call = value if isinstance(value, ast.Call) else None
-            if isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name):
-                target = s.targets[0].id
-                grown.pop(target, None)
-                lengths.pop(target, None)
-                for name in [n for n, (source, _) in lengths.items() if source == target]:
-                    lengths.pop(name)
-                    grown.pop(name, None)
-                if call and isinstance(call.func, ast.Name) and call.func.id == "len" and len(call.args) == 1 and isinstance(call.args[0], ast.Name) and unit.is_builtin("len"):
-                    lengths[target] = (call.args[0].id, s.lineno)
-            elif isinstance(s, ast.Expr) and call and isinstance(call.func, ast.Attribute) and isinstance(call.func.value, ast.Name):
-                operation, source = call.func.attr, call.func.value.id
-                more = operation in ("append", "insert") or (operation == "extend" and len(call.args) == 1 and isinstance(call.args[0], (ast.List, ast.Tuple)) and call.args[0].elts)
-                if more:
-                    grown.update({n: (source, operation) for n, (of, _) in lengths.items() if of == source})
+        if not any(isinstance(n, ast.Name) and n.id == "len" for n in _own(function.body)):
+            continue
+        line, reason = _StraightLine(), None if unit.is_builtin("len") else "shadowed-builtin"
+        try:
+            for s in function.body if reason is None else ():
+                if isinstance(s, ast.Return):
+                    if s.value is not None:
+                        line.use(s.value, s.end_lineno)
+                    break
+                line.after(s)
+        except Unsure as why:
+            reason = str(why)
+        base = {"symbol": ".".join([*unit.scope_of(function), function.name])}
+        if reason:
+            out.append(base | {"state": "unresolved", "reason": reason, "derived": None, "source": None, "operation": None, "start_line": function.lineno, "end_line": function.end_lineno})
+        else:
+            out += [base | {"state": "assessed", "reason": None} | f for n, f in enumerate(line.found) if f not in line.found[:n]]
     return sorted(out, key=lambda d: (d["start_line"], d["end_line"]))
 
 
@@ -232,47 +305,85 @@ def _flag_or_optional(note: ast.expr) -> str | None:
     return "optional" if any(isinstance(x, ast.Constant) and x.value is None for x in sides) else None
 
 
-def _guard_form(test: ast.expr, owner: str) -> str | None:
-    """A test with its model's name put out of it; null where it uses other names."""
-    names = {n.id for n in ast.walk(test) if isinstance(n, ast.Name)}
-    if names != {owner}:
-        return None
+def _guard_form(test: ast.expr, owner: str, fields: dict[str, str | None]) -> str | None:
+    """A test of nothing but the flags and the missing optional fields of ``owner``, with its name put out of it; else null."""
+    match test:
+        case ast.Attribute(value=ast.Name(id=name), attr=field) if name == owner and fields.get(field) == "flag":
+            return f"_.{field}"
+        case ast.BoolOp(op=op, values=values):
+            parts = [_guard_form(v, owner, fields) for v in values]
+            return None if None in parts else "(" + (" and " if isinstance(op, ast.And) else " or ").join(parts) + ")"
+        case ast.UnaryOp(op=ast.Not(), operand=operand):
+            part = _guard_form(operand, owner, fields)
+            return part and f"not {part}"
+        case ast.Compare(left=ast.Attribute(value=ast.Name(id=name), attr=field), ops=[ast.Is() | ast.IsNot() as op], comparators=[ast.Constant(value=None)]) if name == owner and fields.get(field) == "optional":
+            return f"_.{field} is {'not ' if isinstance(op, ast.IsNot) else ''}None"
+    return None
+
+
+def _opening_guard(unit: Parsed, function: ast.AST) -> ast.If | None:
+    """The ``if`` that a function starts with: before it nothing can change what it was given."""
+    first = next((s for s in function.body if s not in unit.docstrings), None)
+    return first if isinstance(first, ast.If) else None
 
-    class Rename(ast.NodeTransformer):
-        def visit_Name(self, node: ast.Name) -> ast.Name:
-            return ast.copy_location(ast.Name("_", node.ctx), node)
 
-    return ast.unparse(Rename().visit(ast.parse(ast.unparse(test), mode="eval")))
+def _plain_function(function: ast.AST, owner: str) -> bool:
+    """Whether a function has no decorator, no inner scope and no outer name of its own, and never binds ``owner`` anew."""
+    inner = (*FUNCTIONS, ast.ClassDef, ast.Lambda, ast.Global, ast.Nonlocal)
+    nodes = [n for s in function.body for n in ast.walk(s)]
+    return not (function.decorator_list or function.type_params or any(isinstance(n, inner) or owner in Parsed.binds(n) for n in nodes))
+
+
+def _all_arguments(function: ast.AST) -> list[ast.arg]:
+    return [*function.args.posonlyargs, *function.args.args, *function.args.kwonlyargs]
+
+
+def _model_problem(unit: Parsed, model: ast.ClassDef, bound: Counter) -> str | None:
+    """Why a dataclass cannot be judged."""
+    if model not in unit.tree.body or model.bases or model.keywords or model.type_params:
+        return "unsupported-model"
+    if bound[model.name] != 1 or bound["bool"] or bound["*"]:
+        return "ambiguous-name"
+    if any(isinstance(s, FUNCTIONS) and s.name == "__init__" for s in model.body):
+        return "custom-construction"
+    direct = {a.asname or a.name for s in unit.tree.body if isinstance(s, ast.ImportFrom) and s.module == "dataclasses" and not s.level for a in s.names if a.name == "dataclass"}
+    used = model.decorator_list[0] if len(model.decorator_list) == 1 else None
+    used = used.func if isinstance(used, ast.Call) else used
+    if not isinstance(used, ast.Name) or used.id not in direct or bound[used.id] != 1:
+        return "unsupported-decorator"
+    return None
 
 
 def coupled_models(unit: Parsed) -> list[dict]:
     """Plain dataclasses of flags and optional fields whose first check in ``__post_init__`` ties both kinds together, where
-    at least two typed functions repeat that check."""
-    out = []
+    at least two typed functions open with that same check."""
+    out, bound = [], Counter(name for node in unit.nodes for name in unit.binds(node))
     for model in unit.of(ast.ClassDef):
-        if not any(ast.unparse(d) in ("dataclass", "dataclasses.dataclass") for d in model.decorator_list):
+        marks = [d.func if isinstance(d, ast.Call) else d for d in model.decorator_list]
+        if not any(ast.unparse(d).split(".")[-1] == "dataclass" for d in marks):
             continue
         fields = {s.target.id: _flag_or_optional(s.annotation) for s in model.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name)}
         base = {"model": model.name, "reason": None, "guard": None, "consumers": [], "start_line": model.lineno, "end_line": model.end_lineno}
-        if not fields or None in fields.values():
-            out.append(base | {"state": "unresolved", "reason": "unsupported-field"})
+        problem = _model_problem(unit, model, bound) or ("unsupported-field" if not fields or None in fields.values() else None)
+        if problem:
+            out.append(base | {"state": "unresolved", "reason": problem})
+            continue
+        checks = [s for s in model.body if isinstance(s, ast.FunctionDef) and s.name == "__post_init__"]
+        if len(checks) != 1 or not _all_arguments(checks[0]):
             continue
-        init = next((s for s in model.body if isinstance(s, FUNCTIONS) and s.name == "__post_init__"), None)
-        first = next((s for s in init.body if s not in unit.docstrings), None) if init else None
-        if not (isinstance(first, ast.If) and len(first.body) == 1 and isinstance(first.body[0], ast.Raise) and init.args.args):
+        owner, first = _all_arguments(checks[0])[0].arg, _opening_guard(unit, checks[0])
+        if first is None or len(first.body) != 1 or not isinstance(first.body[0], ast.Raise) or not _plain_function(checks[0], owner):
             continue
-        guard = _guard_form(first.test, init.args.args[0].arg)
-        used = {n.attr for n in ast.walk(first.test) if isinstance(n, ast.Attribute)}
-        if guard is None or {fields.get(u) for u in used} < {"flag", "optional"}:
+        guard = _guard_form(first.test, owner, fields)
+        if guard is None or {fields[n.attr] for n in ast.walk(first.test) if isinstance(n, ast.Attribute)} != {"flag", "optional"}:
             continue
         consumers = []
         for function in unit.tree.body:
-            if not isinstance(function, FUNCTIONS):
+            opening = _opening_guard(unit, function) if isinstance(function, FUNCTIONS) and bound[function.name] == 1 else None
+            if opening is None or any(a.arg == model.name for a in _all_arguments(function)):
                 continue
-            typed = [a.arg for a in function.args.args if a.annotation is not None and ast.unparse(a.annotation).strip("'\"") == model.name]
-            tests = [n.test for n in _own(function.body) if isinstance(n, (ast.If, ast.IfExp, ast.While, ast.Assert))]
-            if any(_guard_form(t, arg) == guard for arg in typed for t in tests):
+            typed = [a.arg for a in _all_arguments(function) if a.annotation is not None and ast.unparse(a.annotation).strip("'\"") == model.name]
+            if any(_plain_function(function, arg) and _guard_form(opening.test, arg, fields) == guard for arg in typed):
                 consumers.append(function.name)
-        found = len(consumers) >= 2
-        out.append(base | {"state": "assessed", "guard": guard if found else None, "consumers": consumers})
+        out.append(base | {"state": "assessed", "guard": guard if len(consumers) >= 2 else None, "consumers": consumers})
     return sorted(out, key=lambda m: m["start_line"])

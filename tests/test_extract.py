@@ -238,6 +238,59 @@ def test_detectors():
     assert [(m["model"], m["consumers"]) for m in detectors.coupled_models(Parsed(source))] == [("Item", ["a", "b"])]
 
 
+def lengths(*lines):
+    return [(d["state"], d["reason"] or d["derived"], d["operation"]) for d in detectors.derived_state(Parsed(inside(*lines).encode()))]
+
+
+def test_lengths_of_known_lists_only():
+    start = ("pots = [1, -2]", "n = len(pots)")
+    assert lengths(*start, "pots.append(3)", "m = n", "return m") == [("assessed", "n", "append")]
+    assert lengths(*start, "pots.insert(0, 3)", "pots.append(4)", "return (n, 1)") == [("assessed", "n", "insert")]
+    assert lengths(*start, "pots.extend([])", "return n") == [] == lengths(*start, "return n") == lengths("pots = row", "return pots")
+    assert lengths(*start, "pots.append(3)", "n = len(pots)", "return n") == []
+    for more, why in [
+        (("beds = pots", "return n"), "possible-alias"), (("pots = [5]", "return n"), "rebound-list"), (("pots.extend(row)", "return n"), "unsupported-mutation"), (("dig(pots)", "return n"), "unknown-call"),
+        (("if row:", "    pots.append(1)", "return n"), "control-flow"), (("return n + 1",), "unsupported-read"),
+    ]:
+        assert lengths(*start, *more) == [("unresolved", why, None)], more
+    assert lengths("n = len(row)", "return n") == [("unresolved", "unknown-call", None)]
+    shadowed = "def len(x): return 0\n" + inside(*start, "return n")
+    assert [d["reason"] for d in detectors.derived_state(Parsed(shadowed.encode()))] == ["shadowed-builtin"]
+
+
+MODEL = """from dataclasses import dataclass
+@dataclass
+class Bed:
+    dug: bool
+    crop: str | None
+    def __post_init__(self):
+        'Docs'
+        if self.dug and self.crop is None:
+            raise ValueError
+def plant(bed: Bed):
+    if bed.dug and bed.crop is None:
+        return 1
+def water(row, *, bed: "Bed"):
+    if bed.dug and bed.crop is None:
+        return 2
+"""
+
+
+def test_models_whose_check_is_repeated_at_once():
+    judged = lambda source: [(m["state"], m["reason"], m["guard"], m["consumers"]) for m in detectors.coupled_models(Parsed(source.encode()))]
+    guard = "(_.dug and _.crop is None)"
+    assert judged(MODEL) == [("assessed", None, guard, ["plant", "water"])]
+    late = MODEL.replace("def plant(bed: Bed):\n", "def plant(bed: Bed):\n    dig()\n")
+    assert judged(late) == [("assessed", None, None, ["water"])]
+    for old, new in (("return 1", "bed = 1"), ("def plant", "@memo\ndef plant"), ("return 1", "return lambda: 1"), ("bed.dug and bed.crop is None:\n        return 1", "bed.dug or bed.crop is None:\n        return 1")):
+        assert judged(MODEL.replace(old, new)) == [("assessed", None, None, ["water"])], new
+    for old, new, why in (
+        ("class Bed:", "class Bed(Soil):", "unsupported-model"), ("from dataclasses import dataclass", "import dataclasses\nfrom other import dataclass", "unsupported-decorator"), ("dug: bool", "dug: int", "unsupported-field"),
+        ("def plant", "Bed = 1\ndef plant", "ambiguous-name"), ("    dug: bool", "    def __init__(self): ...\n    dug: bool", "custom-construction"),
+    ):
+        assert [x[:2] for x in judged(MODEL.replace(old, new, 1))] == [("unresolved", why)], new
+
+
 def test_problems():
     with pytest.raises(Problem) as found:
         Parsed(b"def f(:\n")
