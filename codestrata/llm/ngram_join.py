@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..session import shared_dir
 from .shingles import mix, ngram_set
+from .threads import one_thread
 
 _NO_EDGE = "a binary, b binary"
 
@@ -201,6 +202,7 @@ def _verified(threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(links, pa.int64())], names=["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         out: list[tuple] = []
         for rows in _runs(batches, 3):
             x, y = rows[0][1:3]
@@ -243,7 +245,7 @@ def _classes(
     rows: int = 5,
     recall: float = 0.9999,
     slack: float = 0.75,
-    block: int = 2048,
+    block: int = 1024,
     block_grams: int = 4_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows, and for each key: ``copies``, ``class_id``, ``keeper`` (id and text hash of the row that
