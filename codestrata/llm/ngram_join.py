@@ -185,8 +185,9 @@ def _counts(sets: list[np.ndarray]) -> np.ndarray:
     use = shared[column]
     owner, column = owner[use], (np.cumsum(shared) - 1)[column[use]]
     total = np.zeros((n, n), np.float32)
-    width = max(256, 8_000_000 // n)
-    for at in range(0, int(shared.sum()), width):
+    columns = int(shared.sum())
+    width = min(columns, max(256, 8_000_000 // n))
+    for at in range(0, columns, max(1, width)):
         lo, hi = np.searchsorted(column, [at, at + width])
         part = np.zeros((n, width), np.float32)
         part[owner[lo:hi], column[lo:hi] - at] = 1
