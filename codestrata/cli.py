@@ -9,6 +9,7 @@ import argparse
 import json
 import sys
 from pathlib import Path
+from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from .config import Config, load_config, load_limits, load_policy
 from .extract import rules
 from .operators import evidence, ranking, reviews
 from .plans.calibration import calibrate
+from .plans.evaluation import evaluate
 from .plans.review import review_targets
 from .plans.snapshot import Profile
 from .session import build_session, ship
@@ -26,8 +28,41 @@ from .sources.reports import append_event, as_report, events_table, load_ledger,
 EXPERIMENTS = {"errors": "handlers", "models": "models", "variants": "variants", "derived": "derived"}
 
 
+#: A line of text for each row of a table; tables that are not here are shown column by column.
+LINES = {
+    "scores": "{language}/{cohort}: {points} {band} ({sloc} source lines, {reason})",
+    "contributions": "{language}/{cohort} {metric_id}: {points} of percentile {percentile}, raw {raw}",
+    "metrics": "{language}/{cohort} {metric_id}: {state} {value} {reason}",
+    "coverage": "{state} {language}/{cohort}: {file_count} files, {sloc} source lines ({reason})",
+    "diagnostics": "{path}:{start_line}: {severity} {code}: {message}",
+    "hotspots": "{points} {path} ({band})",
+    "directories": "{directory}/ {files} files",
+    "patterns": "{path}:{start_line}-{end_line}: {severity} {rule_id}: {message}",
+    "functions": "{path}:{start_line}-{end_line}: {qualified_name}: complexity {complexity}",
+    "findings": "{state}: {n}",
+    "errors": "{path}:{start_line}: {symbol}: {state} {fallback_kind} {reason}",
+    "models": "{path}:{start_line}: {model}: {state} {guard} {consumers} {reason}",
+    "variants": "{path}:{start_line}: {symbol}: {state} {outcome} {missing} {reason}",
+    "derived": "{path}:{start_line}: {symbol}: {state} {derived} of {source} after {operation} {reason}",
+    "symbols": "{state}: {old_occ} -> {new_occ} {reason}",
+    "cycles": "{module} in the cycle of {cycle}",
+    "fan_out": "{module} imports {fan_out}",
+    "violations": "{importer} must not import {imported}",
+    "commits": "{step} {revision} {boundary}",
+    "rework": "{path}:{line}: {state} {age_seconds} s {reason}",
+    "budget": "{metric}: {observed} of {maximum}: {state}",
+    "reviews": "{review_id}: {disposition}, {state} {causes}",
+    "targets": "{review_id}: {symbol} in {paths} {unavailable}",
+    "rules": "{rule_id} ({category}, {severity}): {message}",
+}
+
+
 def _text(title: str, df: DataFrame, top: int) -> str:
     rows = df.limit(top + 1).collect()
+    fields = {f for _, f, _, _ in Formatter().parse(LINES.get(title, "")) if f}
+    if title in LINES and fields <= {*df.columns}:
+        shown = [LINES[title].format_map({k: "-" if v is None else v for k, v in r.asDict().items()}) for r in rows[:top]]
+        return "\n".join([title, *(f"  {x}" for x in shown), *(["  ..."] if len(rows) > top else [])])
     lines = [title, "  " + " | ".join(df.columns)]
     lines += ["  " + " | ".join("-" if v is None else str(v) for v in r) for r in rows[:top]]
     return "\n".join([*lines, *(["  ..."] if len(rows) > top else [])])
@@ -35,7 +70,7 @@ def _text(title: str, df: DataFrame, top: int) -> str:
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="codestrata")
-    p.add_argument("command", choices=["score", "scan", "tree", "explain", "findings", "rules", "compare", "changes", "surface", "architecture", "history", "errors", "models", "variants", "derived", "review-set", "review-list", "review-show", "review-legacy", "calibrate"])
+    p.add_argument("command", choices=["score", "scan", "tree", "explain", "findings", "rules", "compare", "changes", "surface", "architecture", "history", "errors", "models", "variants", "derived", "review-set", "review-list", "review-show", "review-legacy", "calibrate", "evaluate"])
     p.add_argument("--root", default=".")
     p.add_argument("--revision", help="a commit instead of the directory")
     p.add_argument("--before", help="commit of the baseline")
@@ -55,8 +90,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--enforce-budget", action="store_true")
     p.add_argument("--policy", type=Path, help="TOML with source_roots and [[forbidden]]")
     p.add_argument("--profiles", type=Path, help="folder of calibration profiles")
-    p.add_argument("--manifest", type=Path, help="corpus to calibrate from")
-    p.add_argument("--corpus", type=Path, help="folder of the corpus projects")
+    p.add_argument("--manifest", type=Path, help="corpus to calibrate from, or cases to evaluate")
+    p.add_argument("--corpus", type=Path, help="folder of the corpus projects, or of the blobs")
     p.add_argument("--kind")
     p.add_argument("--symbol")
     p.add_argument("--cohort")
@@ -151,6 +186,10 @@ def _reviews(spark: SparkSession, args: argparse.Namespace, config: Config) -> d
 
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
+    if args.command == "evaluate":
+        code, results = evaluate(args.manifest, args.corpus)
+        sys.stdout.write(to_json({"results": results}))
+        return code
     try:
         found = tables(args)
         if args.json:

@@ -85,6 +85,27 @@ LANGUAGES: dict[str, Callable[[bytes, dict], dict]] = {"python": python_file}
 SUFFIXES: dict[str, str] = {".py": "python", ".pyi": "python"}
 
 
+#: Families that a language's extractor may give; the others must stay empty.
+CAPABILITIES: dict[str, frozenset[str]] = {"python": frozenset(FAMILIES)}
+
+
+def register(language: str, maker: Callable[[bytes, dict], dict], capabilities: set[str], suffixes: tuple[str, ...] = ()) -> None:
+    """Add a language: its extractor, the families it gives, and the suffixes of its files."""
+    if unknown := capabilities - {*FAMILIES}:
+        raise ValueError(f"unknown families: {sorted(unknown)}")
+    LANGUAGES[language], CAPABILITIES[language] = maker, frozenset(capabilities)
+    SUFFIXES.update(dict.fromkeys(suffixes, language))
+
+
+def held_to_contract(row: dict, capabilities: frozenset[str]) -> dict:
+    """An extractor's row, if it gives no family that was not declared, and a reason where it failed."""
+    if undeclared := sorted(k for k in FAMILIES if row.get(k) and k not in capabilities):
+        raise ValueError(f"undeclared families: {undeclared}")
+    if row["parse_state"] == "failed" and not row.get("diagnostic"):
+        raise ValueError("a failed file has a diagnostic")
+    return {k: [] for k in FAMILIES} | {"sloc": 0, "sloc_lines": [], "diagnostic": None, "members": [], "failed_families": []} | row
+
+
 def extract(documents: DataFrame, *, content_col: str = "content", language_col: str = "language", **options) -> DataFrame:
     """``documents`` (all columns but the content) with the columns of ``SCHEMA``; options: ``enabled_rules``,
     ``disabled_rules``, ``clone_min_statements``, ``clone_min_sloc``, ``families`` (those wanted; all by default).
@@ -92,7 +113,7 @@ def extract(documents: DataFrame, *, content_col: str = "content", language_col:
     One pass and one Python boundary for all families.  Rows of languages without an extractor come out unsupported.
     """
     rules.select_rules(options.get("enabled_rules"), options.get("disabled_rules"))  # errors belong to the driver
-    registry = dict(LANGUAGES)
+    registry, declared = dict(LANGUAGES), dict(CAPABILITIES)
     kept = [c for c in documents.columns if c != content_col]
     schema = StructType([*documents.select(*kept).schema.fields, *StructType.fromDDL(SCHEMA).fields])
     arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
@@ -110,7 +131,7 @@ def extract(documents: DataFrame, *, content_col: str = "content", language_col:
                         rows.append({k: [] for k in FAMILIES} | {"parse_state": "unsupported", "sloc": 0, "sloc_lines": [], "diagnostic": None, "members": [], "failed_families": []})
                         continue
                     try:
-                        rows.append(maker(content.as_py() or b"", options))
+                        rows.append(held_to_contract(maker(content.as_py() or b"", options), declared.get(language, frozenset(FAMILIES))))
                     except Exception as error:
                         rows.append({k: [] for k in FAMILIES} | {"parse_state": "failed", "sloc": 0, "sloc_lines": [], "members": [], "failed_families": [], "diagnostic": {"severity": "error", "code": f"{language}.adapter-failed", "message": f"{type(error).__name__}: {error}", "start_line": None, "end_line": None}})
                 made = pa.Table.from_pylist(rows, schema=arrow).combine_chunks().to_batches()[0]

@@ -23,6 +23,12 @@ def spans_without_lines(spans: DataFrame, lines: DataFrame, keys: list[str]) ->
     return spans.join(span_lines(spans, lines, keys).select(*spans.columns).distinct(), spans.columns, "left_anti")
 
 
+def uncovered_documents(documents: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """Documents without a row of evidence, or with several, and evidence of no document."""
+    sides = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for df, n in ((documents, "documents"), (evidence, "rows"))]
+    return sides[0].join(sides[1], keys, "full_outer").na.fill(0, ["documents", "rows"]).filter("documents <> rows")
+
+
 def line_delta_violations(totals: DataFrame) -> DataFrame:
     """Deltas that do not add up (M3): added and deleted against net and both sides."""
     bad = (F.col("added") - F.col("deleted") != F.col("net")) | (F.col("added") > F.col("current_sloc")) | (F.col("deleted") > F.col("baseline_sloc")) | (F.col("current_sloc") - F.col("baseline_sloc") != F.col("net"))

@@ -75,6 +75,27 @@ def only(rows: DataFrame, what: str):
     return found[0]
 
 
+def file_row(files: DataFrame, path: str):
+    """The one file of a path."""
+    return only(files.filter(F.col("path") == path), path)
+
+
+def change_row(pairs: DataFrame, path: str):
+    """The one pair of files that a path is part of, on either side."""
+    return only(pairs.filter((F.col("current_path") == path) | ((F.col("baseline_path") == path) & F.col("current_path").isNull())), path)
+
+
+def callable_row(functions: DataFrame, path: str, name: str):
+    """The one callable of a dotted name in a file."""
+    return only(functions.filter((F.col("path") == path) & (F.col("qualified_name") == name)), f"{path}:{name}")
+
+
+def file_evidence(findings: DataFrame, members: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Findings of a file, and the groups of duplicates with a member in it, whole."""
+    own = members.filter(F.col("path") == path).select("group_id").distinct()
+    return findings.filter(F.col("path") == path), members.join(own, "group_id", "left_semi")
+
+
 def select_targets(targets: DataFrame, *, kinds: list[str] | None = None, cohort: str | None = None, hotspots: DataFrame | None = None) -> DataFrame:
     """Review targets of any of the kinds, in a cohort, and optionally only those whose fingerprint is a hotspot's."""
     rows = targets.filter(F.col("kind").isin(kinds)) if kinds else targets

@@ -44,6 +44,16 @@ def clone_groups_by_size(groups: DataFrame, k: int = 5) -> DataFrame:
     return groups.orderBy(F.col("lines").desc(), "group_id").limit(k)
 
 
+def ordered_groups(members: DataFrame) -> DataFrame:
+    """Members in the canonical order of their groups."""
+    return members.orderBy("language", "cohort", "normalization_version", "fingerprint", "path", "start_line", "end_line")
+
+
+def ordered_symbols(changes: DataFrame) -> DataFrame:
+    """Changes of declarations by place, then by state (G12).  ``changes``: language, cohort, path, start_line, state, ..."""
+    return changes.orderBy("language", "cohort", "path", "start_line", "state")
+
+
 def shared_limit(families: list[tuple[str, DataFrame, list]], k: int) -> DataFrame:
     """The first ``k`` rows of several families in turn (G7): each family's rows in its own order, as JSON."""
     out = None
