@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from ..session import own_folder, shared_dir
 from .folds import fold_is
 from .shingles import _SPACE, PIECE, split_words
+from .threads import one_thread
 
 #: Stands for the end of a document among word hashes.
 END = np.uint64(0)
@@ -72,7 +73,7 @@ class Settings:
     steps: int = 16
     rate: float = 0.01
     damping: float = 1e-5
-    slots: int = 32
+    slots: int = 8
     #: What is scored together: streams, and tokens held at a time (or one longer document).
     score_streams: int = 512
     score_tokens: int = 4_000_000
@@ -119,20 +120,6 @@ def _pieces(raw: np.ndarray) -> Iterator[tuple[int, int]]:
         at = stop
 
 
-def one_thread() -> None:
-    """Keep the linear algebra library, if it is one that can be told, from starting threads of its own: tasks fill the cores."""
-    import ctypes
-
-    with open("/proc/self/maps") as f:
-        paths = {line.split()[-1] for line in f if "openblas" in line}
-    for path in paths:
-        library = ctypes.CDLL(path)
-        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
-            if hasattr(library, name):
-                getattr(library, name)(1)
-                break
-
-
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     """``word`` (hash), ``tail`` and ``n`` for all tokens of a table."""
 
