@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import fold_is, numbered, sampled
+from .threads import release_memory
 
 UNKNOWN = "und"
 BITS = 17
@@ -182,6 +183,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
                     total[once] = total[once] + 1
                 rows += 1
         some = np.flatnonzero(total)
+        release_memory()
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int32()), pa.array([rows, *total[some].tolist()], pa.int64())], names=["gram", "n"])
 
     # At most one sum for each dimension reaches the driver.
@@ -229,6 +231,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", pr
         for batch in batches:
             out = [guess(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=[*batch.schema.names, pred_col, score_col])
+        release_memory()
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..session import shared_dir
 from .shingles import mix, ngram_set
-from .threads import one_thread
+from .threads import one_thread, release_memory
 
 _NO_EDGE = "a binary, b binary"
 
@@ -94,6 +94,7 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, n: int, bands: int,
                 [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
                 names=["id", "text_hash", "key", "n_grams", "band", "sketch"],
             )
+        release_memory()
 
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()

@@ -180,7 +180,7 @@ def _measured(docs: DataFrame, text_col: str, lang_col: str, carried: list[str],
     d = d.withColumn("word_distance", F.expr(f"if(uses IS NULL, null, {_distance(_shares(f'concat(uses, array(n_words - {_sum("uses")}))'), 'word_shares')})"))
     folder = own_folder(spark, "quality")
     d = d.select("row", "language", *COUNTS, "classes", "n_chars", "word_distance")
-    d.write.parquet(f"{folder}/rows")
+    d.write.option("parquet.block.size", 32 << 20).parquet(f"{folder}/rows")  # texts may go along: less of them in memory
     return spark.read.schema(d.schema).parquet(f"{folder}/rows")
 
 

@@ -1,4 +1,4 @@
-"""Threads of the linear algebra library in Python workers."""
+"""Threads and memory of Python workers."""
 
 from __future__ import annotations
 
@@ -15,3 +15,16 @@ def one_thread() -> None:
             if hasattr(library, name):
                 getattr(library, name)(1)
                 break
+
+
+def release_memory() -> None:
+    """Give back what a task has used: workers are kept for later tasks, which may be the JVM's alone."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(library := ctypes.CDLL(None), "malloc_trim"):
+        library.malloc_trim(0)
