@@ -364,12 +364,12 @@ def ledger_rules(spark, sf):
 
 
 @query(
-    """WITH g AS (SELECT 'g' || o_custkey AS group_id, o_orderstatus AS language, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS paths FROM orders GROUP BY 1, 2), d AS (SELECT 'd' || group_id || language AS decision_id, CASE WHEN language = 'F' THEN group_id END AS group_id, language, paths FROM g)
+    """WITH g AS (SELECT 'g' || o_custkey AS group_id, o_orderstatus AS language, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) AS paths FROM orders GROUP BY 1, 2), d AS (SELECT 'd' || group_id || language AS decision_id, CASE WHEN language = 'F' THEN group_id END AS group_id, language, paths FROM g)
     SELECT DISTINCT decision_id, group_id FROM (SELECT d.decision_id, g.group_id FROM d JOIN g ON g.group_id = d.group_id UNION ALL SELECT d.decision_id, g.group_id FROM d JOIN g ON g.language = d.language AND g.paths = d.paths AND d.language = 'P')"""
 )
 def legacy_reviews(spark, sf):
     """By id, and by equal sets of paths."""
-    g = table(spark, sf, "orders").groupBy(F.concat(F.lit("g"), "o_custkey").alias("group_id"), F.col("o_orderstatus").alias("language")).agg(F.collect_set("o_orderpriority").alias("paths")).withColumn("cohort", F.lit("production"))
+    g = table(spark, sf, "orders").groupBy(F.concat(F.lit("g"), "o_custkey").alias("group_id"), F.col("o_orderstatus").alias("language")).agg(F.collect_set(F.col("o_orderkey").cast("string")).alias("paths")).withColumn("cohort", F.lit("production"))
     d = g.select(F.concat(F.lit("d"), "group_id", "language").alias("decision_id"), F.when(F.col("language") == "F", F.col("group_id")).alias("group_id"), "language", F.when(F.col("language") == "P", F.col("cohort")).alias("cohort"), "paths")
     return reviews.legacy_matches(d, g)
 
