@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,12 +49,25 @@ def score_violations(scores: DataFrame, contributions: DataFrame, keys: list[str
     return scores.filter("points IS NOT NULL").join(sums, keys, "left").filter("parts IS NULL OR parts <> points")
 
 
+def _overlapping_bands(bands: DataFrame, keys: list[str]) -> DataFrame:
+    """Of different bands, those that share sizes with one before them; no end means 0 or 1e18.
+
+    A band a meets a band b if a.low < b.high and b.low < a.high.  One of the two is proper then (low < high), for two that are
+    not never meet.  So a band meets one before it if the highest end of proper bands that begin before it is above its low;
+    one that is not proper stands at its high, and before all that begin there.
+    """
+    low, high = F.coalesce(F.col("min_sloc").cast("double"), F.lit(0.0)), F.coalesce(F.col("max_sloc").cast("double"), F.lit(1e18))
+    bands = bands.select(*keys, low.alias("_low"), high.alias("_high")).withColumn("_proper", F.col("_low") < F.col("_high"))
+    before = Window.partitionBy(*keys).orderBy(F.least("_low", "_high"), "_proper").rowsBetween(Window.unboundedPreceding, -1)
+    return bands.withColumn("_reach", F.max(F.when(F.col("_proper"), F.col("_high"))).over(before)).filter("_reach > _low")
+
+
 def profile_violations(populations: DataFrame) -> DataFrame:
     """Populations with unsorted or uneven distributions, and overlapping bands of one kind, cohort, model and metric (M6)."""
     keys = ["kind", "cohort", "model", "metric_id"]
     unsorted = populations.filter("values <> array_sort(values) OR size(values) = 0").select(*keys, F.lit("values").alias("rule"))
-    sides = [populations.select(*keys, F.col("min_sloc").alias(f"{s}_min"), F.col("max_sloc").alias(f"{s}_max")) for s in "ab"]
-    overlap = sides[0].join(sides[1], keys).filter("NOT (a_min <=> b_min AND a_max <=> b_max) AND coalesce(a_min, 0) < coalesce(b_max, 1e18) AND coalesce(b_min, 0) < coalesce(a_max, 1e18)").select(*keys, F.lit("bands").alias("rule"))
+    overlap = populations.select(*keys, "min_sloc", "max_sloc").dropna(subset=keys).distinct()  # null keys are in no pair
+    overlap = _overlapping_bands(overlap, keys).select(*keys, F.lit("bands").alias("rule"))
     uneven = populations.groupBy("kind", "cohort", "model", "min_sloc", "max_sloc").agg(F.count_distinct(F.size("values")).alias("n")).filter("n > 1")
     return unsorted.unionByName(overlap).distinct().unionByName(uneven.select("kind", "cohort", "model", F.lit(None).cast("string").alias("metric_id"), F.lit("sizes").alias("rule")))
 
