@@ -204,8 +204,8 @@ def experiment_coverage(spark, sf):
     SELECT o_orderkey, CAST(CASE WHEN version IN ('1', '2') THEN cc WHEN version = '3' THEN CASE WHEN cohort = 'test' AND a IS NOT NULL THEN cc - a ELSE cc END END AS BIGINT) AS complexity FROM f"""
 )
 def complexity_by_version(spark, sf):
-    """B11, B12."""
-    cc, asserts = F.round(F.col("o_totalprice") / 10000).cast("long"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey") % 5)
+    """B11, B12.  SQL's cast takes halves to the even number, and so does rint."""
+    cc, asserts = F.rint(F.col("o_totalprice") / 10000).cast("long"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey") % 5)
     cohort = F.when(F.col("o_orderstatus") == "F", "test").otherwise("production")
     return table(spark, sf, "orders").select("o_orderkey", evidence.complexity_by_version((F.col("o_custkey") % 4).cast("string"), cohort, cc, asserts).alias("complexity"))
 

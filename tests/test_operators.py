@@ -442,3 +442,10 @@ def test_unknown_sizes_are_in_no_band(spark, tmp_path):
     parts = [("a", 1, 3), ("a", 1, None), ("b", 1, 3), ("b", None, 3), ("c", 1, 3), ("c", 2, 4), ("d", -3, 3), ("d", 1, 2), ("e", 2, 3), ("e", 2, 3), ("e", 2, 4), (None, 1, 3), (None, 2, 3)]
     got, expect = beside_sql(spark, tmp_path, "overlapping_bands", "part", spark.createDataFrame(parts, "p_brand string, p_partkey long, p_size int"))
     assert got == expect == [("c",), ("d",)]
+
+
+def test_halves_become_even_complexity(spark, tmp_path):
+    orders = [(k * 10 + key, key, "F", k * 5000.0 + cents, "1-URGENT") for k in range(-4, 8) for key, cents in ((1, 0.0), (2, 0.01), (3, 0.0), (7, -0.01))]
+    got, expect = beside_sql(spark, tmp_path, "complexity_by_version", "orders", spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"))
+    assert got == expect
+    assert [dict(got)[k * 10 + 1] for k in (-3, -1, 1, 3, 5, 7)] == [-2, 0, 0, 2, 2, 4]
